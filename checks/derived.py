@@ -254,7 +254,7 @@ def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``search_term, term_rank, page, pos, item`` with the item as a variant."""
     json = derive(spark, sf_dir, f"select search_term, term_rank, page, pos, {ITEM_JSON_SQL} as json from ({RAW_SQL}) raw")
-    return json.selectExpr("search_term", "term_rank", "page", "pos", "parse_json(json) as item")
+    return json.selectExpr("search_term", "term_rank", "page", "pos", "explode(array(parse_json(json))) as item")
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,26 +11,16 @@ YEAR_LAST = rf"^\s*(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}){_TIME}\s*$"
 COMPACT = rf"^\s*(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}\s*$"
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("y-M-d")).cast("date")
-
-
-def _either_order(year: Column, first: Column, second: Column) -> Column:
-    """Month first; day first where the first number cannot be a month."""
-    return F.when(first.cast("int") > 12, _date(year, second, first)).otherwise(_date(year, first, second))
-
-
 def posting_date(raw: Column) -> Column:
-    """Calendar date as written; a time of day or an offset never moves it. Anything else gives null."""
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(raw, pattern, group)
-
-    return (
-        F.when(raw.rlike(YEAR_FIRST), _either_order(*[part(YEAR_FIRST, g) for g in (1, 2, 3)]))
-        .when(raw.rlike(YEAR_LAST), _either_order(*[part(YEAR_LAST, g) for g in (3, 1, 2)]))
-        .when(raw.rlike(COMPACT), _date(*[part(COMPACT, g) for g in (1, 2, 3)]))
-    )
+    """Calendar date as written; a time of day or an offset never moves it. Anything else gives null.
+
+    The month comes before the day; a first number that cannot be a month is the day.
+    """
+    plain = F.regexp_replace(raw, YEAR_FIRST, "$1-$2-$3")
+    plain = F.regexp_replace(plain, YEAR_LAST, "$3-$1-$2")
+    plain = F.regexp_replace(plain, COMPACT, "$1-$2-$3")
+    month_first, day_first = (F.try_to_date(plain, order) for order in ("yyyy-M-d", "yyyy-d-M"))
+    return F.coalesce(month_first, day_first)
 
 
 def month_start(c: Column) -> Column:
