@@ -72,7 +72,7 @@ def level_chain(lc: str, patterns) -> str:
 
 
 def title_level(x: str) -> str:
-    t = f"lower({x})"
+    t = f"lower(coalesce({x}, ''))"
     return (
         f"case when {has(t, S.TITLE_ENTRY_KEYWORDS)} then 'Junior' when not {has(t, S.TITLE_ADVANCED_KEYWORDS)} then null "
         f"when {has(t, S.TITLE_LEAD_KEYWORDS)} then 'Lead' else 'Senior' end"

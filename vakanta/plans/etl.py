@@ -109,7 +109,9 @@ def describe(vacancies: DataFrame, normalized_at: dt.datetime | str) -> DataFram
     )
     wanted = F.col("work_experience").isNull() & F.col("__level_text").isNotNull()
     scored = levels.with_semantic_level(lowered, "__level_text", "__semantic", wanted)
-    level = F.coalesce("work_experience", levels.normalize_level_name(F.col("__semantic")), F.lit("Mid"))
+    level = first_filled(
+        F.col("work_experience"), levels.normalize_level_name(F.col("__semantic")), F.lit("Mid")
+    )
     return scored.select(
         *INGEST_ORDER,
         "search_term",
