@@ -15,6 +15,7 @@ from vakanta import settings as S
 from vakanta.functions import levels, places, skills, text, titles
 from vakanta.functions.dates import month_start, posting_date
 from vakanta.operators import clusters, geography, pages, reports, selection, tfidf, words
+from vakanta.operators.rows import each
 from vakanta.plans import etl
 from vakanta.plans.analytics import geo_reports
 from vakanta.sources import landing, tables
@@ -239,7 +240,7 @@ def skill_list_split(spark, sf):
 
 def word_tokens(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    tokens = docs.select("lang", F.explode(text.words(F.col("text"))).alias("word"))
+    tokens = each(docs, ["lang"], text.words(F.col("text")), "word")
     return tokens.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 

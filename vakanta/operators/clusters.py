@@ -18,8 +18,9 @@ from vakanta import settings as S
 from vakanta.functions.skills import skill_list
 from vakanta.functions.titles import clean_title
 from vakanta.operators.lookup import BROADCAST_BYTES, lookup
+from vakanta.operators.rows import each
 from vakanta.operators.tfidf import tfidf
-from vakanta.session import checkpointed
+from vakanta.session import checkpointed, spread_by
 
 MAX_PASSES = 100
 MIN_GAIN = 1e-4
@@ -134,7 +135,7 @@ def kmeans(
     ``docs`` has ``group, doc, weight``; ``vectors`` comes from ``tfidf``. Groups without vectors are left out.
     """
     terms = checkpointed(
-        vectors.select(*group, doc, "weight", "term", "df", F.col("tfidf").alias("w")).repartition(*group, doc)
+        spread_by(vectors.select(*group, doc, "weight", "term", "df", F.col("tfidf").alias("w")), *group, doc)
     )
     nothing = [f"cast(null as double) as {name}{j}" for j in range(k) for name in "cq"]
     centroids = checkpointed(
@@ -268,7 +269,7 @@ def _examples(titles: DataFrame, labels: DataFrame, n: int) -> DataFrame:
 
 def distinct_skills(df: DataFrame, column: str = "hard_skills") -> DataFrame:
     """Distinct skills of at least two characters."""
-    return df.select(F.explode(skill_list(F.col(column), min_length=2)).alias("skill")).distinct()
+    return each(df, [], skill_list(F.col(column), min_length=2), "skill").distinct()
 
 
 def english_stop_words() -> list[str]:

@@ -14,6 +14,7 @@ from vakanta import settings as S
 from vakanta.functions.dates import month_start
 from vakanta.functions.levels import level_label
 from vakanta.functions.skills import skill_list
+from vakanta.operators.rows import each
 
 
 def with_level_label(df: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def monthly_dynamics(df: DataFrame) -> DataFrame:
 
 def top_skills_by_level(df: DataFrame, column: str = "hard_skills", top_n: int = S.TOP_SKILLS) -> DataFrame:
     """Most frequent skills of each level."""
-    skills = with_level_label(df).select("experience_level", F.explode(skill_list(F.col(column))).alias("skill"))
+    skills = each(with_level_label(df), ["experience_level"], skill_list(F.col(column)), "skill")
     counts = skills.groupBy("experience_level", "skill").agg(F.count("*").alias("vacancies"))
     return top_per_group(counts, ["experience_level"], [F.desc("vacancies"), F.col("skill")], top_n)
 

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from vakanta import settings as S
 from vakanta.functions.text import words
 from vakanta.operators.reports import with_level_label
+from vakanta.operators.rows import each
 
 
 def word_counts(df: DataFrame, column: str, levels: list[str] = S.COMPARED_LEVELS) -> DataFrame:
     """One row per word with its number of occurrences at each level."""
     kept = with_level_label(df).where(F.col("experience_level").isin(levels))
-    exploded = kept.select("experience_level", F.explode(words(F.col(column))).alias("word"))
+    exploded = each(kept, ["experience_level"], words(F.col(column)), "word")
     return exploded.groupBy("word").agg(*[F.count_if(F.col("experience_level") == x).alias(x) for x in levels])
 
 

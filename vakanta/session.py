@@ -27,6 +27,15 @@ def build_session(master: str | None = None, name: str = "vakanta", **extra: str
     return builder.getOrCreate()
 
 
+def spread_by(df: DataFrame, *columns: str) -> DataFrame:
+    """Distribute by columns into the session's number of shuffle partitions.
+
+    Naming the number keeps adaptive execution from merging partitions by their present size, where the rows are
+    about to be exploded into many times as much.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and go on from there.
 
