@@ -161,41 +161,51 @@ def normalise(
     return describe(attach_sections(unique_recent(good, as_of, days), sections), normalized_at)
 
 
-def run_etl(
-    spark: SparkSession,
-    landing_path: str,
+def staged_items(items: DataFrame) -> DataFrame:
+    """Item fields as a storable table; the raw item is kept, as JSON text, for rejected ones only."""
+    fields = item_fields(items)
+    rejected = F.col("reject_reason").isNotNull()
+    return fields.withColumn("item", F.when(rejected, F.to_json("item"))).withColumn("rejected", rejected)
+
+
+def finish_etl(
+    staged: DataFrame,
     pages: DataFrame,
     ext_pages: DataFrame,
     out_path: str,
     as_of: dt.date | str,
     normalized_at: dt.datetime | str,
-    terms: list[str] = S.SEARCH_TERMS,
     days: int = S.DAYS_WINDOW,
 ) -> str | None:
-    """Write rejects and the vacancy table under ``out_path``; returns the table's path, None if it is empty.
-
-    Landed JSON is parsed once into a staged table, from which both outputs are made.
-    """
-    staged_path = f"{out_path}/stage_items"
-    fields = item_fields(landing.read_landing(spark, landing_path, terms))
-    rejected = F.col("reject_reason").isNotNull()
-    fields.withColumn("item", F.when(rejected, F.to_json("item"))).withColumn("rejected", rejected).write.mode(
-        "overwrite"
-    ).partitionBy("rejected").parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
-
-    sinks.write_rejects(
-        staged.where("rejected").select(F.col("reject_reason").alias("error"), F.parse_json("item").alias("item")),
-        f"{out_path}/rejects",
-    )
+    """Write rejects and the vacancy table of a staged table; returns the table's path, None if it is empty."""
+    bad = staged.where("rejected").select(F.col("reject_reason").alias("error"), F.parse_json("item").alias("item"))
+    sinks.write_rejects(bad, f"{out_path}/rejects")
     good = staged.where("not rejected").drop("item", "reject_reason", "rejected")
-    kept = unique_recent(good, as_of, days)
-    if kept.isEmpty():
+    if recent(good, as_of, days).isEmpty():
         return None
+    kept = unique_recent(good, as_of, days)
     vacancies = describe(attach_sections(kept, page_sections(pages, ext_pages)), normalized_at)
     return sinks.write_vacancies(vacancies, f"{out_path}/vacancies")
 
 
+def run_etl(
+    spark: SparkSession,
+    landing_path: str,
+    pages: DataFrame,
+    ext_pages: DataFrame,
+    out_path: str,
+    as_of: dt.date | str,
+    normalized_at: dt.datetime | str,
+    terms: list[str] = S.SEARCH_TERMS,
+    days: int = S.DAYS_WINDOW,
+) -> str | None:
+    """The whole job from landed files. JSON is parsed once, into a staged table that both outputs are made from."""
+    staged_path = f"{out_path}/staged_items"
+    staged = staged_items(landing.read_landing(spark, landing_path, terms))
+    staged.write.mode("overwrite").partitionBy("rejected").parquet(staged_path)
+    return finish_etl(spark.read.parquet(staged_path), pages, ext_pages, out_path, as_of, normalized_at, days)
+
+
 def exported(vacancies: DataFrame) -> DataFrame:
     """The table in presentation order under its exported column names."""
     ordered = export_order(vacancies, [c for c in INGEST_ORDER if c in vacancies.columns])
