@@ -149,12 +149,13 @@ def kmeans(
         .join(centroids.select(*group).distinct(), group, "right")
         .fillna(0, ["no_terms"])
     )
-    small = centroids.count() * (100 + 16 * k) <= BROADCAST_BYTES
+    size = centroids.count()
+    small = size * (100 + 16 * k) <= BROADCAST_BYTES
     run = KMeans(terms.drop("df"), sizes, group, doc, k, seed, small, centroids)
-    for j in range(k):
+    for j in range(k if size else 0):
         run.add_seed(j)
     cost = None
-    for _ in range(max_passes):
+    for _ in range(max_passes if size else 0):
         moved = run.step()
         if cost is not None and cost - moved <= MIN_GAIN * abs(cost):
             break

@@ -168,6 +168,17 @@ def staged_items(items: DataFrame) -> DataFrame:
     return fields.withColumn("item", F.when(rejected, F.to_json("item"))).withColumn("rejected", rejected)
 
 
+STAGED_SCHEMA = (
+    "search_term string, term_rank long, page int, pos int, item string, reject_reason string, job_title string, "
+    "beruf string, company string, refnr string, posted_date date, location string, salary string, "
+    "contract_type string, rejected boolean"
+)
+
+
+def read_staged(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STAGED_SCHEMA).parquet(path)
+
+
 def finish_etl(
     staged: DataFrame,
     pages: DataFrame,
@@ -203,7 +214,7 @@ def run_etl(
     staged_path = f"{out_path}/staged_items"
     staged = staged_items(landing.read_landing(spark, landing_path, terms))
     staged.write.mode("overwrite").partitionBy("rejected").parquet(staged_path)
-    return finish_etl(spark.read.parquet(staged_path), pages, ext_pages, out_path, as_of, normalized_at, days)
+    return finish_etl(read_staged(spark, staged_path), pages, ext_pages, out_path, as_of, normalized_at, days)
 
 
 def exported(vacancies: DataFrame) -> DataFrame:
