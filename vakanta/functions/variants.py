@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,16 @@ def field(item: Column, name: str) -> Column:
     return F.try_variant_get(item, f"$.{name}", "variant")
 
 
+def with_fields(df: DataFrame, item: str, names: list[str]) -> DataFrame:
+    """Add fields of an object as columns of their own, all read in one pass over it; null for other items.
+
+    The generator makes the optimizer keep them as they are. Otherwise each filter on a derived column would be
+    pushed down with every field it uses looked up again.
+    """
+    fields = F.try_variant_get(item, "$", f"struct<{', '.join(f'{n}: variant' for n in names)}>")
+    return df.select("*", F.explode_outer(F.array(fields)).alias("__fields")).select("*", "__fields.*").drop("__fields")
+
+
 def text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 

@@ -19,6 +19,10 @@ from vakanta.operators.selection import export_order, first_wins, recent
 from vakanta.sources import landing, sinks
 
 INGEST_ORDER = ["term_rank", "page", "pos"]
+ITEM_FIELDS = [
+    "titel", "beruf", "berufsbezeichnung", "arbeitgeber", "refnr", "arbeitsort", "aktuelleVeroeffentlichungsdatum",
+    "veroeffentlichtAm", "modifikationsTimestamp", "entgelt", "salary", "befristung", "angebotsart",
+]
 DEDUP_KEYS = ["job_title", "company", "location"]
 
 
@@ -29,21 +33,22 @@ def item_fields(items: DataFrame) -> DataFrame:
     """
     item = F.col("item")
     values = {
-        "titel": V.field(item, "titel"),
-        "beruf": V.first_set(V.field(item, "beruf"), V.field(item, "berufsbezeichnung")),
-        "arbeitgeber": V.field(item, "arbeitgeber"),
-        "refnr": V.field(item, "refnr"),
+        "titel": F.col("titel"),
+        "beruf": V.first_set(F.col("beruf"), F.col("berufsbezeichnung")),
+        "arbeitgeber": F.col("arbeitgeber"),
+        "refnr": F.col("refnr"),
     }
-    staged = items.withColumns({f"__{name}": value for name, value in values.items()}).withColumns(
+    staged = V.with_fields(items, "item", ITEM_FIELDS).withColumns({f"__{n}": v for n, v in values.items()})
+    staged = staged.withColumns(
         {
             "__posted": V.first_set(
-                V.field(item, "aktuelleVeroeffentlichungsdatum"),
-                V.field(item, "veroeffentlichtAm"),
-                V.field(item, "modifikationsTimestamp"),
+                F.col("aktuelleVeroeffentlichungsdatum"), F.col("veroeffentlichtAm"), F.col("modifikationsTimestamp")
             ),
-            "__place": V.field(item, "arbeitsort"),
+            "__place": F.col("arbeitsort"),
+            "__salary": V.first_set(F.col("entgelt"), F.col("salary")),
+            "__contract": V.first_set(F.col("befristung"), F.col("angebotsart")),
         }
-    )
+    ).drop(*ITEM_FIELDS)
     reason = F.coalesce(
         F.when(~V.is_object(item), F.lit("item is not an object")),
         *[
@@ -65,11 +70,11 @@ def item_fields(items: DataFrame) -> DataFrame:
             "refnr": F.when(V.is_string(F.col("__refnr")), filled(V.text(F.col("__refnr")))),
             "posted_date": F.when(V.is_string(F.col("__posted")), posting_date(V.text(F.col("__posted")))),
             "location": location_text(F.col("__place")),
-            "salary": V.text(V.first_set(V.field(item, "entgelt"), V.field(item, "salary"))),
-            "contract_type": V.text(V.first_set(V.field(item, "befristung"), V.field(item, "angebotsart"))),
+            "salary": V.text(F.col("__salary")),
+            "contract_type": V.text(F.col("__contract")),
         }
     )
-    return out.drop("__posted", "__place", *[f"__{name}" for name in values])
+    return out.drop("__posted", "__place", "__salary", "__contract", *[f"__{name}" for name in values])
 
 
 def split_rejects(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
