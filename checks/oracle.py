@@ -247,7 +247,6 @@ DOCUMENT_TERMS = f"""counts as (select lang, doc_id, term, count(*) as tf
     from (select lang, term, count(*) as df from counts group by all having count(*) >= 2) join sizes using (lang))"""
 
 NL = "chr(10)"
-QUALITY = "structured"
 
 
 def _json(pairs: list[tuple[str, str]]) -> str:
