@@ -1,7 +1,7 @@
 """Vacancies, pages and coordinates derived from the given tables.
 
 The given tables hold no vacancy vocabulary, so queries on the domain operators read rows derived from
-``orders`` and ``customer`` (one vacancy per order), ``supplier`` and ``documents``. The SQL below is plain enough to
+``orders`` (one vacancy per order), ``supplier`` and ``documents``. The SQL below is plain enough to
 mean the same in Spark and in the checking database: values are picked by key with CASE. A third of the vacancies
 share one title, company and place.
 """
@@ -124,7 +124,7 @@ select k, term_rank, {pick("term_rank - 1", TERMS)} as search_term, 1 as page, p
        when k % 103 = 9 then 'item is not an object' end as fault
 from (select o_orderkey as k, o_custkey as cust, cast(o_orderkey % 13 as int) + 1 as term_rank,
         cast(o_orderkey as int) as pos, cast({DAY} as varchar(10)) as day
-      from {{orders}} join {{customer}} on o_custkey = c_custkey) base
+      from {{orders}}) base
 """
 
 # One row per order: the analysis table.
@@ -136,7 +136,7 @@ select k, {pick("k", [*TERMS, None, *TERMS[:3]])} as search_term, {pick("k", TIT
   {pick("k", SOFT)} as soft_skills,
   {pick("k", LEVELS)} as experience_level
 from (select o_orderkey as k, case when o_orderkey % 37 = 0 then null else {DAY} end as posted_date
-      from {{orders}} join {{customer}} on o_custkey = c_custkey) base
+      from {{orders}}) base
 """
 
 # City coordinates, one row per supplier; the first row of a city counts.
@@ -232,15 +232,11 @@ case fault when 'item is not an object' then '"text"' else
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The given tables. A table of fewer files than there are cores is dealt out to all of them, since one task
-    would otherwise do the whole work of a query; with many files there is no such shuffle."""
+    """The given tables, their rows dealt out to all tasks: derived rows are many times as large as the given ones."""
     names = ["orders", "customer", "supplier", "documents", "pages"]
     found = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names}
-    cores = spark.sparkContext.defaultParallelism
-    for name in ("orders", "documents"):
-        if len(found[name].inputFiles()) < cores:
-            found[name] = found[name].repartition(cores)
-    return found
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return found | {name: found[name].repartition(parts) for name in ("orders", "documents")}
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -8,7 +8,15 @@ the Spark plan.
 from __future__ import annotations
 
 from checks import derived as D
-from checks.queries import AS_OF, DOCUMENT_STOP_WORDS, GENERIC_DICTIONARY, NORMALIZED_AT
+from checks.queries import (
+    AS_OF,
+    DOCUMENT_STOP_WORDS,
+    GENERIC_DICTIONARY,
+    NORMALIZED_AT,
+    OWN_DICTIONARY,
+    OWN_KEYWORDS,
+    OWN_LEVELS,
+)
 from vakanta import settings as S
 
 WORD = r"\p{L}\p{N}_"
@@ -351,7 +359,11 @@ ORACLE: dict[str, str] = {
         row_number() over (partition by term_rank, page order by slot) - 1 as pos, k
       from ({D.for_duckdb(D.LANDED_SQL)}) l""",
     "item_fields": f"select * exclude (k) replace (cast(posted_date as varchar) as posted_date) from {FIELDS} f",
-    "rejected_items": f"select fault as error, count(*) as n from {RAW} r where fault is not null group by fault",
+    "rejected_items": f"""select fault as error, case fault when 'item is not an object' then ''
+          when 'titel is not a string' then '5' else coalesce(titel, '') end as titel,
+        if(fault = 'item is not an object', '', coalesce(arbeitgeber, '')) as arbeitgeber,
+        case fault when 'item is not an object' then '' when 'refnr is not a string' then '7' else coalesce(refnr, '') end as refnr
+      from {RAW} r where fault is not null""",
     "page_text": f"select page_id, length({PAGE_TEXT}) as n_chars, md5({PAGE_TEXT}) as digest from pages",
     "page_sections": f"""select page_key, html_full, sections, sections_text,
         case when html_quality <> 'empty' then raw_text end as raw_text, html_quality, html_filename
@@ -386,6 +398,13 @@ ORACLE: dict[str, str] = {
     "skill_tags": f"""select doc_id, {tags("lc", S.HARD_SKILLS)} as hard_skills, {tags("lc", S.SOFT_SKILLS)} as soft_skills
       from {PHRASED} p""",
     "generic_tags": f"select doc_id, {tags('lower(text)', GENERIC_DICTIONARY, '|')} as tags from documents",
+    "own_dictionary_tags": f"select doc_id, {tags('lower(text)', OWN_DICTIONARY)} as tags from documents",
+    "own_level_patterns": f"""select doc_id, lower({level_chain("lower(text)", OWN_LEVELS)}) as first_level,
+        lower({level_chain("lower(text)", OWN_LEVELS[::-1])}) as last_level,
+        {level_chain("lower(text)", [OWN_LEVELS[3], OWN_LEVELS[0], OWN_LEVELS[2], OWN_LEVELS[1]])} as highest_level from documents""",
+    "own_title_keywords": f"""select k, case when {has("lower(coalesce(titel, ''))", OWN_KEYWORDS[0])} then 'Junior'
+        when not {has("lower(coalesce(titel, ''))", OWN_KEYWORDS[1])} then null
+        when {has("lower(coalesce(titel, ''))", OWN_KEYWORDS[2])} then 'Lead' else 'Senior' end as level from {RAW} r""",
     "skill_list_split": f"""select k, unnest(range(len(l))) as pos, unnest(l) as skill
       from (select k, {skills_of("hard_skills")} as l from ({D.for_duckdb(D.ANALYSIS_SQL)}) a)""",
     "word_tokens": f"""select lang, word, count(*) as n

@@ -31,6 +31,9 @@ GENERIC_DICTIONARY = [
     (r"\bque\b", "que"),
     (r"\bno\b", "no"),
 ]
+OWN_DICTIONARY = [(r"\bund\b", "Python"), (r"\bthe\b|\bles?\b", "SQL"), (r"\b(que|de)\b", "Python"), (r"\bof ?the\b", "Lean")]
+OWN_LEVELS = [(r"\bund\b", "Senior"), (r"\bthe\b|\bque\b", "Junior"), (r"\bde\b", "Mid"), (r"\b(of|les?)\b", "Lead")]
+OWN_KEYWORDS = (["analyst"], ["engineer", "rpa", "sales"], ["rpa"])
 DOCUMENT_STOP_WORDS = ["der", "die", "und", "the", "of", "le", "la", "que", "de", "en"]
 
 
@@ -233,6 +236,28 @@ def generic_tags(spark, sf):
     return docs.select("doc_id", F.array_join(tags, "|").alias("tags"))
 
 
+def own_dictionary_tags(spark, sf):
+    """A caller's dictionary that uses labels of the defaults for other expressions."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lower("text").alias("lc"))
+    return docs.select("doc_id", skills.skill_string(F.col("lc"), OWN_DICTIONARY).alias("tags"))
+
+
+def own_level_patterns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lower("text").alias("lc"))
+    lc = F.col("lc")
+    return docs.select(
+        "doc_id",
+        levels.level_by_first_match(lc, OWN_LEVELS).alias("first_level"),
+        levels.level_by_last_match(lc, OWN_LEVELS).alias("last_level"),
+        levels.level_by_highest_match(lc, OWN_LEVELS).alias("highest_level"),
+    )
+
+
+def own_title_keywords(spark, sf):
+    rows = D.raw(spark, sf)
+    return rows.select("k", levels.level_from_title(F.col("titel"), *OWN_KEYWORDS).alias("level"))
+
+
 def skill_list_split(spark, sf):
     rows = D.analysis(spark, sf)
     return rows.select("k", F.posexplode(skills.skill_list(F.col("hard_skills"))).alias("pos", "skill"))
@@ -271,8 +296,10 @@ def landing_items(spark, sf):
 
 
 def rejected_items(spark, sf):
+    """Every rejected item with its error, by the fields that identify it."""
     _, rejects = etl.split_rejects(etl.item_fields(D.items(spark, sf)))
-    return rejects.groupBy("error").agg(F.count("*").alias("n"))
+    fields = [F.coalesce(F.try_variant_get("item", f"$.{n}", "string"), F.lit("")).alias(n) for n in ("titel", "arbeitgeber", "refnr")]
+    return rejects.select("error", *fields)
 
 
 def item_fields(spark, sf):
@@ -288,7 +315,7 @@ def page_text(spark, sf):
 
 def page_sections(spark, sf):
     found = pages.page_sections(D.pages(spark, sf), D.ext_pages(spark, sf))
-    return found.withColumn("sections", pages.sections_json(F.col("sections")))
+    return found.withColumn("sections", pages.sections_json(F.col("sections"))).drop("refused")
 
 
 def colon_sections(spark, sf):
@@ -310,8 +337,9 @@ def normalised_vacancies(spark, sf):
 
 
 def vacancy_levels(spark, sf):
-    """The flagship: landed items and stored pages to the level report, in one plan."""
-    return _rounded(reports.experience_distribution(tables.as_analysis_table(_normalised(spark, sf))), "share_pct")
+    """The flagship: landed items and stored pages to the level report."""
+    found = etl.experience_levels(D.items(spark, sf), D.pages(spark, sf), D.ext_pages(spark, sf), AS_OF)
+    return _rounded(reports.experience_distribution(tables.as_analysis_table(found)), "share_pct")
 
 
 # --- TF-IDF and clusters -------------------------------------------------------------------------
@@ -373,7 +401,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vacancy_levels, normalised_vacancies, landing_items, item_fields, rejected_items, page_text, page_sections,
         colon_sections, extract_location, parse_location, normalize_city, page_key, job_url, first_non_empty,
         posting_dates, month_keys, clean_title, title_level, level_names, text_levels, semantic_level, skill_tags,
-        generic_tags, skill_list_split, word_tokens, distinct_skills, recent_window, dedup_first_wins,
+        generic_tags, own_dictionary_tags, own_level_patterns, own_title_keywords, skill_list_split, word_tokens, distinct_skills, recent_window, dedup_first_wins,
         experience_distribution, search_term_distribution, search_term_by_level, monthly_dynamics, top_skills_hard,
         top_skills_soft, city_top25, state_top16, geo_by_level, repeated_words_hard, repeated_words_soft,
         geocache_source, city_coordinates, city_coordinates_merged, city_coordinates_by_scope,

@@ -109,13 +109,59 @@ def test_fragments_never_hide_a_match(dictionary):
     for pattern, label in dictionary:
         hits = [m.group() for m in re.finditer(pattern, samples)]
         assert hits, pattern
-        assert all(any(f in h for f in skills.SKILL_FRAGMENTS[label]) for h in hits), label
+        literals = text.required_literals(pattern)
+        assert literals and all(any(f in h for f in literals) for h in hits), label
 
 
-def test_unguarded_dictionary_gives_the_same(values):
-    given = ["no sql und sql", "mid-level lean", "make.com n8n"]
-    guarded = values(given, skills.skill_string)
-    assert guarded == values(given, lambda c: skills.skill_string(c, S.HARD_SKILLS, {}))
+def test_own_dictionaries_with_known_labels(values):
+    """The guard belongs to the expression: a known label with another expression finds what that one says."""
+    given = ["we use py3 and profi work"]
+    assert values(given, lambda c: skills.skill_string(c, [(r"\bpy3\b", "Python")])) == ["Python"]
+    assert values(given, lambda c: levels.level_by_first_match(c, [(r"\bprofi\b", "Senior")])) == ["senior"]
+    assert values(given, lambda c: levels.level_by_highest_match(c, [(r"\bp\w*\b", "Lead")])) == ["Lead"]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "literals"),
+    [
+        (r"\bpython\b", ["python"]), (r"\b(kubernetes|k8s)\b", ["ubernetes", "8s"]), (r"\bno ?sql\b", ["sql"]),
+        (r"(abc)?x+\d", None), (r"abc|\w+", None), (r"(?:ab)+cde", ["cde"]), (r"[ab]cd?", None), ("(*x", None), (r"make\.com", ["make.com"]),
+    ],
+)
+def test_required_literals(pattern, literals):
+    assert text.required_literals(pattern) == literals
+
+
+def test_own_keyword_lists(values):
+    given = ["chef de cuisine", "apprenti", "boss"]
+    found = values(given, lambda c: levels.level_from_title(c, ["apprenti"], ["chef", "boss"], ["boss"]))
+    assert found == ["Senior", "Junior", "Lead"]
+    assert values(["ENTRY", "x1"], lambda c: levels.normalize_level_name(c, {"Low": ["x1"]})) == ["", "Low"]
+    assert values(["Low", "High"], lambda c: levels.level_class(c, {"Low": "entry"})) == ["entry", "advanced"]
+
+
+def test_own_signals_and_places(spark):
+    df = spark.createDataFrame([("alpha beta beta",), ("gamma training",)], "t string")
+    scores = {"lead": {"alpha": 1}, "senior": {"beta": 9}, "mid": {}, "junior": {"gamma": 1}}
+    rows = levels.with_semantic_level(df, "t", patterns=[("zzz", "Lead")], signals=scores, boosts=[(["beta"], {"lead": 20})], training=("training", 5), keep_scores=True)
+    assert [(r["semantic_level"], r["score_lead"], r["score_junior"]) for r in rows.collect()] == [("lead", 21, 0), ("junior", 0, 6)]
+    place = spark.createDataFrame([("1010, Wien, Graben 3 Hof, Österreich",)], "location string")
+    found = places.with_location_fields(place, states=["wien"], city_states=["wien"], country="österreich", suffixes=["hof"]).first()
+    assert (found["city"], found["state"], found["country"], found["address"]) == ("Wien", "Wien", "Österreich", "Graben 3 Hof")
+
+
+def test_nested_location_lists(spark):
+    given = ['[["Köln"]]', '[[{"ort":"Bonn"}], "x"]', "[[]]", '[[[[" A "]]]]', "[null]", "5"]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, j string").selectExpr("i", "parse_json(j) as v")
+    found = df.select("i", places.location_text(F.col("v")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in found] == ["Köln", "Bonn", "", "A", "", "5"]
+
+
+def test_month_names(values):
+    given = ["15. Januar 2025", "March 3, 2025", "3 Mär 2025", "Mon, 03 Feb 2025 10:00:00 Z", "1st of May 2024", "5 Foo 2025", "Dezember 2025"]
+    expected = ["2025-01-15", "2025-03-03", None, "2025-02-03", "2024-05-01", None, None]
+    assert values(given, lambda c: posting_date(c).cast("string")) == expected
+    assert values(["x", " ", None, "2025-01-01"], is_unread) == [True, False, False, False]
 
 
 def test_clean_title(values):

@@ -5,20 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vakanta import settings as S
+from vakanta.functions.text import strip
+
 _TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?"
 YEAR_FIRST = rf"^\s*(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TIME}\s*$"
 YEAR_LAST = rf"^\s*(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}){_TIME}\s*$"
+DAY_NAME = rf"(?i)^\s*(?:\p{{L}}+\.?,\s*)?(\d{{1,2}})(?:st|nd|rd|th|\.)?[\s-]*(?:of\s+)?(\p{{L}}{{3,}})\.?,?[\s-]*(\d{{4}}){_TIME}\s*$"
+NAME_DAY = rf"(?i)^\s*(?:\p{{L}}+\.?,\s*)?(\p{{L}}{{3,}})\.?\s+(\d{{1,2}})(?:st|nd|rd|th|\.)?,?\s+(\d{{4}}){_TIME}\s*$"
 COMPACT = rf"^\s*(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}\s*$"
 
 
+def _month_number(name: Column) -> Column:
+    chain = F
+    for number, names in S.MONTHS.items():
+        chain = chain.when(name.isin(names), F.lit(str(number)))
+    return chain.otherwise(F.lit(""))
+
+
+def _named(raw: Column) -> Column:
+    """Year-month-day where the month is written as an English or German name."""
+    lowered = F.lower(raw)
+    parts = F.when(
+        lowered.rlike(DAY_NAME), F.struct(*[F.regexp_extract(lowered, DAY_NAME, g).alias(n) for g, n in ((3, "y"), (2, "m"), (1, "d"))])
+    ).when(
+        lowered.rlike(NAME_DAY), F.struct(*[F.regexp_extract(lowered, NAME_DAY, g).alias(n) for g, n in ((3, "y"), (1, "m"), (2, "d"))])
+    )
+    return F.concat_ws("-", parts["y"], _month_number(parts["m"]), parts["d"])
+
+
+def is_unread(raw: Column) -> Column:
+    """A date is written, but ``posting_date`` cannot read it."""
+    return raw.isNotNull() & (strip(raw) != "") & posting_date(raw).isNull()
+
+
 def posting_date(raw: Column) -> Column:
-    """Calendar date as written; a time of day or an offset never moves it. Anything else gives null.
+    """Calendar date as written, in numbers or with an English or German month name; anything else gives null.
 
-    The month comes before the day; a first number that cannot be a month is the day.
+    A time of day or an offset never moves it. In numbers the month comes before the day; a first number that cannot be
+    a month is the day.
     """
     plain = F.regexp_replace(raw, YEAR_FIRST, "$1-$2-$3")
     plain = F.regexp_replace(plain, YEAR_LAST, "$3-$1-$2")
     plain = F.regexp_replace(plain, COMPACT, "$1-$2-$3")
+    plain = F.when(raw.rlike(r"\p{L}{3}"), _named(raw)).otherwise(plain)
     month_first, day_first = (F.try_to_date(plain, order) for order in ("yyyy-M-d", "yyyy-d-M"))
     return F.coalesce(month_first, day_first)
 

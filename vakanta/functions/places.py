@@ -9,6 +9,7 @@ from vakanta import settings as S
 from vakanta.functions import variants as V
 from vakanta.functions.text import SPACE, strip, title_case
 
+LIST_DEPTH = 8
 LOCATION_FIELDS = ["index", "city", "state", "country", "address"]
 
 
@@ -24,22 +25,34 @@ def _scalar_text(value: Column) -> Column:
 
 
 def location_text(value: Column) -> Column:
-    """One location string from a string, an object, or the first element of a list of either."""
-    head = F.try_variant_get(value, "$[0]", "variant")
-    return (
-        F.when(V.is_object(value), _object_text(value))
-        .when(V.is_array(value), F.when(V.is_object(head), _object_text(head)).otherwise(_scalar_text(head)))
-        .otherwise(_scalar_text(value))
-    )
-
+    """One location string from a string, an object, or the first element of a list of either, lists in lists included.
 
-def _is_address(p: Column) -> Column:
-    numbered = p.rlike("[0-9]") & p.rlike("[A-Za-zÄÖÜäöüß]")
-    suffix = "|".join(s.replace(".", r"\.") for s in S.STREET_SUFFIXES)
+    Lists are opened up to ``LIST_DEPTH`` deep; a deeper one gives its JSON text.
+    """
+    chain = F.when(V.is_object(value), _object_text(value))
+    inner, path = value, "$"
+    for _ in range(LIST_DEPTH):
+        outer, path = inner, f"{path}[0]"
+        inner = F.try_variant_get(value, path, "variant")
+        chain = chain.when(V.is_array(outer) & V.is_object(inner), _object_text(inner))
+        chain = chain.when(V.is_array(outer) & ~V.is_array(inner), _scalar_text(inner))
+    return chain.when(V.is_array(value), _scalar_text(inner)).otherwise(_scalar_text(value))
+
+
+def _is_address(p: Column, suffixes: list[str]) -> Column:
+    numbered = p.rlike("[0-9]") & p.rlike(f"[{S.ADDRESS_LETTERS}]")
+    suffix = "|".join(s.replace(".", r"\.") for s in suffixes)
     return numbered | F.lower(p).rlike(f"({suffix})\\z")
 
 
-def with_location_fields(df: DataFrame, location: str = "location") -> DataFrame:
+def with_location_fields(
+    df: DataFrame,
+    location: str = "location",
+    states: list[str] = S.GERMAN_STATES,
+    city_states: list[str] = S.CITY_STATES,
+    country: str = S.COUNTRY,
+    suffixes: list[str] = S.STREET_SUFFIXES,
+) -> DataFrame:
     """Add ``index, city, state, country, address`` read from the comma-separated location.
 
     Each field is the first part that passes its test; the city is the first part whose value is none of
@@ -63,15 +76,15 @@ def with_location_fields(df: DataFrame, location: str = "location") -> DataFrame
         .withColumns(
             {
                 "__index": first(lambda p: p.rlike(r"^\p{Nd}{5}\z")),
-                "__state": first(lambda p: F.lower(p).isin(S.GERMAN_STATES)),
-                "__country": first(lambda p: F.lower(p) == S.COUNTRY),
-                "__address": first(_is_address),
+                "__state": first(lambda p: F.lower(p).isin(states)),
+                "__country": first(lambda p: F.lower(p) == country),
+                "__address": first(lambda p: _is_address(p, suffixes)),
             }
         )
         .withColumn("__found", F.array_compact(F.array(*found)))
         .withColumn("__city", first(lambda p: ~F.array_contains("__found", p)))
     )
-    city_state = F.lower("__state").isin(S.CITY_STATES)
+    city_state = F.lower("__state").isin(city_states)
     unknown = F.lit(S.UNKNOWN)
     return staged.withColumns(
         {

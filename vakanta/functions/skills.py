@@ -8,80 +8,22 @@ from pyspark.sql import functions as F
 from vakanta import settings as S
 from vakanta.functions.text import matches, strip
 
-# Literals one of which every match of the label's expressions contains. Labels without an entry are
-# matched without a pre-check.
-SKILL_FRAGMENTS = {
-    "Python": ["python"],
-    "TensorFlow": ["tensorflow"],
-    "PyTorch": ["torch"],
-    "scikit-learn": ["scikit"],
-    "Keras": ["keras"],
-    "MLOps": ["mlops"],
-    "Azure": ["azure"],
-    "AWS": ["aws"],
-    "GCP": ["gcp"],
-    "Kubernetes": ["kubernetes", "k8s"],
-    "Docker": ["docker"],
-    "SQL": ["sql"],
-    "NoSQL": ["sql"],
-    "Spark": ["spark"],
-    "NLP": ["nlp"],
-    "LLM": ["llm", "large language model"],
-    "UiPath": ["uipath"],
-    "Automation Anywhere": ["automation anywhere"],
-    "Blue Prism": ["blue prism"],
-    "RPA": ["rpa"],
-    "Process Mining": ["process mining"],
-    "Celonis": ["celonis"],
-    "BPMN": ["bpmn"],
-    "Six Sigma": ["six sigma"],
-    "Lean": ["lean"],
-    "Jira": ["jira"],
-    "Confluence": ["confluence"],
-    "Scrum": ["scrum"],
-    "Kanban": ["kanban"],
-    "Excel": ["excel"],
-    "Power BI": ["power"],
-    "SAP": ["sap"],
-    "Agile": ["agile"],
-    "Change Management": ["change management"],
-    "Digitalisierung": ["digitalisierung"],
-    "Strategie": ["strategie"],
-    "Consulting": ["consulting"],
-    "Low-Code": ["code"],
-    "No-Code": ["code"],
-    "Make.com": ["make.com"],
-    "n8n": ["n8n"],
-    "Communication": ["communication", "kommunikation"],
-    "Teamwork": ["teamwork", "teamarbeit"],
-    "Leadership": ["leadership", "führung", "fuehrung"],
-    "Problem Solving": ["problem"],
-    "Ownership": ["ownership", "verantwortung"],
-    "Stakeholder Management": ["stakeholder"],
-    "Collaboration": ["collaboration", "zusammenarbeit"],
-    "Analytical Thinking": ["analytical", "analytisch"],
-    "Self-Organization": ["self", "selbstständig"],
-}
-
-
-def _hits(lowered: Column, dictionary: list[tuple[str, str]], fragments: dict[str, list[str]]) -> list[Column]:
+def _hits(lowered: Column, dictionary: list[tuple[str, str]]) -> list[Column]:
     """One nullable label per distinct label, in code-point order."""
     by_label: dict[str, Column] = {}
     for pattern, label in dictionary:
-        hit = matches(lowered, pattern, fragments.get(label))
+        hit = matches(lowered, pattern)
         by_label[label] = by_label[label] | hit if label in by_label else hit
     return [F.when(by_label[label], F.lit(label)) for label in sorted(by_label)]
 
 
-def skill_string(lowered: Column, dictionary=S.HARD_SKILLS, fragments=None) -> Column:
+def skill_string(lowered: Column, dictionary=S.HARD_SKILLS) -> Column:
     """Sorted distinct labels joined by ', '; '' if none. The text must be lower-cased."""
-    fragments = SKILL_FRAGMENTS if fragments is None else fragments
-    return F.concat_ws(", ", *_hits(lowered, dictionary, fragments))
+    return F.concat_ws(", ", *_hits(lowered, dictionary))
 
 
-def skill_array(lowered: Column, dictionary=S.HARD_SKILLS, fragments=None) -> Column:
-    fragments = SKILL_FRAGMENTS if fragments is None else fragments
-    return F.array_compact(F.array(*_hits(lowered, dictionary, fragments)))
+def skill_array(lowered: Column, dictionary=S.HARD_SKILLS) -> Column:
+    return F.array_compact(F.array(*_hits(lowered, dictionary)))
 
 
 def skill_list(c: Column, min_length: int = 1) -> Column:

@@ -6,6 +6,9 @@ underscore; combining marks are not word characters), so every pattern is writte
 
 from __future__ import annotations
 
+import re
+from re import _parser as sre
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,10 +83,45 @@ def contains_any(c: Column, fragments: list[str]) -> Column:
     return hit
 
 
-def matches(lowered: Column, pattern: str, fragments: list[str] | None = None) -> Column:
-    """Does the lower-cased text match? ``fragments``: literals one of which every match must contain.
+def required_literals(pattern: str, least: int = 2) -> list[str] | None:
+    """Literals one of which every match of the expression contains, read off the expression; null if none can be told.
+
+    A run of plain characters is required; a group requires what it holds; alternatives require one of all theirs. Of
+    several such sets that with the longest shortest member is taken.
+    """
 
-    The substring scan costs far less than the expression and rules out nearly all texts before it runs.
+    def of(tree) -> list[str] | None:
+        sets, run = [], ""
+        for kind, value in [*tree, (None, None)]:
+            name = str(kind)
+            if name == "LITERAL":
+                run += chr(value)
+                continue
+            if run:
+                sets.append([run])
+                run = ""
+            if name == "SUBPATTERN":
+                sets.append(of(value[-1]))
+            elif name == "BRANCH":
+                branches = [of(branch) for branch in value[1]]
+                sets.append(None if None in branches else [x for branch in branches for x in branch])
+            elif name.endswith("_REPEAT") and value[0] > 0:
+                sets.append(of(value[2]))
+        usable = [found for found in sets if found and min(map(len, found)) >= least]
+        return max(usable, key=lambda found: min(map(len, found)), default=None)
+
+    try:
+        return of(sre.parse(pattern))
+    except re.error:  # an expression only the other engine reads
+        return None
+
+
+def matches(lowered: Column, pattern: str) -> Column:
+    """Does the lower-cased text match?
+
+    A substring scan for the literals that the expression requires costs far less and rules out nearly all texts before
+    the expression runs.
     """
     found = lowered.rlike(unicode_regex(pattern))
-    return contains_any(lowered, fragments) & found if fragments else found
+    literals = required_literals(pattern)
+    return contains_any(lowered, literals) & found if literals else found

@@ -7,6 +7,7 @@ and text inside scripts, styles, templates and ruby notes, comments and declarat
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from itertools import islice
 
 # Elements without content, elements whose text is not page text, elements that keep spaces.
 VOID_TAGS = {
@@ -31,7 +32,7 @@ class Element:
 
     def following(self):
         """Elements after this one under the same parent."""
-        return self.parent.children[self.place + 1:] if self.parent else []
+        return islice(self.parent.children, self.place + 1, None) if self.parent else ()
 
 
 class PageReader(HTMLParser):
@@ -84,7 +85,14 @@ class PageReader(HTMLParser):
     def _skip(self, _data):
         self._flush()
 
-    handle_comment = handle_decl = handle_pi = unknown_decl = _skip
+    handle_comment = handle_decl = handle_pi = _skip
+
+    def unknown_decl(self, data):
+        """Character data sections count as text."""
+        self._flush()
+        if data[:6].upper() == "CDATA[":
+            self.pending.append(data[6:])
+            self._flush()
 
     def finish(self):
         self.close()
@@ -117,7 +125,7 @@ def read_page(html: str, link_id: str, titles: list[str], body_tags: set[str]) -
         page.feed(html)
         page.finish()
     except AssertionError:  # the standard parser refuses a few malformed declarations
-        return {"raw_text": "", "link": None, "header_blocks": [], "strong_blocks": []}
+        return {"raw_text": "", "link": None, "header_blocks": [], "strong_blocks": [], "refused": True}
 
     def blocks(tags, owner):
         found = []
@@ -135,4 +143,5 @@ def read_page(html: str, link_id: str, titles: list[str], body_tags: set[str]) -
         "link": anchor.attrs["href"].strip() if anchor and "href" in anchor.attrs else None,
         "header_blocks": headers,
         "strong_blocks": [] if headers else blocks({"strong"}, lambda e: e.parent),
+        "refused": False,
     }

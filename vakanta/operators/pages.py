@@ -10,18 +10,22 @@ from vakanta import settings as S
 from vakanta.functions.text import contains_any, filled, is_blank, strip, strip_colons
 from vakanta.functions.titles import page_key
 from vakanta.operators.html_tree import read_page
+from vakanta.session import checkpointed
 
 _BLOCK = "array<struct<title:string,text:string>>"
-PARSED_SCHEMA = f"page_key string, raw_text string, link string, header_blocks {_BLOCK}, strong_blocks {_BLOCK}"
+PARSED_SCHEMA = f"page_key string, raw_text string, link string, header_blocks {_BLOCK}, strong_blocks {_BLOCK}, refused boolean"
 SECTION_COLUMNS = [
-    "html_full", "sections", "sections_text", "raw_text", "html_quality", "html_filename",
+    "html_full", "sections", "sections_text", "raw_text", "html_quality", "html_filename", "refused",
 ]
 
 
 def parse_pages(
     pages: DataFrame, titles: list[str] = S.SECTION_TITLES, link_id: str = S.EXTERNAL_LINK_ID
 ) -> DataFrame:
-    """One Arrow pass over ``page_key, html``: text, partner link and titled blocks. No shuffle."""
+    """One Arrow pass over ``page_key, html``: text, partner link and titled blocks. No shuffle.
+
+    ``refused`` marks pages that the parser cannot read.
+    """
     body_tags = set(S.SECTION_BODY_TAGS)
     block = pa.list_(pa.struct([("title", pa.string()), ("text", pa.string())]))
     schema = pa.schema(
@@ -31,6 +35,7 @@ def parse_pages(
             ("link", pa.string()),
             ("header_blocks", block),
             ("strong_blocks", block),
+            ("refused", pa.bool_()),
         ]
     )
 
@@ -49,7 +54,9 @@ def is_section_title(c: Column, titles: list[str] = S.SECTION_TITLES) -> Column:
     return contains_any(strip_colons(F.lower(strip(c))), titles)
 
 
-def with_colon_sections(df: DataFrame, text: Column, out: str = "colon_blocks") -> DataFrame:
+def with_colon_sections(
+    df: DataFrame, text: Column, out: str = "colon_blocks", titles: list[str] = S.SECTION_TITLES
+) -> DataFrame:
     """Add the blocks opened by title lines that end in a colon; null where ``text`` is null.
 
     Works inside each row: the positions of the title lines cut the array of lines into slices. Text
@@ -59,7 +66,7 @@ def with_colon_sections(df: DataFrame, text: Column, out: str = "colon_blocks")
     staged = df.withColumn("__lines", lines).withColumn(
         "__at",
         F.array_compact(
-            F.transform("__lines", lambda line, i: F.when(line.endswith(":") & is_section_title(line), i + 1))
+            F.transform("__lines", lambda line, i: F.when(line.endswith(":") & is_section_title(line, titles), i + 1))
         ),
     )
 
@@ -76,13 +83,19 @@ def with_colon_sections(df: DataFrame, text: Column, out: str = "colon_blocks")
 
 def last_text_per_title(blocks: Column) -> Column:
     """Each title once, at its first place, with its last text."""
+    texts = F.map_from_entries(F.transform(_last_places(blocks), lambda p: F.struct(blocks[p]["title"], blocks[p]["text"])))
     titles = F.array_distinct(F.transform(blocks, lambda b: b["title"]))
+    return F.transform(titles, lambda title: F.struct(title.alias("title"), F.try_element_at(texts, title).alias("text")))
 
-    def last(title: Column) -> Column:
-        same = F.filter(blocks, lambda b: b["title"] == title)
-        return F.struct(title.alias("title"), F.element_at(same, -1)["text"].alias("text"))
 
-    return F.transform(titles, last)
+def _last_places(blocks: Column) -> Column:
+    """Positions (from 0) of each title's last block: after a sort by title and place, those whose successor differs."""
+    placed = F.array_sort(F.transform(blocks, lambda b, i: F.struct(b["title"].alias("title"), i.alias("i"))))
+    last = F.transform(
+        F.array(placed),
+        lambda ps: F.filter(ps, lambda p, i: ~F.coalesce(F.get(ps, i + 1)["title"] == p["title"], F.lit(False))),
+    )
+    return F.transform(F.element_at(last, 1), lambda p: p["i"])
 
 
 def render_sections(blocks: Column) -> Column:
@@ -101,27 +114,39 @@ def sections_json(sections: Column) -> Column:
     return F.when(F.coalesce(F.size(sections), F.lit(0)) > 0, body).otherwise("")
 
 
-def external_texts(ext_pages: DataFrame, min_length: int | None = None) -> DataFrame:
-    """Partner pages as ``ext_key, ext_text``; empty pages, and those not above ``min_length``, do not count."""
-    usable = F.length("html") > (0 if min_length is None else min_length)
-    return parse_pages(ext_pages.where(usable)).select(
+def one_per_key(pages: DataFrame, keys: DataFrame) -> DataFrame:
+    """The pages of the given keys (``page_key``, distinct), one per key: of several the smallest text counts."""
+    return pages.join(keys, "page_key", "left_semi").groupBy("page_key").agg(F.min("html").alias("html"))
+
+
+def external_texts(ext_pages: DataFrame, links: DataFrame, min_length: int | None = None) -> DataFrame:
+    """The linked partner pages as ``ext_key, ext_text``; empty pages, and those not above ``min_length``, do not count."""
+    usable = ext_pages.where(F.length("html") > (0 if min_length is None else min_length))
+    return parse_pages(one_per_key(usable, links.withColumnRenamed("ext_key", "page_key"))).select(
         F.col("page_key").alias("ext_key"), F.col("raw_text").alias("ext_text")
     )
 
 
-def page_sections(pages: DataFrame, ext_pages: DataFrame, min_external_length: int | None = None) -> DataFrame:
+def page_sections(
+    pages: DataFrame,
+    ext_pages: DataFrame,
+    min_external_length: int | None = None,
+    keys: DataFrame | None = None,
+    titles: list[str] = S.SECTION_TITLES,
+    link_id: str = S.EXTERNAL_LINK_ID,
+) -> DataFrame:
     """One row per page key: sections, rendered text, raw text, quality, file name.
 
-    Only pages that name the partner-link element can have a link, so only they are joined to the partner
-    pages; all others go from the scan to their sections without a shuffle. Many pages may name the same
-    partner page: adaptive execution splits such a key on the page side of the join.
+    With ``keys`` (``page_key``, distinct) only their pages are read, one per key: the others are left out on the scan's
+    side of the parser. Without, every row of ``pages`` is parsed where it is scanned. Parsed pages are written once;
+    the partner pages that they link to, and no others, are parsed next, and only linked pages are joined to them.
     """
-    may_link = F.coalesce(F.contains("html", F.lit(S.EXTERNAL_LINK_ID)), F.lit(False))
-    linked = parse_pages(pages.where(may_link)).withColumn("ext_key", page_key(F.col("link")))
-    joined = linked.join(external_texts(ext_pages, min_external_length), "ext_key", "left")
-    plain = parse_pages(pages.where(~may_link)).withColumns(
-        {"ext_key": F.lit(None).cast("string"), "ext_text": F.lit(None).cast("string")}
-    )
+    wanted = pages if keys is None else one_per_key(pages, keys)
+    parsed = checkpointed(parse_pages(wanted, titles, link_id).withColumn("ext_key", page_key(F.col("link"))))
+    linked = parsed.where(F.col("ext_key").isNotNull())
+    found = external_texts(ext_pages, linked.select("ext_key").distinct(), min_external_length)
+    joined = linked.join(found, "ext_key", "left")
+    plain = parsed.where(F.col("ext_key").isNull()).withColumn("ext_text", F.lit(None).cast("string"))
     parsed = plain.unionByName(joined)
 
     external = F.col("ext_text").isNotNull()
@@ -129,7 +154,7 @@ def page_sections(pages: DataFrame, ext_pages: DataFrame, min_external_length: i
         last_text_per_title(F.col("strong_blocks"))
     )
     staged = parsed.withColumn("__tag", F.when(~external, tag_blocks))
-    staged = with_colon_sections(staged, F.when(F.size("__tag") == 0, F.col("raw_text")))
+    staged = with_colon_sections(staged, F.when(F.size("__tag") == 0, F.col("raw_text")), titles=titles)
     blocks = F.coalesce(F.when(F.size("__tag") > 0, F.col("__tag")), last_text_per_title(F.col("colon_blocks")))
     staged = staged.withColumn("__blocks", blocks).withColumn(
         "html_quality",
@@ -151,9 +176,15 @@ def page_sections(pages: DataFrame, ext_pages: DataFrame, min_external_length: i
         .alias("raw_text"),
         "html_quality",
         F.when(external, F.col("ext_key")).otherwise(F.col("page_key")).alias("html_filename"),
+        "refused",
     )
 
 
+def wanted_pages(vacancies: DataFrame, refnr: str = "refnr") -> DataFrame:
+    """``page_key`` of the vacancies that have a number, each once."""
+    return vacancies.where(filled(F.col(refnr)).isNotNull()).select(page_key(F.col(refnr)).alias("page_key")).distinct()
+
+
 def attach_sections(vacancies: DataFrame, sections: DataFrame, refnr: str = "refnr") -> DataFrame:
     """Left join of vacancies to their page sections by the key of the reference number.
 
@@ -167,6 +198,7 @@ def attach_sections(vacancies: DataFrame, sections: DataFrame, refnr: str = "ref
     return joined.withColumns(
         {
             "html_quality": F.coalesce("html_quality", F.lit("empty")),
+            "refused": F.coalesce("refused", F.lit(False)),
             "html_filename": F.when(missing, F.lit("")).otherwise(F.coalesce("html_filename", "page_key")),
         }
     ).drop("page_key")

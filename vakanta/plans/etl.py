@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vakanta import settings as S
@@ -13,9 +13,10 @@ from vakanta.functions import variants as V
 from vakanta.functions.dates import posting_date
 from vakanta.functions.places import location_text, with_location_fields
 from vakanta.functions.text import filled, first_filled, strip
-from vakanta.functions.titles import job_url
-from vakanta.operators.pages import attach_sections, page_sections, sections_json
+from vakanta.functions.titles import job_url, page_key
+from vakanta.operators.pages import attach_sections, page_sections, sections_json, wanted_pages
 from vakanta.operators.selection import export_order, first_wins, recent
+from vakanta.session import checkpointed
 from vakanta.sources import landing, sinks
 
 INGEST_ORDER = ["term_rank", "page", "pos"]
@@ -50,6 +51,7 @@ def item_fields(items: DataFrame) -> DataFrame:
         }
     ).drop(*ITEM_FIELDS)
     reason = F.coalesce(
+        *([F.col("file_error")] if "file_error" in items.columns else []),
         F.when(~V.is_object(item), F.lit("item is not an object")),
         *[
             F.when(V.is_set(F.col(f"__{name}")) & ~V.is_string(F.col(f"__{name}")), F.lit(f"{name} is not a string"))
@@ -74,7 +76,7 @@ def item_fields(items: DataFrame) -> DataFrame:
             "contract_type": V.text(F.col("__contract")),
         }
     )
-    return out.drop("__posted", "__place", "__salary", "__contract", *[f"__{name}" for name in values])
+    return out.drop("file_error", "__posted", "__place", "__salary", "__contract", *[f"__{name}" for name in values])
 
 
 def split_rejects(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -160,10 +162,37 @@ def normalise(
     normalized_at: dt.datetime | str,
     days: int = S.DAYS_WINDOW,
 ) -> DataFrame:
-    """The whole job as one lazy plan, from items (``search_term, term_rank, page, pos, item``) to vacancies."""
+    """The whole job, from items (``search_term, term_rank, page, pos, item``) to vacancies.
+
+    Vacancies whose page cannot be read are left out; ``with_pages`` tells them.
+    """
     good, _ = split_rejects(item_fields(items))
-    sections = page_sections(pages, ext_pages)
-    return describe(attach_sections(unique_recent(good, as_of, days), sections), normalized_at)
+    return describe(readable(with_pages(unique_recent(good, as_of, days), pages, ext_pages)), normalized_at)
+
+
+def with_pages(kept: DataFrame, pages: DataFrame, ext_pages: DataFrame, lookup: Column | None = None) -> DataFrame:
+    """Kept vacancies with the sections of their pages; ``refused`` marks those whose page cannot be read.
+
+    Vacancies are cut down first and written once, narrow as they are; their keys then decide which pages are parsed.
+    ``lookup`` may narrow that to the vacancies whose page matters.
+    """
+    kept = checkpointed(kept)
+    keys = wanted_pages(kept if lookup is None else kept.where(lookup))
+    return attach_sections(kept, page_sections(pages, ext_pages, keys=keys))
+
+
+def readable(attached: DataFrame) -> DataFrame:
+    return attached.where(~F.col("refused"))
+
+
+def experience_levels(
+    items: DataFrame, pages: DataFrame, ext_pages: DataFrame, as_of: dt.date | str, days: int = S.DAYS_WINDOW
+) -> DataFrame:
+    """``experience_level`` of each vacancy alone: pages are parsed only where the title gives no level."""
+    good, _ = split_rejects(item_fields(items))
+    untold = levels.level_from_title(F.col("job_title")).isNull()
+    attached = with_pages(unique_recent(good, as_of, days), pages, ext_pages, untold)
+    return describe(readable(attached), dt.datetime(1970, 1, 1)).select("experience_level")
 
 
 def staged_items(items: DataFrame) -> DataFrame:
@@ -195,13 +224,17 @@ def finish_etl(
 ) -> str | None:
     """Write rejects and the vacancy table of a staged table; returns the table's path, None if it is empty."""
     bad = staged.where("rejected").select(F.col("reject_reason").alias("error"), F.parse_json("item").alias("item"))
-    sinks.write_rejects(bad, f"{out_path}/rejects")
     good = staged.where("not rejected").drop("item", "reject_reason", "rejected")
     if recent(good, as_of, days).isEmpty():
+        sinks.write_rejects(bad, f"{out_path}/rejects")
         return None
-    kept = unique_recent(good, as_of, days)
-    vacancies = describe(attach_sections(kept, page_sections(pages, ext_pages)), normalized_at)
-    return sinks.write_vacancies(vacancies, f"{out_path}/vacancies")
+    attached = with_pages(unique_recent(good, as_of, days), pages, ext_pages)
+    fields = F.struct("job_title", "company", "location", "refnr", "page_key")
+    unread = attached.withColumn("page_key", page_key(F.col("refnr"))).where("refused").select(
+        F.lit("page cannot be read").alias("error"), F.parse_json(F.to_json(fields)).alias("item")
+    )
+    sinks.write_rejects(bad.unionByName(unread), f"{out_path}/rejects")
+    return sinks.write_vacancies(describe(readable(attached), normalized_at), f"{out_path}/vacancies")
 
 
 def run_etl(

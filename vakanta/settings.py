@@ -192,6 +192,14 @@ CITY_STATES = ["berlin", "hamburg", "bremen"]
 COUNTRY = "deutschland"
 STREET_SUFFIXES = ["straße", "str.", "weg", "allee", "platz", "ring", "gasse"]
 UNKNOWN = "Unknown"
+ADDRESS_LETTERS = "A-Za-zÄÖÜäöüß"
+# month names of posting dates, by number
+MONTHS = {
+    1: ["january", "jan", "januar", "jänner"], 2: ["february", "feb", "februar"], 3: ["march", "mar", "märz", "mrz"],
+    4: ["april", "apr"], 5: ["may", "mai"], 6: ["june", "jun", "juni"], 7: ["july", "jul", "juli"], 8: ["august", "aug"],
+    9: ["september", "sep", "sept"], 10: ["october", "oct", "oktober", "okt"], 11: ["november", "nov"],
+    12: ["december", "dec", "dezember", "dez"],
+}
 
 SECTION_TITLES = [
     "stellenbeschreibung", "ihre aufgaben", "ihr profil", "wir bieten", "über uns",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vakanta import settings as S
 
+CORRUPT = "_corrupt_record"
 LANDING_SCHEMA = f"{S.ENVELOPE_SCHEMA}, search_term string, page int"
 
 
@@ -14,14 +15,19 @@ def items(envelopes: DataFrame, terms: list[str] = S.SEARCH_TERMS) -> DataFrame:
     """One row per item of ``stellenangebote`` or, where that is missing or empty, of ``jobs``.
 
     ``term_rank``, ``page`` and ``pos`` together give the order in which items were found; result pages of
-    other terms are left out.
+    other terms are left out. Where the envelopes have the text of unreadable files, each gives one row.
     """
     listed = F.when(F.size("stellenangebote") > 0, F.col("stellenangebote")).otherwise(F.col("jobs"))
     rank = F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("search_term"))
-    return (
-        envelopes.where(F.col("search_term").isin(terms))
-        .withColumn("term_rank", rank)
-        .select("search_term", "term_rank", "page", F.posexplode(listed).alias("pos", "item"))
+    known = envelopes.where(F.col("search_term").isin(terms)).withColumn("term_rank", rank)
+    if CORRUPT not in envelopes.columns:
+        return known.select("search_term", "term_rank", "page", F.posexplode(listed).alias("pos", "item"))
+    broken = F.col(CORRUPT).isNotNull()
+    quoted = F.to_json(F.array(CORRUPT))  # a list of one text; without its brackets, JSON of the text
+    text = F.parse_json(F.substr(quoted, F.lit(2), F.length(quoted) - 2))
+    error = F.when(broken, F.lit("file is not readable JSON")).alias("file_error")
+    return known.select(
+        "search_term", "term_rank", "page", error, F.posexplode(F.when(broken, F.array(text)).otherwise(listed)).alias("pos", "item")
     )
 
 
@@ -30,7 +36,8 @@ def read_landing(
 ) -> DataFrame:
     """Items under ``path/search_term=.../page=.../*.json``; only directories of the given terms are read.
 
-    A file holds one envelope, or one per line (splittable, for compacted landings).
+    A file holds one envelope, or one per line (splittable, for compacted landings). A file or line that is no JSON gives
+    one row: its text as the item, and ``file_error``.
     """
-    reader = spark.read.schema(LANDING_SCHEMA).option("multiLine", not one_envelope_per_line)
-    return items(reader.json(path), terms)
+    reader = spark.read.schema(f"{LANDING_SCHEMA}, {CORRUPT} string").option("multiLine", not one_envelope_per_line)
+    return items(reader.option("columnNameOfCorruptRecord", CORRUPT).json(path), terms)

@@ -30,11 +30,20 @@ def as_geocache(df: DataFrame) -> DataFrame:
 
 
 def read_geocache(spark: SparkSession, path: str) -> DataFrame:
-    """City coordinates from CSV, with the row number in the file; an empty table if the path does not exist."""
+    """City coordinates from CSV with each row's place in ``cache_row``; an empty table if the path does not exist.
+
+    A place is file, block and row: rows of a block are read in order by one task, so the order of places does not depend
+    on how files are dealt to tasks.
+    """
     try:
         rows = spark.read.schema(S.GEO_SCHEMA).option("header", True).csv(os.fspath(path))
-        return as_geocache(rows.withColumn("cache_row", F.monotonically_increasing_id()))
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+        return as_geocache(rows.withColumn("cache_row", place))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], S.GEO_SCHEMA + ", cache_row long")
+        return spark.createDataFrame([], S.GEO_SCHEMA + ", cache_row struct<file:string,block:bigint,row:bigint>")

@@ -8,11 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vakanta import settings as S
 from vakanta.plans.etl import staged_items
-from vakanta.sources.landing import LANDING_SCHEMA, items
+from vakanta.sources.landing import CORRUPT, LANDING_SCHEMA, items
 
 
 def stream_items(spark: SparkSession, path: str, terms: list[str] = S.SEARCH_TERMS) -> DataFrame:
-    envelopes = spark.readStream.schema(LANDING_SCHEMA).option("multiLine", True).json(path)
+    reader = spark.readStream.schema(f"{LANDING_SCHEMA}, {CORRUPT} string").option("multiLine", True)
+    envelopes = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
     return staged_items(items(envelopes, terms))
 
 
