@@ -129,7 +129,8 @@ from (select o_orderkey as k, o_custkey as cust, cast(o_orderkey % 13 as int) +
 
 # One row per order: the analysis table.
 ANALYSIS_SQL = f"""
-select k, {pick("k", [*TERMS, None, *TERMS[:3]])} as search_term, {pick("k", TITLES)} as job_title, posted_date,
+select k, {pick("k", [*TERMS, None, *TERMS[:3]])} as search_term, case when k % 19 = 11 then 'Data Engineer Abteilung ' || cast(cast(floor(k / 190) as bigint) as varchar(20))
+       else {pick("k", TITLES)} end as job_title, posted_date,
   case when k % 3 = 0 then 'Berlin' else {pick("k", CITIES)} end as city,
   {pick("k", STATES)} as state,
   {pick("k", HARD)} as hard_skills,

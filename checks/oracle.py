@@ -236,6 +236,15 @@ CITY_STATS = f"""(select {normal_city("city")} as "City", n as "Vacancies"
   from (select city, count(*) as n from {ANALYSIS} v where city is not null group by city) c0)"""
 
 GERMAN_STOPS = ", ".join(f"'{w}'" for w in S.GERMAN_STOP_WORDS)
+# of the class that the clustering takes its English list from; words of one letter never reach it
+ENGLISH_STOPS = ", ".join("'" + w + "'" for w in (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
+    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had "
+    "having do does did doing a an the and but if or because as until while of at by for with about against between into through "
+    "during before after above below to from up down in out on off over under again further then once here there when where why how "
+    "all any both each few more most other some such no nor not only own same so than too very s t can will just don should now "
+    "could would might must shall cannot ought let"
+).split())
 DOCUMENT_STOPS = ", ".join(f"'{w}'" for w in DOCUMENT_STOP_WORDS)
 
 
@@ -254,6 +263,22 @@ DOCUMENT_TERMS = f"""counts as (select lang, doc_id, term, count(*) as tf
   vocabulary as (select *, ln((1 + n_docs) / (1 + df)) + 1 as idf
     from (select lang, term, count(*) as df from counts group by all having count(*) >= 2) join sizes using (lang))"""
 
+TITLE_VECTORS = f"""docs as (select experience_level, search_term, clean_title, count(*) as weight, any_value(n_docs) as n_docs
+        from {TITLES} t join {BIG_GROUPS} b using (experience_level, search_term) where clean_title <> '' group by all),
+      counts as (select experience_level, search_term, clean_title, weight, n_docs, term, count(*) as tf
+        from (select *, unnest({terms("clean_title", GERMAN_STOPS)}) as term from docs) group by all),
+      vocabulary as (select experience_level, search_term, term, sum(weight) as df from counts group by all
+        having sum(weight) >= 2),
+      raw as (select *, ln((1 + n_docs) / (1 + df)) + 1 as idf from counts join vocabulary using (experience_level, search_term, term)),
+      unit as (select *, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) over (partition by experience_level, search_term, clean_title))
+          as u from raw)"""
+
+
+def skill_certificate(column: str) -> str:
+    return f"""select '{column}' as skill_type, count(distinct skill) as documents, count(distinct skill) as in_one_cluster,
+      0 as not_nearest, 0 as off_mean, true as converged from (select unnest({skills_of(column, 2)}) as skill from {ANALYSIS} v)"""
+
+
 NL = "chr(10)"
 
 
@@ -459,25 +484,39 @@ ORACLE: dict[str, str] = {
     "geocache_updated": f"""select "City", "Latitude", "Longitude" from {KNOWN} k union all
       select "City", "Latitude", "Longitude" from ({D.for_duckdb(D.FOUND_SQL)}) f
       where "Latitude" <> 0 and "Longitude" <> 0 and "City" not in (select "City" from {KNOWN} k)""",
-    "tfidf_titles": f"""with docs as (select experience_level, search_term, clean_title, count(*) as weight, any_value(n_docs) as n_docs
-        from {TITLES} t join {BIG_GROUPS} b using (experience_level, search_term) where clean_title <> '' group by all),
-      counts as (select experience_level, search_term, clean_title, weight, n_docs, term, count(*) as tf
-        from (select *, unnest({terms("clean_title", GERMAN_STOPS)}) as term from docs) group by all),
-      vocabulary as (select experience_level, search_term, term, sum(weight) as df from counts group by all
-        having sum(weight) >= 2),
-      raw as (select *, ln((1 + n_docs) / (1 + df)) + 1 as idf from counts join vocabulary using (experience_level, search_term, term))
+    "tfidf_titles": f"""with {TITLE_VECTORS}
       select experience_level, search_term, clean_title, term, tf, df::bigint as df, n_docs, round(idf, 6) as idf,
-        round(tf * idf / sqrt(sum((tf * idf) * (tf * idf)) over (partition by experience_level, search_term, clean_title)), 6)
-          as tfidf
-      from raw""",
+        round(u, 6) as tfidf from unit""",
     "title_group_status": f"""select experience_level, search_term, count(*) filter (clean_title <> '') as n_titles,
         if(count(*) filter (clean_title <> '') < 5, 'insufficient data', 'clustered') as status from {TITLES} t group by all""",
     "doc_frequency_documents": f"with {DOCUMENT_TERMS} select lang, term, df, n_docs, round(idf, 6) as idf from vocabulary",
     "tfidf_documents": f"""with {DOCUMENT_TERMS},
       raw as (select lang, doc_id, term, df, n_docs, tf * idf as w from counts join vocabulary using (lang, term)),
       unit as (select *, w / sqrt(sum(w * w) over (partition by lang, doc_id)) as u from raw),
-      means as (select lang, term, round(sum(u) / any_value(n_docs), 9) as m, any_value(df) as df from unit group by all),
-      ranked as (select *, row_number() over (partition by lang order by m desc, term) as rank from means)
-      select lang, term, df, round(m, 6) as mean_weight, rank from ranked where rank <= 50""",
+      means as (select lang, term, round(sum(u) / any_value(n_docs), 9) as m, any_value(df) as df from unit group by all)
+      select lang, term, df, round(m, 6) as mean_weight from means""",
+    "english_stop_word_terms": f"""select term, sum(tf)::bigint as n, count(*) as df from (select doc_id, term, count(*) as tf
+        from (select doc_id, unnest({terms("text", ENGLISH_STOPS)}) as term from documents where lang = 'en') group by all)
+      group by term""",
+    "title_cluster_certificate": f"""select experience_level, search_term, n_docs as documents, n_docs as in_one_cluster,
+        0 as not_nearest, 0 as off_mean, true as converged from {BIG_GROUPS} b""",
+    "skill_cluster_certificate_hard": skill_certificate("hard_skills"),
+    "skill_cluster_certificate_soft": skill_certificate("soft_skills"),
+    "given_cluster_sizes": f"""select experience_level, search_term, length(clean_title) % 5 as cluster, count(*) as n_titles
+      from {TITLES} t join {BIG_GROUPS} b using (experience_level, search_term) where clean_title <> '' group by all""",
+    "given_cluster_terms": f"""with {TITLE_VECTORS},
+      n as (select experience_level, search_term, length(clean_title) % 5 as cluster, sum(weight) as n from docs group by all),
+      means as (select experience_level, search_term, length(clean_title) % 5 as cluster, term, sum(u * weight) as s from unit
+        group by all),
+      ranked as (select *, round(s / n, 9) as w, row_number() over (partition by experience_level, search_term, cluster
+          order by round(s / n, 9) desc, term) as rank
+        from means join n using (experience_level, search_term, cluster) where round(s / n, 9) > 0)
+      select experience_level, search_term, cluster, term, round(w, 6) as centroid_weight, rank from ranked where rank <= 8""",
+    "given_cluster_examples": f"""select experience_level, search_term, length(clean_title) % 5 as cluster, rank, job_title
+      from (select *, row_number() over (partition by experience_level, search_term, length(clean_title) % 5
+          order by job_title desc) as rank
+        from (select label as experience_level, search_term, job_title, {clean_title("job_title")} as clean_title
+          from {ANALYSIS} v where label in ('entry', 'advanced') and search_term is not null) t
+        join {BIG_GROUPS} b using (experience_level, search_term) where clean_title <> '') where rank <= 5""",
     "title_cluster_totals": f"select experience_level, search_term, n_docs as n_titles from {BIG_GROUPS} b",
 }

@@ -18,6 +18,7 @@ from vakanta.operators import clusters, geography, pages, reports, selection, tf
 from vakanta.operators.rows import each
 from vakanta.plans import etl
 from vakanta.plans.analytics import geo_reports
+from vakanta.session import checkpointed
 from vakanta.sources import landing, tables
 
 AS_OF = "2001-08-01"
@@ -34,6 +35,7 @@ GENERIC_DICTIONARY = [
 OWN_DICTIONARY = [(r"\bund\b", "Python"), (r"\bthe\b|\bles?\b", "SQL"), (r"\b(que|de)\b", "Python"), (r"\bof ?the\b", "Lean")]
 OWN_LEVELS = [(r"\bund\b", "Senior"), (r"\bthe\b|\bque\b", "Junior"), (r"\bde\b", "Mid"), (r"\b(of|les?)\b", "Lead")]
 OWN_KEYWORDS = (["analyst"], ["engineer", "rpa", "sales"], ["rpa"])
+TITLE_GROUP = clusters.TITLE_GROUP
 DOCUMENT_STOP_WORDS = ["der", "die", "und", "the", "of", "le", "la", "que", "de", "en"]
 
 
@@ -365,9 +367,67 @@ def doc_frequency_documents(spark, sf):
 
 
 def tfidf_documents(spark, sf):
+    """Mean weight of every term of each language's documents."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "doc_id", "text")
     vectors = tfidf.tfidf(docs, ["lang"], "doc_id", "text", stop_words=DOCUMENT_STOP_WORDS, min_df=2)
-    return _rounded(tfidf.mean_weights(vectors, ["lang"], 50), "mean_weight")
+    return _rounded(tfidf.mean_weights(vectors, ["lang"]), "mean_weight")
+
+
+def english_stop_word_terms(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").select("lang", "doc_id", "text")
+    counts = tfidf.term_counts(docs, ["lang"], "doc_id", "text", stop_words=clusters.english_stop_words())
+    return counts.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
+
+
+def _title_run(spark, sf):
+    titles = checkpointed(clusters.cleaned_titles(_labelled(spark, sf)))
+    docs = checkpointed(clusters.title_documents(titles))
+    return titles, docs, checkpointed(clusters.title_vectors(docs))
+
+
+def title_cluster_certificate(spark, sf):
+    """A run of the clustering, judged by its vectors: documents in one cluster, none nearer elsewhere, centroids at means."""
+    _, docs, vectors = _title_run(spark, sf)
+    labels, centroids, ended = clusters.kmeans(docs, vectors, TITLE_GROUP, "clean_title", S.TITLE_CLUSTERS, tolerance=0.0)
+    found = clusters.certificate(docs, vectors, labels, checkpointed(centroids), TITLE_GROUP, "clean_title", 1e-6)
+    return found.join(ended, TITLE_GROUP)
+
+
+def _skill_certificate(spark, sf, column):
+    docs = checkpointed(clusters.skill_documents(_analysis(spark, sf), column))
+    vectors = checkpointed(clusters.skill_vectors(docs))
+    labels, centroids, ended = clusters.kmeans(docs, vectors, ["skill_type"], "skill", S.SKILL_CLUSTERS, tolerance=0.0)
+    found = clusters.certificate(docs, vectors, labels, checkpointed(centroids), ["skill_type"], "skill", 1e-6)
+    return found.join(ended, ["skill_type"])
+
+
+def skill_cluster_certificate_hard(spark, sf):
+    return _skill_certificate(spark, sf, "hard_skills")
+
+
+def skill_cluster_certificate_soft(spark, sf):
+    return _skill_certificate(spark, sf, "soft_skills")
+
+
+def _given_labels(docs):
+    return docs.withColumn("cluster", (F.length("clean_title") % 5).cast("long"))
+
+
+def given_cluster_sizes(spark, sf):
+    """Sizes under an assignment that anyone can compute."""
+    labels = _given_labels(clusters.title_documents(clusters.cleaned_titles(_labelled(spark, sf))))
+    return clusters.cluster_sizes(labels)
+
+
+def given_cluster_terms(spark, sf):
+    _, docs, vectors = _title_run(spark, sf)
+    means = clusters.cluster_means(vectors, _given_labels(docs), TITLE_GROUP, "clean_title")
+    return _rounded(clusters.top_terms(means, TITLE_GROUP), "centroid_weight")
+
+
+def given_cluster_examples(spark, sf):
+    titles = checkpointed(clusters.cleaned_titles(_labelled(spark, sf)))
+    return clusters.title_examples(titles, _given_labels(clusters.title_documents(titles)))
 
 
 def title_clusters(spark, sf):
@@ -406,7 +466,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         top_skills_soft, city_top25, state_top16, geo_by_level, repeated_words_hard, repeated_words_soft,
         geocache_source, city_coordinates, city_coordinates_merged, city_coordinates_by_scope,
         cities_without_coordinates, geo_coverage, geocache_updated, tfidf_titles, title_group_status,
-        doc_frequency_documents, tfidf_documents, title_clusters, title_cluster_totals, title_cluster_terms,
+        doc_frequency_documents, tfidf_documents, english_stop_word_terms, title_cluster_certificate,
+        skill_cluster_certificate_hard, skill_cluster_certificate_soft, given_cluster_sizes, given_cluster_terms,
+        given_cluster_examples, title_clusters, title_cluster_totals, title_cluster_terms,
         title_cluster_examples, skill_clusters_hard, skill_clusters_soft,
     ]
 }

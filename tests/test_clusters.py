@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from vakanta import settings as S
 from vakanta.operators import clusters as C
 from vakanta.operators import lookup as L
-from vakanta.operators.tfidf import tfidf
+from vakanta.operators.tfidf import term_counts, tfidf
 
 TITLES = [
     "Data Engineer", "Data Analyst", "Senior Data Engineer", "Process Manager", "Prozess Manager RPA", "RPA Developer",
@@ -55,7 +55,7 @@ def test_terms_and_examples(result):
 
 
 def test_result_does_not_depend_on_partitions_or_join(result, vacancies, monkeypatch):
-    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)  # take the path of vocabularies that are too large to broadcast
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 0)  # take the path of vocabularies that are too large to broadcast
     again = C.title_clusters(vacancies.repartition(5))
     assert as_set(again.labels) == as_set(result.labels)
 
@@ -66,11 +66,15 @@ def test_cost_falls_and_labels_are_nearest(spark, monkeypatch):
     costs, step = [], C.KMeans.step
 
     def recorded(self):
-        costs.append(step(self))
-        return costs[-1]
+        moving = step(self)
+        costs.append(-self.centroids.agg(F.max("explained")).first()[0])
+        return moving
 
     monkeypatch.setattr(C.KMeans, "step", recorded)
-    labels, centroids = C.kmeans(docs, vectors, ["g"], "d", 3)
+    labels, centroids, ended = C.kmeans(docs, vectors, ["g"], "d", 3)
+    assert as_set(ended) == {("g", True)} and len(costs) > 1
+    found = C.certificate(docs, vectors, labels, centroids, ["g"], "d").first()
+    assert (found["documents"], found["in_one_cluster"], found["not_nearest"], found["off_mean"]) == (66, 66, 0, 0)
     assert all(b <= a + 1e-9 for a, b in zip(costs, costs[1:], strict=False))
 
     vec, cen = {}, {}
@@ -96,13 +100,36 @@ def test_skill_clusters(spark):
     assert shown.count() == S.SKILL_CLUSTER_SHOWN
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_lookup_equals_a_plain_join(spark, monkeypatch, small):
-    monkeypatch.setattr(L, "HOT_KEYS", 2)
-    left = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id % 40)) as k")
-    right = left.groupBy("k").count().where("k <> 'k7'").selectExpr("k", "count as n", "length(k) as v")
-    got = L.lookup(left, right, ["k"], "n", small).select("id", "k", "n", "v")
-    assert as_set(got) == as_set(left.join(right, "k", "left").select("id", "k", "n", "v"))
+def test_a_group_does_not_depend_on_others(spark):
+    """Labels of a small group are the same alone and next to a heavy one; passes without convergence are told."""
+    few = [("small", f"{a} {b} {c}", 1) for a in ("data", "rpa", "ki") for b in ("engineer", "analyst", "lead") for c in ("x1", "y1", "z1")]
+    many = [("heavy", f"{TITLES[i % 11].lower()} w{i % 17} v{i % 5}", 1000 + i) for i in range(90)]
+
+    def run(rows, **more):
+        docs = spark.createDataFrame(rows, "g string, d string, weight long").distinct().groupBy("g", "d").agg(F.max("weight").alias("weight"))
+        vectors = tfidf(docs.withColumn("t", F.col("d")), ["g"], "d", "t", "weight", [])
+        labels, _, ended = C.kmeans(docs, vectors, ["g"], "d", 4, **more)
+        return as_set(labels.where("g = 'small'")), as_set(ended)
+
+    alone, ended = run(few, tolerance=0.0)
+    assert ended == {("small", True)}
+    assert run(few + many, tolerance=0.0)[0] == alone
+    assert run(few, max_passes=1)[1] == {("small", False)}
+
+
+def test_measured_bytes_count_texts(spark):
+    df = spark.createDataFrame([("a" * 1000, 1), ("é", 2), (None, 3)], "t string, n long")
+    assert L.measured_bytes(df) == 1002 + 3 * 48
+
+
+def test_counts_in_the_row_equal_an_aggregate(spark):
+    docs = spark.createDataFrame([(1, "b a b c und a b"), (2, ""), (3, None), (4, "zz")], "d int, t string").withColumn("g", F.lit(1))
+    got = {(r["d"], r["term"], r["tf"]) for r in term_counts(docs, ["g"], "d", "t", stop_words=["und"]).collect()}
+    assert got == {(4, "zz", 1)}  # words of one letter do not count
+    docs = docs.withColumn("t", F.regexp_replace("t", r"(\w)", "$1$1"))
+    got = {(r["d"], r["term"], r["tf"]) for r in term_counts(docs, ["g"], "d", "t", stop_words=[]).where("d = 1").collect()}
+    assert {x for x in got if " " not in x[1]} == {(1, "aa", 2), (1, "bb", 3), (1, "cc", 1), (1, "uunndd", 1)}
+    assert (1, "bb aa", 1) in got and (1, "aa bb", 2) in got
 
 
 def test_idf_and_unit_length(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vakanta import settings as S
 from vakanta.functions import levels, places, skills, text, titles
-from vakanta.functions.dates import posting_date
+from vakanta.functions.dates import is_unread, posting_date
 
 
 def test_location_text(values):

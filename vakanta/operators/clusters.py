@@ -1,9 +1,10 @@
 """K-means on TF-IDF vectors, for many groups of documents in one job.
 
 The vectors stay in a long table ``group, doc, weight, term, w`` and the centroids in a table with one row per
-term of a group and one column per cluster. A pass joins the two, sums the products per document, assigns
-each document to its nearest centroid and sums the new centroids per term, with partial sums before the
-shuffle. Only totals reach the driver.
+term of a group and one column per cluster. A pass joins the two, sums the products per document, assigns each
+document to its nearest centroid and sums the new centroids per term, with partial sums before the
+shuffle. Each group stops for itself, when a pass explains hardly more of it than the one before; its centroids then
+stay. Only the number of groups still moving reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from vakanta import settings as S
 from vakanta.functions.skills import skill_list
 from vakanta.functions.titles import clean_title
-from vakanta.operators.lookup import BROADCAST_BYTES, lookup
+from vakanta.operators import lookup
 from vakanta.operators.rows import each
 from vakanta.operators.tfidf import tfidf
 from vakanta.session import checkpointed, spread_by
@@ -46,8 +47,9 @@ class KMeans:
     """State of one run.
 
     ``terms`` holds the vectors, ``sizes`` the weight of documents without any term per group. ``centroids``
-    has ``group, term, df`` and for each cluster ``j`` the weight ``c{j}`` of the term and the squared length
-    ``q{j}`` of the centroid, null where the group has no such cluster.
+    has ``group, term``, for each cluster ``j`` the weight ``c{j}`` of the term and the squared length ``q{j}`` of the
+    centroid, null where the group has no such cluster, and for the group ``explained``, the squared length that its
+    centroids explain, and ``done``. ``small`` and ``few`` tell that centroids and groups are measured to fit a broadcast.
     """
 
     terms: DataFrame
@@ -56,15 +58,21 @@ class KMeans:
     doc: str
     k: int
     seed: int
+    tolerance: float
     small: bool
+    few: bool
     centroids: DataFrame
 
+    def _per_group(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.few else df
+
     def _of_document(self, expression: str) -> str:
         return f"{expression} over (partition by {', '.join([*self.group, self.doc])})"
 
     def assigned(self) -> DataFrame:
         """Vector rows with products summed per document, nearest cluster, and a mark on one row per document."""
-        rows = lookup(self.terms, self.centroids, [*self.group, "term"], "df", self.small)
+        centroids = F.broadcast(self.centroids) if self.small else self.centroids
+        rows = self.terms.join(centroids, [*self.group, "term"])
         dots = [self._of_document(f"sum(w * c{j})") + f" as dot{j}" for j in range(self.k)]
         head = f"term = {self._of_document('min(term)')} as head"
         nearest = _nearest(_each(self.k, "q{j} - 2 * dot{j}"))
@@ -81,41 +89,64 @@ class KMeans:
         chance = f"(pmod(xxhash64({self.seed}L, {j}, {self.doc}), 1L << 53) + 0.5d) / (1L << 53)"
         chosen_doc = f"max_by({self.doc}, struct(ln({chance}) / (weight * gap), {self.doc})) as {self.doc}"
         picks = rows.where("head and gap > 0").groupBy(*self.group).agg(F.expr(chosen_doc))
-        weights = self.terms.join(picks, [*self.group, self.doc]).selectExpr(*self.group, "term", "w as picked")
+        weights = self.terms.join(self._per_group(picks), [*self.group, self.doc]).selectExpr(*self.group, "term", "w as picked")
         state = self.centroids.join(weights, [*self.group, "term"], "left")
-        state = state.join(picks.selectExpr(*self.group, "true as has_pick"), self.group, "left")
+        state = state.join(self._per_group(picks.selectExpr(*self.group, "true as has_pick")), self.group, "left")
         kept = [c for c in self.centroids.columns if c not in (f"c{j}", f"q{j}")]
         self.centroids = checkpointed(
             state.selectExpr(*kept, f"if(has_pick, coalesce(picked, 0d), null) as c{j}", f"if(has_pick, 1d, null) as q{j}")
         )
 
-    def step(self) -> float:
-        """Move each centroid to the mean of its documents; returns minus the squared length that they explain,
-        which falls from pass to pass by as much as the total squared distance does."""
+    def step(self) -> int:
+        """Move each centroid of the groups not done to the mean of its documents; returns how many groups still move.
+
+        Minus the squared length that the centroids explain falls from pass to pass by as much as the total squared
+        distance does. Sums per term are used several times in the plan; their shuffle is made once and reused.
+        """
         k, group = self.k, self.group
         per_term = [
-            "max(df) as df",
             *_each(k, "sum(if(cluster = {j}, weight * w, 0d)) as s{j}"),
             *_each(k, "sum(if(cluster = {j} and head, weight, 0)) as n{j}"),
             *_each(k, "max(c{j}) as c{j}"),
             *_each(k, "max(q{j}) as q{j}"),
+            "max(explained) as explained",
+            "max(done) as done",
         ]
-        sums = checkpointed(self.assigned().groupBy(*group, "term").agg(*map(F.expr, per_term)))
+        sums = self.assigned().groupBy(*group, "term").agg(*map(F.expr, per_term))
 
         # Documents without terms lie at the origin and belong to the shortest centroid.
         totals = sums.groupBy(*group).agg(*map(F.expr, _each(k, "sum(n{j}) as t{j}") + _each(k, "max(q{j}) as q{j}")))
         shortest = _nearest(_each(k, "q{j}"))
-        counts = totals.join(self.sizes, group).selectExpr(
+        counts = totals.join(self._per_group(self.sizes), group).selectExpr(
             *group, *_each(k, "t{j} + if(" + shortest + " = {j}, no_terms, 0) as m{j}")
         )
-        moved = sums.join(counts, group).selectExpr(
-            *group, "term", "df", *_each(k, "if(m{j} > 0, s{j} / m{j}, c{j}) as c{j}"), *_each(k, "m{j}")
+        moved = sums.join(self._per_group(counts), group).selectExpr(
+            *group,
+            "term",
+            *_each(k, "if(m{j} > 0 and not done, s{j} / m{j}, c{j}) as c{j}"),
+            *_each(k, "m{j}"),
+            "explained as before",
+            "done",
         )
-        lengths = moved.groupBy(*group).agg(*map(F.expr, _each(k, "sum(c{j} * c{j}) as q{j}")))
-        self.centroids = checkpointed(moved.join(lengths, group))
-        explained = " + ".join(_each(k, "coalesce(max(m{j}) * max(q{j}), 0d)"))
-        total = self.centroids.groupBy(*group).agg(F.expr(f"{explained} as e")).agg(F.sum("e")).first()[0]
-        return -(total or 0.0)
+        explained = " + ".join(_each(k, "coalesce(max(m{j}) * sum(c{j} * c{j}), 0d)"))
+        lengths = (
+            moved.groupBy(*group)
+            .agg(
+                *map(F.expr, _each(k, "sum(c{j} * c{j}) as q{j}")),
+                F.expr(f"{explained} as explained"),
+                F.max("before").alias("before"),
+                F.max("done").alias("was_done"),
+            )
+            .selectExpr(
+                *group,
+                *_each(k, "q{j}"),
+                "explained",
+                f"was_done or coalesce(explained - before <= {self.tolerance}d * abs(before), false) as done",
+            )
+        )
+        kept = moved.select(*group, "term", *_each(k, "c{j}"))
+        self.centroids = checkpointed(kept.join(self._per_group(lengths), group))
+        return self.centroids.where("not done").select(*group).distinct().count()
 
     def labels(self) -> DataFrame:
         return self.assigned().where("head").select(*self.group, self.doc, "weight", "cluster")
@@ -129,18 +160,18 @@ def kmeans(
     k: int,
     seed: int = S.CLUSTER_SEED,
     max_passes: int = MAX_PASSES,
-) -> tuple[DataFrame, DataFrame]:
-    """Labels (``group, doc, weight, cluster``) and centroids (``group, cluster, term, centroid_weight``).
+    tolerance: float = MIN_GAIN,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels (``group, doc, weight, cluster``), centroids (``group, cluster, term, centroid_weight``) and, per group,
+    whether it ``converged`` within ``max_passes``.
 
-    ``docs`` has ``group, doc, weight``; ``vectors`` comes from ``tfidf``. Groups without vectors are left out.
+    ``docs`` has ``group, doc, weight``; ``vectors`` comes from ``tfidf``. Groups without vectors are left out. A group's
+    result does not depend on the other groups.
     """
-    terms = checkpointed(
-        spread_by(vectors.select(*group, doc, "weight", "term", "df", F.col("tfidf").alias("w")), *group, doc)
-    )
+    terms = checkpointed(spread_by(vectors.select(*group, doc, "weight", "term", F.col("tfidf").alias("w")), *group, doc))
     nothing = [f"cast(null as double) as {name}{j}" for j in range(k) for name in "cq"]
-    centroids = checkpointed(
-        terms.groupBy(*group, "term").agg(F.max("df").alias("df")).selectExpr(*group, "term", "df", *nothing)
-    )
+    state = ["cast(null as double) as explained", "false as done"]
+    centroids = checkpointed(terms.select(*group, "term").distinct().selectExpr(*group, "term", *nothing, *state))
     with_terms = terms.select(*group, doc).distinct()
     without = docs.select(*group, doc, "weight").join(with_terms, [*group, doc], "left_anti")
     sizes = checkpointed(
@@ -149,24 +180,67 @@ def kmeans(
         .join(centroids.select(*group).distinct(), group, "right")
         .fillna(0, ["no_terms"])
     )
-    size = centroids.count()
-    small = size * (100 + 16 * k) <= BROADCAST_BYTES
-    run = KMeans(terms.drop("df"), sizes, group, doc, k, seed, small, centroids)
-    for j in range(k if size else 0):
+    some = not centroids.isEmpty()
+    small = lookup.measured_bytes(centroids) <= lookup.BROADCAST_BYTES
+    few = lookup.measured_bytes(sizes) + sizes.count() * 64 * k <= lookup.BROADCAST_BYTES
+    run = KMeans(terms, sizes, group, doc, k, seed, tolerance, small, few, centroids)
+    for j in range(k if some else 0):
         run.add_seed(j)
-    cost = None
-    for _ in range(max_passes if size else 0):
-        moved = run.step()
-        if cost is not None and cost - moved <= MIN_GAIN * abs(cost):
+    for _ in range(max_passes if some else 0):
+        if not run.step():
             break
-        cost = moved
 
-    lengths = run.centroids.groupBy(*group).agg(*map(F.expr, _each(k, "max(q{j}) as q{j}")))
+    lengths = run.centroids.groupBy(*group).agg(
+        *map(F.expr, _each(k, "max(q{j}) as q{j}")), F.max("done").alias("converged")
+    )
     shortest = lengths.selectExpr(*group, f"{_nearest(_each(k, 'q{j}'))} as cluster")
     labels = run.labels().unionByName(without.join(shortest, group).select(*group, doc, "weight", "cluster"))
     pairs = ", ".join(_each(k, "named_struct('cluster', {j}L, 'centroid_weight', c{j})"))
     long = run.centroids.selectExpr(*group, "term", f"inline(array({pairs}))")
-    return checkpointed(labels), long.where(F.col("centroid_weight").isNotNull())
+    return checkpointed(labels), long.where(F.col("centroid_weight").isNotNull()), lengths.select(*group, "converged")
+
+
+def cluster_means(vectors: DataFrame, labels: DataFrame, group: list[str], doc: str) -> DataFrame:
+    """``group, cluster, term, centroid_weight``: mean vectors of labelled documents (``group, doc, weight, cluster``)."""
+    of_cluster = [*group, "cluster"]
+    counts = labels.groupBy(*of_cluster).agg(F.sum("weight").alias("__n"))
+    rows = vectors.select(*group, doc, "term", "tfidf").join(labels, [*group, doc])
+    sums = rows.groupBy(*of_cluster, "term").agg(F.sum(F.col("tfidf") * F.col("weight")).alias("__sum"))
+    return sums.join(counts, of_cluster).select(*of_cluster, "term", (F.col("__sum") / F.col("__n")).alias("centroid_weight"))
+
+
+def certificate(
+    docs: DataFrame, vectors: DataFrame, labels: DataFrame, centroids: DataFrame, group: list[str], doc: str, tolerance: float = 0.05
+) -> DataFrame:
+    """Per group: ``documents`` by weight, those ``in_one_cluster``, those ``not_nearest`` to their centroid, and the
+    centroid weights ``off_mean`` by more than ``tolerance``, the bound that the last pass may still have moved them.
+
+    Distances are recomputed from the vectors and centroids alone.
+    """
+    found = labels.groupBy(*group, doc).agg(F.count("*").alias("n"), F.first("cluster").alias("cluster"))
+    joined = docs.select(*group, doc, "weight").join(found, [*group, doc], "left")
+    counts = joined.groupBy(*group).agg(
+        F.sum("weight").alias("documents"), F.sum(F.when(F.col("n") == 1, F.col("weight")).otherwise(0)).alias("in_one_cluster")
+    )
+    squares = centroids.groupBy(*group, "cluster").agg(F.sum(F.col("centroid_weight") ** 2).alias("q"))
+    dots = (
+        vectors.select(*group, doc, "term", "tfidf")
+        .join(centroids, [*group, "term"])
+        .groupBy(*group, doc, "cluster")
+        .agg(F.sum(F.col("tfidf") * F.col("centroid_weight")).alias("dot"))
+    )
+    gaps = dots.join(squares, [*group, "cluster"]).withColumn("gap", F.col("q") - 2 * F.col("dot"))
+    own = gaps.join(labels.select(*group, doc, F.col("cluster").alias("own")), [*group, doc])
+    worst = own.groupBy(*group, doc).agg(
+        F.min("gap").alias("least"), F.max(F.when(F.col("cluster") == F.col("own"), F.col("gap"))).alias("mine")
+    )
+    far = worst.where(F.col("mine") > F.col("least") + 1e-6).groupBy(*group).agg(F.count("*").alias("not_nearest"))
+    means = cluster_means(vectors, labels, group, doc).withColumnRenamed("centroid_weight", "mean")
+    apart = centroids.join(means, [*group, "cluster", "term"], "left").where(
+        F.abs(F.col("centroid_weight") - F.coalesce("mean", F.lit(0.0))) > tolerance
+    )
+    off = apart.groupBy(*group).agg(F.count("*").alias("off_mean"))
+    return counts.join(far, group, "left").join(off, group, "left").fillna(0, ["not_nearest", "off_mean"])
 
 
 def top_terms(centroids: DataFrame, group: list[str], n: int = S.TOP_CLUSTER_TERMS) -> DataFrame:
@@ -181,7 +255,7 @@ def top_terms(centroids: DataFrame, group: list[str], n: int = S.TOP_CLUSTER_TER
 class TitleClusters:
     """Result tables of the title clustering."""
 
-    groups: DataFrame  # experience_level, search_term, n_titles, status
+    groups: DataFrame  # experience_level, search_term, n_titles, status, converged
     labels: DataFrame  # experience_level, search_term, clean_title, n_titles, cluster
     sizes: DataFrame  # experience_level, search_term, cluster, n_titles
     terms: DataFrame  # experience_level, search_term, cluster, rank, term, centroid_weight
@@ -231,6 +305,9 @@ def title_clusters(
     stop_words: list[str] = S.GERMAN_STOP_WORDS,
     min_df: int = 2,
     examples: int = S.CLUSTER_EXAMPLES,
+    terms: int = S.TOP_CLUSTER_TERMS,
+    max_passes: int = MAX_PASSES,
+    tolerance: float = MIN_GAIN,
 ) -> TitleClusters:
     """Cluster the job titles of each level and search term.
 
@@ -238,25 +315,27 @@ def title_clusters(
     """
     titles = checkpointed(cleaned_titles(df, levels))
     docs = checkpointed(title_documents(titles, k))
-    labels, centroids = kmeans(docs, title_vectors(docs, stop_words, min_df), TITLE_GROUP, "clean_title", k, seed)
-    clustered = labels.select(*TITLE_GROUP).distinct().withColumn("__labelled", F.lit(True))
+    vectors = title_vectors(docs, stop_words, min_df)
+    labels, centroids, ended = kmeans(docs, vectors, TITLE_GROUP, "clean_title", k, seed, max_passes, tolerance)
     groups = (
         title_groups(titles, k)
-        .join(clustered, TITLE_GROUP, "left")
+        .join(ended, TITLE_GROUP, "left")
         .withColumn(
             "status",
-            F.when((F.col("status") == "clustered") & F.col("__labelled").isNull(), "no features").otherwise(F.col("status")),
+            F.when((F.col("status") == "clustered") & F.col("converged").isNull(), "no features").otherwise(F.col("status")),
         )
-        .drop("__labelled")
     )
     named = labels.withColumnRenamed("weight", "n_titles")
-    sizes = named.groupBy(*TITLE_GROUP, "cluster").agg(F.sum("n_titles").alias("n_titles"))
     return TitleClusters(
-        groups, named, sizes, top_terms(centroids, TITLE_GROUP), _examples(titles, labels, examples)
+        groups, named, cluster_sizes(labels), top_terms(centroids, TITLE_GROUP, terms), title_examples(titles, labels, examples)
     )
 
 
-def _examples(titles: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+def cluster_sizes(labels: DataFrame) -> DataFrame:
+    return labels.groupBy(*TITLE_GROUP, "cluster").agg(F.sum("weight").alias("n_titles"))
+
+
+def title_examples(titles: DataFrame, labels: DataFrame, n: int = S.CLUSTER_EXAMPLES) -> DataFrame:
     """First ``n`` titles of each cluster, copies included: at most ``n`` distinct ones are ever needed."""
     of_cluster = [*TITLE_GROUP, "cluster"]
     found = titles.join(labels.drop("weight"), [*TITLE_GROUP, "clean_title"])
@@ -285,18 +364,27 @@ def skill_clusters(
     k: int = S.SKILL_CLUSTERS,
     seed: int = S.CLUSTER_SEED,
     stop_words: list[str] | None = None,
+    max_passes: int = MAX_PASSES,
+    tolerance: float = MIN_GAIN,
 ) -> DataFrame | None:
     """``skill, cluster`` of the distinct skills of a column; None if there are fewer than ``k`` skills."""
-    skills = distinct_skills(df, column).select(F.lit(column).alias("skill_type"), "skill", F.lit(1).cast("long").alias("weight"))
-    skills = checkpointed(skills)
+    skills = checkpointed(skill_documents(df, column))
     if skills.limit(k).count() < k:
         return None
-    words = english_stop_words() if stop_words is None else stop_words
-    vectors = tfidf(skills.withColumn("__text", F.col("skill")), ["skill_type"], "skill", "__text", "weight", words)
-    labels, _ = kmeans(skills, vectors, ["skill_type"], "skill", k, seed)
+    vectors = skill_vectors(skills, stop_words)
+    labels, _, _ = kmeans(skills, vectors, ["skill_type"], "skill", k, seed, max_passes, tolerance)
     return labels.select("skill", "cluster")
 
 
+def skill_documents(df: DataFrame, column: str = "hard_skills") -> DataFrame:
+    return distinct_skills(df, column).select(F.lit(column).alias("skill_type"), "skill", F.lit(1).cast("long").alias("weight"))
+
+
+def skill_vectors(skills: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
+    words = english_stop_words() if stop_words is None else stop_words
+    return tfidf(skills.withColumn("__text", F.col("skill")), ["skill_type"], "skill", "__text", "weight", words)
+
+
 def shown_skills(labels: DataFrame, n: int = S.SKILL_CLUSTER_SHOWN) -> DataFrame:
     """The report lists at most ``n`` skills of each cluster."""
     order = W.partitionBy("cluster").orderBy("skill")

@@ -1,34 +1,24 @@
-"""Joining a very large table to one row per key, where a few keys hold much of the large table."""
+"""Joins to tables whose size is measured first."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
-SPREAD = 1024
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], weight: str, small: bool = False) -> DataFrame:
-    """Left join to ``right``, which has one row per key and in ``weight`` the number of left rows of the key.
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a stored table as rows: its texts by their lengths, other columns and the row itself by fixed sizes."""
+    texts = [name for name, kind in df.dtypes if kind == "string"]
+    lengths = sum((F.coalesce(F.octet_length(name), F.lit(0)) for name in texts), F.lit(0))
+    found = df.agg(F.count("*").alias("n"), F.sum(lengths).alias("b")).first()
+    return found["n"] * (16 * len(df.columns) + 16) + (found["b"] or 0)
 
-    ``small``: the caller has checked that ``right`` fits ``BROADCAST_BYTES``; it is broadcast. Otherwise the
-    ``HOT_KEYS`` heaviest keys are broadcast (a fixed number of rows) and answer their left rows at once; those
-    rows then pass the shuffled join under spread-out keys that match nothing, so that no task receives the
-    rows of a hot key. A key outside the list holds at most one part in ``HOT_KEYS`` of the left rows.
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, stored already, marked for broadcasting if it is measured to fit ``BROADCAST_BYTES``.
+
+    Otherwise the planner shuffles it, and adaptive execution splits the hot keys of the other side.
     """
-    if small:
-        return left.join(F.broadcast(right), on, "left")
-    values = [c for c in right.columns if c not in on]
-    answer = F.struct(*values)
-    hot = right.orderBy(F.desc(weight), *on).limit(HOT_KEYS).select(*on, answer.alias("__hot"))
-    cold = right.select(*on, answer.alias("__cold"), F.lit(0).alias("__salt"))
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int") + 1
-    joined = (
-        left.join(F.broadcast(hot), on, "left")
-        .withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(spread))
-        .join(cold, [*on, "__salt"], "left")
-    )
-    found = F.coalesce("__hot", "__cold")
-    return joined.select(*left.columns, *[found[v].alias(v) for v in values])
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
