@@ -164,9 +164,13 @@ def listed(findings: DataFrame, rules=RULES) -> DataFrame:
 
 
 def report(done: Scan, rules=RULES) -> DataFrame:
-    """(path, blob, n_<kind>..., spans): one row for every row scanned, zero and empty where nothing was found."""
+    """(path, blob, n_<kind>..., spans): one row for every row scanned, zero and empty where nothing was found.
+
+    The list of blobs is written first: a join of two stored sides lets adaptive execution split a blob with many paths.
+    """
     counts = [f"n_{r.kind}" for r in rules]
-    joined = done.paths.join(listed(done.findings, rules).drop("places"), "blob", "left")
+    found = checkpointed(listed(done.findings, rules).drop("places"))
+    joined = done.paths.join(found, "blob", "left")
     return joined.select(
         "path", "blob", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("spans", F.lit("")).alias("spans")
     )
