@@ -69,7 +69,8 @@ def unseen_blobs(paths: DataFrame, rules=RULES, ledger: DataFrame | None = None)
     blobs = paths.groupBy("blob").agg(F.min("path").alias("path"))
     wanted = F.array(*[F.lit(r.version) for r in rules])
     if ledger is None:
-        return blobs.withColumn("todo", wanted)
+        # not a constant: the optimizer would else scan every copy of a text before copies are told apart
+        return blobs.withColumn("todo", F.when(F.col("blob").isNotNull(), wanted))
     known = ledger.filter(F.col("version").isin([r.version for r in rules]))
     known = known.groupBy("blob").agg(F.collect_set("version").alias("done"))
     todo = F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))
