@@ -16,22 +16,20 @@ NAME_DAY = rf"(?i)^\s*(?:\p{{L}}+\.?,\s*)?(\p{{L}}{{3,}})\.?\s+(\d{{1,2}})(?:st|
 COMPACT = rf"^\s*(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}\s*$"
 
 
-def _month_number(name: Column) -> Column:
-    chain = F
-    for number, names in S.MONTHS.items():
-        chain = chain.when(name.isin(names), F.lit(str(number)))
-    return chain.otherwise(F.lit(""))
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _named(raw: Column) -> Column:
     """Year-month-day where the month is written as an English or German name."""
-    lowered = F.lower(raw)
-    parts = F.when(
-        lowered.rlike(DAY_NAME), F.struct(*[F.regexp_extract(lowered, DAY_NAME, g).alias(n) for g, n in ((3, "y"), (2, "m"), (1, "d"))])
-    ).when(
-        lowered.rlike(NAME_DAY), F.struct(*[F.regexp_extract(lowered, NAME_DAY, g).alias(n) for g, n in ((3, "y"), (1, "m"), (2, "d"))])
-    )
-    return F.concat_ws("-", parts["y"], _month_number(parts["m"]), parts["d"])
+    months = F.create_map(*[F.lit(x) for number, names in S.MONTHS.items() for name in names for x in (name, str(number))])
+    plain = F.regexp_replace(F.regexp_replace(F.lower(raw), DAY_NAME, "$3-$2-$1"), NAME_DAY, "$3-$1-$2")
+
+    def with_number(parts: Column) -> Column:
+        return F.concat_ws("-", F.get(parts, F.lit(0)), F.try_element_at(months, F.get(parts, F.lit(1))), F.get(parts, F.lit(2)))
+
+    return _bound(F.split(plain, "-"), with_number)
 
 
 def is_unread(raw: Column) -> Column:
@@ -49,8 +47,7 @@ def posting_date(raw: Column) -> Column:
     plain = F.regexp_replace(plain, YEAR_LAST, "$3-$1-$2")
     plain = F.regexp_replace(plain, COMPACT, "$1-$2-$3")
     plain = F.when(raw.rlike(r"\p{L}{3}"), _named(raw)).otherwise(plain)
-    month_first, day_first = (F.try_to_date(plain, order) for order in ("yyyy-M-d", "yyyy-d-M"))
-    return F.coalesce(month_first, day_first)
+    return _bound(plain, lambda p: F.coalesce(F.try_to_date(p, "yyyy-M-d"), F.try_to_date(p, "yyyy-d-M")))
 
 
 def month_start(c: Column) -> Column:
