@@ -383,6 +383,25 @@ ORACLE: dict[str, str] = {
     "landing_items": f"""select {D.for_duckdb(D.pick("term_rank - 1", D.TERMS))} as search_term, term_rank, page,
         row_number() over (partition by term_rank, page order by slot) - 1 as pos, k
       from ({D.for_duckdb(D.LANDED_SQL)}) l""",
+    "landing_files": f"""with landed as (select {D.for_duckdb(D.pick("term_rank - 1", D.TERMS))} as search_term, term_rank, page,
+          row_number() over (partition by term_rank, page order by slot) - 1 as pos, k from ({D.for_duckdb(D.LANDED_SQL)}) l)
+      select search_term, term_rank, page, pos, null as error, k from landed where page % 20 <> 7
+      union all select distinct search_term, term_rank, page, 0, 'file is not readable JSON', null::bigint from landed where page % 20 = 7""",
+    "stored_page_table": "select cast(page_id as varchar) as page_key, md5(html) as digest from pages",
+    "given_page_sections": f"""select cast(page_id as varchar) as page_key,
+        if({strip(PAGE_TEXT)} = '', 'empty', 'unstructured') as html_quality, md5({strip(PAGE_TEXT)}) as digest from pages""",
+    "rejects_sink": f"""select fault as error, case fault when 'item is not an object' then ''
+          when 'titel is not a string' then '5' else coalesce(titel, '') end as titel,
+        case fault when 'item is not an object' then '' when 'refnr is not a string' then '7' else coalesce(refnr, '') end as refnr
+      from {RAW} r where fault is not null""",
+    "vacancy_sink": f"""select nullif(job_title, '') as job_title, nullif(company, '') as company, nullif(location, '') as location,
+        nullif(job_url, '') as job_url, posted_date, substr(posted_date, 1, 7) as posted_month, nullif(salary, '') as salary,
+        nullif(hard_skills, '') as hard_skills from {NORMALISED} n""",
+    "geocache_sink": f"""select "City", arg_min("Latitude", cache_row) as "Latitude", arg_min("Longitude", cache_row) as "Longitude"
+      from {GEOCACHE} g group by "City" """,
+    "report_sink": f"""select label as experience_level, count(*) as vacancies,
+        round(count(*) * 100 / sum(count(*)) over (), 6) as share_pct from {ANALYSIS} v group by label""",
+    "compact_repeated_words": repeated_words("hard_skills"),
     "item_fields": f"select * exclude (k) replace (cast(posted_date as varchar) as posted_date) from {FIELDS} f",
     "rejected_items": f"""select fault as error, case fault when 'item is not an object' then ''
           when 'titel is not a string' then '5' else coalesce(titel, '') end as titel,
@@ -520,3 +539,4 @@ ORACLE: dict[str, str] = {
         join {BIG_GROUPS} b using (experience_level, search_term) where clean_title <> '') where rank <= 5""",
     "title_cluster_totals": f"select experience_level, search_term, n_docs as n_titles from {BIG_GROUPS} b",
 }
+ORACLE["compact_monthly_dynamics"] = ORACLE["monthly_dynamics"]

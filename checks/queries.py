@@ -17,9 +17,9 @@ from vakanta.functions.dates import month_start, posting_date
 from vakanta.operators import clusters, geography, pages, reports, selection, tfidf, words
 from vakanta.operators.rows import each
 from vakanta.plans import etl
-from vakanta.plans.analytics import geo_reports
-from vakanta.session import checkpointed
-from vakanta.sources import landing, tables
+from vakanta.plans.analytics import compact_table, geo_reports, market_reports
+from vakanta.session import checkpointed, shared_path
+from vakanta.sources import landing, sinks, stored_pages, tables
 
 AS_OF = "2001-08-01"
 NORMALIZED_AT = "2001-08-01 12:00:00"
@@ -304,6 +304,77 @@ def rejected_items(spark, sf):
     return rejects.select("error", *fields)
 
 
+def landing_files(spark, sf):
+    """Landed pages written as files, every 20th of them cut short, and read again."""
+    path = shared_path(spark, "landing")
+    pages_ = D.envelopes(spark, sf).select("search_term", "page", F.to_json(F.struct("stellenangebote", "jobs")).alias("value"))
+    short = F.substr("value", F.lit(1), F.length("value") - 2)
+    cut = pages_.withColumn("value", F.when(F.col("page") % 20 == 7, short).otherwise(F.col("value")))
+    cut.repartition("search_term", "page").write.partitionBy("search_term", "page").text(path)
+    found = landing.read_landing(spark, path, one_envelope_per_line=True)
+    k = F.try_variant_get("item", "$.k", "long").alias("k")
+    return found.select("search_term", "term_rank", "page", "pos", F.col("file_error").alias("error"), k)
+
+
+def stored_page_table(spark, sf):
+    """The given pages stored as a page table and read again."""
+    path = shared_path(spark, "pages")
+    given = spark.read.parquet(f"{sf}/pages.parquet")
+    given.select(F.col("page_id").cast("string").alias("page_key"), "html").write.parquet(path)
+    return stored_pages.read_page_table(spark, path).select("page_key", F.md5("html").alias("digest"))
+
+
+def given_page_sections(spark, sf):
+    """Sections of the given web pages, those of odd numbers twice in the table."""
+    given = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").cast("string").alias("page_key"), "html")
+    twice = given.unionByName(given.where(F.col("page_key").cast("long") % 2 == 1))
+    none = spark.createDataFrame([], S.PAGE_SCHEMA)
+    found = pages.page_sections(twice, none, keys=given.select("page_key").distinct())
+    return found.select("page_key", "html_quality", F.md5(F.coalesce("raw_text", F.lit(""))).alias("digest"))
+
+
+def rejects_sink(spark, sf):
+    """Rejects written as JSON lines and read again."""
+    _, rejects = etl.split_rejects(etl.item_fields(D.items(spark, sf)))
+    path = sinks.write_rejects(rejects, shared_path(spark, "rejects"))
+    read = spark.read.text(path).select(F.explode(F.array(F.parse_json("value"))).alias("v"))
+    names = {"error": "$.error", "titel": "$.item.titel", "refnr": "$.item.refnr"}
+    return read.select(*[F.coalesce(F.try_variant_get("v", p, "string"), F.lit("")).alias(n) for n, p in names.items()])
+
+
+def vacancy_sink(spark, sf):
+    """The normalised table written by month and read as the reports read it."""
+    path = sinks.write_vacancies(_normalised(spark, sf), shared_path(spark, "vacancies"))
+    read = tables.read_vacancies(spark, path)
+    return read.select("job_title", "company", "location", "job_url", F.col("posted_date").cast("string").alias("posted_date"), "posted_month", "salary", "hard_skills")
+
+
+def geocache_sink(spark, sf):
+    """Coordinates written as CSV and read again, the first row of each city."""
+    path = sinks.write_geocache(_cache(spark, sf), shared_path(spark, "geocache"))
+    return tables.read_geocache(spark, path).drop("cache_row")
+
+
+def report_sink(spark, sf):
+    """The level report by way of the compact table and a CSV file."""
+    compact = checkpointed(compact_table(_analysis(spark, sf)))
+    report = market_reports(_analysis(spark, sf), compact)["experience_distribution"]
+    path = sinks.write_reports({"levels": report}, shared_path(spark, "reports"), "csv")["levels"]
+    read = spark.read.option("header", True).csv(path)
+    return read.selectExpr("experience_level", "cast(vacancies as bigint) as vacancies", "round(cast(share_pct as double), 6) as share_pct")
+
+
+def compact_monthly_dynamics(spark, sf):
+    compact = checkpointed(compact_table(_analysis(spark, sf)))
+    found = market_reports(_analysis(spark, sf), compact)["monthly_dynamics"]
+    return found.withColumn("month", F.col("month").cast("string"))
+
+
+def compact_repeated_words(spark, sf):
+    compact = checkpointed(compact_table(_analysis(spark, sf)))
+    return _rounded(market_reports(_analysis(spark, sf), compact)["repeated_hard_skill_words"], "share_pct")
+
+
 def item_fields(spark, sf):
     good, _ = etl.split_rejects(etl.item_fields(D.items(spark, sf)))
     return good.withColumn("posted_date", F.col("posted_date").cast("string"))
@@ -458,7 +529,9 @@ def skill_clusters_soft(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in [
-        vacancy_levels, normalised_vacancies, landing_items, item_fields, rejected_items, page_text, page_sections,
+        vacancy_levels, normalised_vacancies, landing_items, landing_files, item_fields, rejected_items, rejects_sink,
+        vacancy_sink, geocache_sink, report_sink, compact_monthly_dynamics, compact_repeated_words, stored_page_table,
+        given_page_sections, page_text, page_sections,
         colon_sections, extract_location, parse_location, normalize_city, page_key, job_url, first_non_empty,
         posting_dates, month_keys, clean_title, title_level, level_names, text_levels, semantic_level, skill_tags,
         generic_tags, own_dictionary_tags, own_level_patterns, own_title_keywords, skill_list_split, word_tokens, distinct_skills, recent_window, dedup_first_wins,

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from vakanta import settings as S
 from vakanta.plans import etl
-from vakanta.plans.analytics import run_analytics
+from vakanta.operators.pages import one_per_key, page_sections, parse_pages
+from vakanta.plans.analytics import compact_table, geo_reports, market_reports, of_set, run_analytics
 from vakanta.sources import landing, sinks, stored_pages, tables
 from vakanta.streaming.landing import stage_stream, stream_items
 
@@ -75,6 +76,51 @@ def test_whole_job(spark, tmp_path, landed, stored):
     assert spark.read.parquet(written["title_cluster_groups"]).where("status = 'insufficient data'").count() == 2  # one per term
 
 
+def test_unreadable_files_and_pages_are_rejects(spark, tmp_path, landed, stored):
+    folder = landed / f"search_term={S.SEARCH_TERMS[0]}" / "page=3"
+    folder.mkdir()
+    (folder / "result.json").write_text('{"jobs": [{"titel": "cut', encoding="utf-8")
+    bad_page = "<![x y]><p>lost</p>"
+    rows = [("10000-1_S_x.html", bad_page), ("10000-2_S_x.html", "<p>b</p>"), ("10000-2_S_x.html", "<p>a</p>"), ("other.html", "<p>c</p>")]
+    pages = spark.createDataFrame(rows, S.PAGE_SCHEMA)
+    none = spark.createDataFrame([], S.PAGE_SCHEMA)
+    out = etl.run_etl(spark, str(landed), pages, none, str(tmp_path / "out"), AS_OF, NOW)
+    got = [(r["job_title"], r["description"]) for r in spark.read.parquet(out).collect()]
+    assert got == [("Junior Analyst 2", "a")]  # a key that is stored twice gives one vacancy
+    rejects = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out/rejects")).collect()]
+    by_error = {r["error"]: r["item"] for r in rejects}
+    assert by_error["file is not readable JSON"] == '{"jobs": [{"titel": "cut'
+    assert by_error["page cannot be read"]["job_title"] == "Junior Analyst 1"
+    assert len(rejects) == 5
+
+
+def test_only_wanted_pages_are_parsed(spark):
+    """The semi-join lies below the parser, and the page table is scanned once."""
+    pages = spark.range(100).selectExpr("concat(id, '.html') as page_key", "concat('<p>', id, '</p>') as html")
+    keys = spark.createDataFrame([("3.html",)], "page_key string")
+    plan = parse_pages(one_per_key(pages, keys))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("LeftSemi") and plan.count("MapInArrow") == 1
+    got = page_sections(pages, spark.createDataFrame([], S.PAGE_SCHEMA), keys=keys).collect()
+    assert [(r["page_key"], r["raw_text"]) for r in got] == [("3.html", "3")]
+
+
+def test_compact_table_gives_the_same_reports(spark):
+    rows = [("entry", "T", "a", "2025-01-02", "Berlin", None, "SQL, Python", "Teamwork"), ("Entry ", "T", "a", "2025-01-09", "Berlin", "B", "SQL", None)] * 3
+    rows += [(None, None, None, None, None, None, None, None), ("advanced", "U", "b", "2025-02-01", "Bonn", "N", "SQL", "")]
+    names = ["experience_level", "search_term", "job_title", "posted_date", "city", "state", "hard_skills", "soft_skills"]
+    df = tables.as_analysis_table(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)))
+    compact = compact_table(df).cache()
+    for name, report in market_reports(df).items():
+        same = market_reports(df, compact)[name]
+        assert sorted(map(repr, report.collect())) == sorted(map(repr, same.collect())), name
+    cache = spark.createDataFrame([("Berlin", 1.0, 2.0)], S.GEO_SCHEMA)
+    from vakanta.operators.reports import with_level_label
+
+    for name, report in geo_reports(with_level_label(df), cache).items():
+        same = geo_reports(of_set(compact, "places"), cache)[name]
+        assert sorted(map(repr, report.collect())) == sorted(map(repr, same.collect())), name
+
+
 def test_nothing_is_written_without_vacancies(spark, tmp_path, landed):
     none = spark.createDataFrame([], S.PAGE_SCHEMA)
     assert etl.run_etl(spark, str(landed), none, none, str(tmp_path / "out"), "2030-01-01", NOW) is None
@@ -101,8 +147,8 @@ def test_geocache_files(spark, tmp_path):
     (tmp_path / "geo.csv").write_text("City,Latitude,Longitude\n köln ,50.9,7.0\nulm,,1.0\nköln,1.0,1.0\n", encoding="utf-8")
     cache = tables.read_geocache(spark, str(tmp_path / "geo.csv"))
     assert [(r["City"], r["Latitude"]) for r in cache.orderBy("cache_row").collect()] == [("Köln", 50.9), ("Köln", 1.0)]
-    path = sinks.write_geocache(cache.limit(1), str(tmp_path / "new.csv"))
-    assert tables.read_geocache(spark, path).count() == 1
+    path = sinks.write_geocache(cache, str(tmp_path / "new.csv"))
+    assert [(r["City"], r["Latitude"]) for r in tables.read_geocache(spark, path).collect()] == [("Köln", 50.9)]
 
 
 def test_empty_strings_become_null_for_reports(spark):

@@ -69,6 +69,18 @@ def test_hidden_text_and_unclosed_tags():
     assert page["raw_text"] == "a\nb\nc\nd & e"
 
 
+def test_character_data_counts_and_refused_pages_are_marked():
+    assert read("<p>a</p><![CDATA[ b <i> ]]><p>c</p>")["raw_text"] == "a\n b <i> \nc"
+    assert read("<![x y]><p>a</p>")["refused"] and not read("<p>a</p>")["refused"]
+
+
+def test_last_text_per_title_keeps_first_places(spark):
+    blocks = [("B", "1"), ("A", "2"), ("B", "3"), ("C", "4"), ("A", "5")]
+    df = spark.createDataFrame([(blocks,), ([],), (None,)], "b array<struct<title:string,text:string>>")
+    got = [r["x"] for r in df.select(pages.last_text_per_title(F.col("b")).alias("x")).collect()]
+    assert [[tuple(x) for x in g] if g is not None else None for g in got] == [[("B", "3"), ("A", "5"), ("C", "4")], [], None]
+
+
 def test_deeply_nested_page():
     assert read("<div>" * 20000 + "x")["raw_text"] == "x"
 

@@ -19,7 +19,7 @@ from vakanta import settings as S
 from vakanta.functions.skills import skill_list
 from vakanta.functions.titles import clean_title
 from vakanta.operators import lookup
-from vakanta.operators.rows import each
+from vakanta.operators.rows import counted, each
 from vakanta.operators.tfidf import tfidf
 from vakanta.session import checkpointed, spread_by
 
@@ -271,7 +271,7 @@ def cleaned_titles(df: DataFrame, levels: list[str] = S.COMPARED_LEVELS) -> Data
     Copies are counted before anything else is done with them.
     """
     rows = df.where(F.col("experience_level").isin(levels) & F.col("search_term").isNotNull())
-    counts = rows.groupBy(*TITLE_GROUP, "job_title").agg(F.count("*").alias("n"))
+    counts = rows.groupBy(*TITLE_GROUP, "job_title").agg(counted(df).alias("n"))
     return counts.withColumn("clean_title", clean_title(F.col("job_title")))
 
 

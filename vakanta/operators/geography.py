@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vakanta import settings as S
 from vakanta.functions.places import normalize_city
 from vakanta.operators.reports import at_level
+from vakanta.operators.rows import counted
 
 CACHE_ORDER = ["cache_row", "Latitude", "Longitude"]
 
@@ -18,7 +19,7 @@ def city_stats(df: DataFrame, level: str | None = None, merge_variants: bool = F
 
     Spellings of one city stay separate rows unless ``merge_variants`` is set.
     """
-    counts = at_level(df, level).where(F.col("city").isNotNull()).groupBy("city").agg(F.count("*").alias("Vacancies"))
+    counts = at_level(df, level).where(F.col("city").isNotNull()).groupBy("city").agg(counted(df).alias("Vacancies"))
     named = counts.select(normalize_city(F.col("city")).alias("City"), "Vacancies")
     return named.groupBy("City").agg(F.sum("Vacancies").alias("Vacancies")) if merge_variants else named
 
@@ -28,7 +29,7 @@ def city_stats_by_scope(df: DataFrame, levels: list[str] = S.COMPARED_LEVELS) ->
     counts = (
         df.where(F.col("city").isNotNull())
         .groupBy("city", F.lower("experience_level").alias("level"))
-        .agg(F.count("*").alias("n"))
+        .agg(counted(df).alias("n"))
     )
     scopes = F.array_compact(F.array(F.lit("all"), F.when(F.col("level").isin(levels), F.col("level"))))
     by_scope = counts.select("city", "n", F.explode(scopes).alias("scope"))

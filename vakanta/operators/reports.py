@@ -14,7 +14,7 @@ from vakanta import settings as S
 from vakanta.functions.dates import month_start
 from vakanta.functions.levels import level_label
 from vakanta.functions.skills import skill_list
-from vakanta.operators.rows import each
+from vakanta.operators.rows import counted, each, weight_of
 
 
 def with_level_label(df: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
 
 def experience_distribution(df: DataFrame) -> DataFrame:
     """Vacancies and percentage per level."""
-    counts = with_level_label(df).groupBy("experience_level").agg(F.count("*").alias("vacancies"))
+    counts = with_level_label(df).groupBy("experience_level").agg(counted(df).alias("vacancies"))
     total = F.sum("vacancies").over(W.partitionBy())
     return counts.withColumn("share_pct", F.col("vacancies") * 100 / total).orderBy(
         F.desc("vacancies"), "experience_level"
@@ -44,13 +44,13 @@ def experience_distribution(df: DataFrame) -> DataFrame:
 
 
 def search_term_distribution(df: DataFrame) -> DataFrame:
-    counts = df.where(F.col("search_term").isNotNull()).groupBy("search_term").agg(F.count("*").alias("vacancies"))
+    counts = df.where(F.col("search_term").isNotNull()).groupBy("search_term").agg(counted(df).alias("vacancies"))
     return counts.orderBy(F.desc("vacancies"), "search_term")
 
 
 def search_term_by_level(df: DataFrame) -> DataFrame:
     rows = with_level_label(df).where(F.col("search_term").isNotNull())
-    counts = rows.groupBy("experience_level", "search_term").agg(F.count("*").alias("vacancies"))
+    counts = rows.groupBy("experience_level", "search_term").agg(counted(df).alias("vacancies"))
     return counts.orderBy("experience_level", F.desc("vacancies"), "search_term")
 
 
@@ -63,7 +63,7 @@ def monthly_dynamics(df: DataFrame) -> DataFrame:
     counts = (
         dated.where(F.col("month").isNotNull())
         .groupBy("month", "experience_level")
-        .agg(F.count("*").alias("vacancies"))
+        .agg(counted(df).alias("vacancies"))
         .withColumn("line", F.explode(F.array(F.lit("all"), F.concat(F.lit("level: "), "experience_level"))))
     )
     lines = counts.groupBy("month", "line").agg(F.sum("vacancies").alias("vacancies"))
@@ -72,13 +72,13 @@ def monthly_dynamics(df: DataFrame) -> DataFrame:
 
 def top_skills_by_level(df: DataFrame, column: str = "hard_skills", top_n: int = S.TOP_SKILLS) -> DataFrame:
     """Most frequent skills of each level."""
-    skills = each(with_level_label(df), ["experience_level"], skill_list(F.col(column)), "skill")
-    counts = skills.groupBy("experience_level", "skill").agg(F.count("*").alias("vacancies"))
+    skills = each(with_level_label(df), ["experience_level", *weight_of(df)], skill_list(F.col(column)), "skill")
+    counts = skills.groupBy("experience_level", "skill").agg(counted(df).alias("vacancies"))
     return top_per_group(counts, ["experience_level"], [F.desc("vacancies"), F.col("skill")], top_n)
 
 
 def top_values(df: DataFrame, column: str, top_n: int) -> DataFrame:
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("vacancies"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(counted(df).alias("vacancies"))
     return counts.orderBy(F.desc("vacancies"), column).limit(top_n)
 
 
@@ -100,7 +100,7 @@ def geo_by_level(
     kept = df.withColumn("level", F.lower("experience_level")).where(F.col("level").isin(levels))
 
     def top(column: str, n: int) -> DataFrame:
-        counts = kept.where(F.col(column).isNotNull()).groupBy("level", column).agg(F.count("*").alias("vacancies"))
+        counts = kept.where(F.col(column).isNotNull()).groupBy("level", column).agg(counted(df).alias("vacancies"))
         ranked = top_per_group(counts, ["level"], [F.desc("vacancies"), F.col(column)], n)
         return ranked.select("level", F.lit(column).alias("kind"), F.col(column).alias("name"), "rank", "vacancies")
 

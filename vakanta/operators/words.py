@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 from vakanta import settings as S
 from vakanta.functions.text import words
 from vakanta.operators.reports import with_level_label
-from vakanta.operators.rows import each
+from vakanta.operators.rows import WEIGHT, each, weight_of
 
 
 def word_counts(df: DataFrame, column: str, levels: list[str] = S.COMPARED_LEVELS) -> DataFrame:
     """One row per word with its number of occurrences at each level."""
     kept = with_level_label(df).where(F.col("experience_level").isin(levels))
-    exploded = each(kept, ["experience_level"], words(F.col(column)), "word")
-    return exploded.groupBy("word").agg(*[F.count_if(F.col("experience_level") == x).alias(x) for x in levels])
+    exploded = each(kept, ["experience_level", *weight_of(df)], words(F.col(column)), "word")
+    one = F.col(WEIGHT) if weight_of(df) else F.lit(1).cast("long")
+    of_level = [F.sum(F.when(F.col("experience_level") == x, one).otherwise(0)).alias(x) for x in levels]
+    return exploded.groupBy("word").agg(*of_level)
 
 
 def repeated_words(
