@@ -37,6 +37,9 @@ def fold(key: Column, folds: int = 5) -> Column:
 
 def word_parts(text: str) -> list[str]:
     """Runs of letters in lower case, long ones cut after ``WORD_CHARS``."""
+    bare = text.lower().rstrip(".,")
+    if len(bare) <= WORD_CHARS and bare.isalpha():  # most runs without white space are one word
+        return [bare]
     out = []
     for run in re.findall(r"[^\W\d_]+", text.lower()):
         run = "".join(c for c in run if c.isalpha())
@@ -124,6 +127,64 @@ def train(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
     return [r["lang"] for r in rows], np.array([np.frombuffer(r["p"], dtype="<f8") for r in rows])
 
 
+class PieceTable:
+    """Numbers of pieces for many substrings at once, by a 64-bit rolling hash in a table of two places per slot.
+
+    Hashes of the vocabulary are distinct; another string is taken for a piece once in about 10^14 look-ups.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+    SLOT_BITS = 20
+
+    def __init__(self, pieces: dict[str, int]):
+        import numpy as np
+
+        self.none = len(pieces) + 1
+        hashes = np.zeros(len(pieces) + 2, dtype=np.uint64)
+        for piece, number in pieces.items():
+            h = 0
+            for c in piece:
+                h = (h * self.BASE + ord(c) + 1) % 2**64
+            hashes[number] = h
+        if len(set(hashes[:-2].tolist())) != len(pieces):
+            raise ValueError("two pieces have one hash")
+        self.hashes = hashes
+        for odd in range(1, 2**12, 2):  # a multiplier that leaves no slot with three pieces
+            self.spread = np.uint64((0xD1342543DE82EF95 * odd) % 2**64)
+            slots = self._slots(hashes[:-2])
+            order = np.argsort(slots, kind="stable")
+            _, first, count = np.unique(slots[order], return_index=True, return_counts=True)
+            if count.max(initial=0) <= 2:
+                break
+        else:
+            raise ValueError("too many pieces")
+        self.one, self.two = (np.full(1 << self.SLOT_BITS, self.none, dtype=np.int32) for _ in range(2))
+        self.one[slots[order[first]]] = order[first]
+        pairs = first[count == 2] + 1
+        self.two[slots[order[pairs]]] = order[pairs]
+
+    def _slots(self, hashes):
+        import numpy as np
+
+        with np.errstate(over="ignore"):
+            return (((hashes ^ (hashes >> np.uint64(29))) * self.spread) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+
+    def extended(self, hashes, codes):
+        """Hashes of strings that are one character longer."""
+        import numpy as np
+
+        with np.errstate(over="ignore"):
+            return hashes * np.uint64(self.BASE) + codes + np.uint64(1)
+
+    def numbers(self, hashes):
+        """Numbers of the pieces with these hashes; ``none`` for others. The hash of nothing is never asked for."""
+        import numpy as np
+
+        slots = self._slots(hashes)
+        one, two = self.one[slots], self.two[slots]
+        return np.where(self.hashes[one] == hashes, one, np.where(self.hashes[two] == hashes, two, self.none))
+
+
 class Scorer:
     """Scores texts under a model; keeps what it has computed for runs without white space, up to ``KEPT_PIECES``."""
 
@@ -132,57 +193,81 @@ class Scorer:
 
         self.languages, self.pieces = languages, pieces
         self.unknown = len(pieces)
-        # one row per piece, a last one of zeros for what is no piece
+        self.lookup = PieceTable(pieces)
+        # one row per piece, one for characters that are none, a last one of zeros for what is no piece
         self.p = np.vstack([probabilities.T, np.zeros((1, len(languages)))]) if languages else np.zeros((len(pieces) + 2, 0))
         self.forget()
 
     def forget(self) -> None:
         import numpy as np
 
-        self.place: dict[str, int] = {}
+        self.place: dict[str, int] = {}  # row of each piece
+        self.row: dict[str, int] = {}  # row of each word
+        self.mixed = 0
         self.table = np.zeros((1 << 16, len(self.languages) + 1))
 
     def words(self, words: list[str]):
-        """Natural logarithms of the words' probabilities, a row per word and a column per language."""
+        """Natural logarithms of the words' probabilities, a row per word and a column per language.
+
+        Words stand in order of falling length, so those that reach a position are the first rows.
+        """
         import numpy as np
 
+        if not words:
+            return np.zeros((0, len(self.languages)))
+        order = sorted(range(len(words)), key=lambda at: -len(words[at]))
+        sizes = np.array([len(words[at]) + 1 for at in order])
+        width = int(sizes[0])
+        joined = "".join((START + words[at]).ljust(width, "\0") for at in order)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), width).astype(np.uint64)
+        ahead = [np.ones((len(words), len(self.languages)))]
+        hashes: list = []
+        for j in range(1, width + 1):
+            n = int(np.searchsorted(-sizes, -j, side="right"))
+            column = codes[:n, j - 1]
+            hashes.append(np.zeros(n, dtype=np.uint64))
+            total = np.zeros((n, len(self.languages)))
+            for i in range(max(0, j - PIECE_CHARS), j):
+                hashes[i] = self.lookup.extended(hashes[i][:n], column)
+                ids = self.lookup.numbers(hashes[i])
+                if j == i + 1:
+                    ids = np.where(ids == self.lookup.none, self.unknown, ids)
+                    total += ahead[i][:n] * self.p[ids]
+                else:
+                    some = np.flatnonzero(ids != self.lookup.none)
+                    total[some] += ahead[i][some] * self.p[ids[some]]
+            ahead.append(total)
         out = np.zeros((len(words), len(self.languages)))
-        by_size: dict[int, list[int]] = {}
-        for at, word in enumerate(words):
-            by_size.setdefault(len(word), []).append(at)
-        get, none = self.pieces.get, self.unknown + 1
-        for size, places in by_size.items():
-            marked = [START + words[at] for at in places]
-            ahead = [np.ones((len(marked), len(self.languages)))]
-            for j in range(1, size + 2):
-                total = np.zeros_like(ahead[0])
-                for i in range(max(0, j - PIECE_CHARS), j):
-                    lacking = self.unknown if j == i + 1 else none
-                    ids = np.array([get(w[i:j], lacking) for w in marked])
-                    some = np.flatnonzero(ids != none)
-                    if len(some) == len(ids):
-                        total += ahead[i] * self.p[ids]
-                    elif len(some):
-                        total[some] += ahead[i][some] * self.p[ids[some]]
-                ahead.append(total)
-            out[places] = np.log(ahead[-1])
+        for size in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == size)
+            out[np.array(order)[rows]] = np.log(ahead[size][rows])
         return out
 
     def learn(self, pieces: list[str]) -> None:
+        """Keep a row for each piece: the sums over its words, and last the number of its letters.
+
+        Pieces of one word share that word's row, so each word is scored once.
+        """
         import numpy as np
 
         if len(self.place) + len(pieces) > KEPT_PIECES:
             self.forget()
         parts = [word_parts(p) for p in pieces]
-        words = list(dict.fromkeys(w for ws in parts for w in ws))
-        number = {w: i for i, w in enumerate(words)}
-        logs = self.words(words)
-        while len(self.place) + len(pieces) > len(self.table):
+        words = [w for w in dict.fromkeys(w for ws in parts for w in ws) if w not in self.row]
+        mixed = [(p, ws) for p, ws in zip(pieces, parts, strict=True) if len(ws) != 1]
+        start, needed = len(self.row) + self.mixed, len(words) + len(mixed)
+        while start + needed > len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
+        self.table[start : start + len(words), :-1] = self.words(words)
+        self.table[start : start + len(words), -1] = [len(w) for w in words]
+        self.row.update(zip(words, range(start, start + len(words)), strict=True))
         for piece, ws in zip(pieces, parts, strict=True):
-            at = self.place[piece] = len(self.place)
-            self.table[at, -1] = sum(map(len, ws))
-            self.table[at, :-1] = logs[[number[w] for w in ws]].sum(axis=0) if len(ws) != 1 else logs[number[ws[0]]]
+            if len(ws) == 1:
+                self.place[piece] = self.row[ws[0]]
+        for at, (piece, ws) in enumerate(mixed, start + len(words)):
+            self.place[piece] = at
+            self.table[at] = self.table[[self.row[w] for w in ws]].sum(axis=0) if ws else 0.0
+        self.mixed += len(mixed)
 
     def texts(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, its probability among the languages) of each text; ``und`` and 0 without letters or model."""

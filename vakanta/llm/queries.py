@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vakanta.llm import bpe, fingerprints, language, packing, secrets, sharding, simhash, token_files, topk, warc
+from vakanta.llm.common import checkpointed
 
 
 def tokenizer_file(name: str) -> str:
@@ -20,7 +21,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op1_top_k_search(spark, sf):
-    vectors = topk.integer_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    vectors = checkpointed(topk.integer_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")))
     return topk.top_k(vectors.filter(F.pmod("key", F.lit(50)) == 0), vectors, k=5)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 PIVOTS = 32
 BLOCK_ROWS = 4096
-QUERY_ROWS = 2048
+QUERY_ROWS = 8192
 STEP = 128
 
 
@@ -99,7 +99,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, pivots: int = P
 
     Candidates are dealt by key into blocks of about ``BLOCK_ROWS``, queries into sets of about ``QUERY_ROWS``; each
     meeting of a block and a set is one group with a pivot table of its own and returns at most k rows per query, which
-    are then ranked per query.
+    are then ranked per query. A candidate is sent once per set of queries. Store both inputs first, they are read twice.
     """
     sizes = queries.agg(F.count("*").alias("n")).first()["n"], candidates.agg(F.count("*").alias("n")).first()["n"]
     sets, blocks = -(-max(1, sizes[0]) // QUERY_ROWS), -(-max(1, sizes[1]) // BLOCK_ROWS)
