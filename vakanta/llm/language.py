@@ -104,7 +104,8 @@ def train(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
     chosen = narrow.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "key").distinct()
     texts = used.select(F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("key"), plain_text(text).alias("text"))
     same = (texts["lang"] == F.col("c.lang")) & texts["key"].eqNullSafe(F.col("c.key"))
-    sample = texts.join(chosen.alias("c"), same, "left_semi").select("lang", "text")
+    # at most ``per_language`` keys for each language: small enough to send to every task, so that no text moves
+    sample = texts.join(F.broadcast(chosen).alias("c"), same, "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
