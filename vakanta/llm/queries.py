@@ -135,5 +135,32 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from scores qualify rank <= 5
 """
 
-# The others have no SQL here: they need XXH64, tokenizers, a fitted model, greedy packing or places of matches.
-ORACLE = {"op1_top_k_search": TOP_K_SQL, "op8_warc": WARC_SQL}
+
+
+def _sql_matches(place: int, rule: secrets.Rule) -> str:
+    """Matches of one rule per document: lengths of the texts between and of the matches, by splitting at them."""
+    pattern = rule.pattern.replace("'", "''")
+    judged = f"regexp_extract_all(t, '{pattern}', {rule.group})"
+    return (
+        f"select doc_id, row_no, {place} as place, '{rule.kind}' as kind, string_split_regex(t, '{pattern}') as gaps, "
+        f"regexp_extract_all(t, '{pattern}') as found, [len(v) >= {rule.least} for v in {judged}] as fits from texts"
+    )
+
+
+SECRET_SQL = f"""
+with texts as (select doc_id, row_number() over () as row_no, coalesce(text, '') as t from documents),
+matches as ({" union all ".join(_sql_matches(i, r) for i, r in enumerate(secrets.RULES))}),
+each_match as (select *, unnest(range(1, len(found) + 1)) as i from matches),
+measured as (select row_no, place, kind, i, len(found[i]) as size, fits[i] as fit,
+  sum(len(gaps[i]) + len(found[i])) over (partition by row_no, place order by i) as stop from each_match),
+spans as (select row_no, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+  count(*) filter (kind = 'hex') as n_hex,
+  string_agg(kind || ':' || (stop - size)::bigint || ':' || stop::bigint, ',' order by stop - size, place) as spans
+  from measured where fit group by row_no)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join spans using (row_no)
+"""
+
+# The others have no SQL here: they need XXH64, tokenizers, a fitted model or greedy packing.
+ORACLE = {"op1_top_k_search": TOP_K_SQL, "op3_secret_scan": SECRET_SQL, "op8_warc": WARC_SQL}
