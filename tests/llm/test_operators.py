@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from vakanta.llm import bpe, components, fingerprints, language, packing, queries, secrets, sharding, simhash, token_files, topk, warc
+from vakanta.llm import bpe, common, components, fingerprints, language, packing, queries, secrets, sharding, simhash, token_files, topk, warc
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -305,8 +305,17 @@ def test_perfect_hash_is_minimal_and_tells_strangers():
     assert (prints[at[at >= 0]] == token_files.fingerprint(strangers[at >= 0])).sum() == 0
 
 
+def test_published_files_are_whole(tmp_path):
+    common.publish(f"file://{tmp_path}", "a.bin", [b"1", b"2"])
+    common.publish(str(tmp_path), "a.bin", [b"12"])
+    assert [(p.name, p.read_bytes()) for p in tmp_path.iterdir()] == [("a.bin", b"12")]
+    with pytest.raises(ZeroDivisionError):
+        common.publish(str(tmp_path), "b.bin", (1 / 0 for _ in range(1)))
+    assert not (tmp_path / "b.bin").exists()
+
+
 def test_key_that_is_not_there(spark, documents):
-    folder = token_files.fresh_path(spark, "token-files-test")
+    folder = common.fresh_path(spark, "token-files-test")
     written = token_files.write_token_files(documents, queries.tokenizer_file("byte_bpe_50k.json"), folder, shards=2)
     asked = written.limit(1).select("shard", F.lit(10**12).alias("key"), "absent", "repeat")
     assert [r[:3] for r in rows(token_files.read_token_files(asked, folder))] == [(10**12, -1, 0)]

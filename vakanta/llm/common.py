@@ -78,3 +78,32 @@ def part_of(key: Column, points: list[int]) -> Column:
     group = F.size(F.filter(heads, lambda p: p <= key))
     inside = F.size(F.filter(F.element_at(groups, F.greatest(group, F.lit(1))), lambda p: p <= key))
     return F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + inside)
+
+
+def file_system(folder: str):
+    """The file system that a folder's address names, and the path in it."""
+    from pyarrow import fs
+
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
+def publish(folder: str, name: str, chunks) -> None:
+    """Write a file under a name of this attempt, then rename, so that a file of the final name is always whole.
+
+    Attempts write the same bytes; where the store does not replace files, the first one stays.
+    """
+    from pyarrow import fs
+
+    files, root = file_system(folder)
+    own, final = f"{root}/.{name}.{uuid.uuid4().hex}", f"{root}/{name}"
+    with files.open_output_stream(own, compression=None) as out:
+        for chunk in chunks:
+            out.write(chunk)
+    try:
+        files.move(own, final)
+    except OSError:
+        if files.get_file_info(final).type == fs.FileType.NotFound:
+            raise
+        files.delete_file(own)

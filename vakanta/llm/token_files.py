@@ -19,7 +19,6 @@ of the shard; a key that is not there is told by its fingerprint, but for one in
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vakanta.llm.common import LEAST_LONG, checkpointed, fresh_path, kept_in_worker, plain_text, sort_key
+from vakanta.llm.common import checkpointed, file_system, fresh_path, kept_in_worker, plain_text, publish, sort_key
 
 MAGIC = b"VKTOKID1"
 GAMMA = 2
@@ -108,26 +107,8 @@ def fingerprint(words):
 # --- files --------------------------------------------------------------------------------------------------------
 
 
-def _place(folder: str):
-    from pyarrow import fs
-
-    if "://" in folder or folder.startswith("file:"):
-        return fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://", 1))
-    return fs.LocalFileSystem(), folder
-
-
-def _write(folder: str, name: str, chunks) -> None:
-    """Write under a name of this attempt, then rename, so that a file of the final name is always whole."""
-    files, root = _place(folder)
-    own = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with files.open_output_stream(own) as out:
-        for chunk in chunks:
-            out.write(chunk)
-    files.move(own, f"{root}/{name}")
-
-
 def _read(folder: str, name: str) -> bytes:
-    files, root = _place(folder)
+    files, root = file_system(folder)
     with files.open_input_file(f"{root}/{name}") as f:
         return f.read()
 
@@ -166,7 +147,7 @@ class Shard:
         self.prints, self.first, self.counts = parts[2:]
         cuts = np.cumsum(parts[0] // 64)[:-1].astype(np.int64)
         self.table = PerfectHash(np.split(parts[1], cuts) if levels else [], seed)
-        files, root = _place(folder)
+        files, root = file_system(folder)
         self.payload = files.open_input_file(f"{root}/{number}.bin")
 
     def find(self, keys, repeats):
@@ -325,7 +306,7 @@ def write_token_files(
             yield first
             yield from chunks
 
-        _write(folder, f"{number}.bin", rest())
+        publish(folder, f"{number}.bin", rest())
         repeats, last, seen = [], None, 0
         for k in zip(keys, absent, strict=True):
             seen = seen + 1 if k == last else 0
@@ -333,7 +314,7 @@ def write_token_files(
             repeats.append(seen)
         # a null key has the smallest number as its key; the number itself, if used, is told apart by its repeats
         repeats = [2 * r + a for r, a in zip(repeats, absent, strict=True)]
-        _write(folder, f"{number}.idx", [index_bytes(keys, repeats, sizes, coder.kind.itemsize)])
+        publish(folder, f"{number}.idx", [index_bytes(keys, repeats, sizes, coder.kind.itemsize)])
         for start in range(0, len(keys), 10_000):
             cut = slice(start, start + 10_000)
             n = len(keys[cut])
@@ -402,5 +383,3 @@ def token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, key: str = "d
     folder = folder or fresh_path(docs.sparkSession, "token-files")
     return read_token_files(write_token_files(docs, vocabulary, folder, end_id, key, text), folder, key)
 
-
-__all__ = ["LEAST_LONG", "PerfectHash", "PieceEncoder", "Shard", "read_token_files", "token_files", "write_token_files"]

@@ -6,14 +6,16 @@ Records are rows with the header fields as columns and the block as text; ``writ
 from __future__ import annotations
 
 import gzip
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vakanta.llm.common import publish
+
 FETCHED = "2024-01-01T00:00:00Z"
 BLOCK_TAGS = "p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|aside|title|head|body|html|pre|blockquote|form|main"
 # (expression, replacement), in order: what is not text, tags that break lines, other tags, entities, white space
@@ -128,24 +130,21 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
 
     ``folder`` is shared by all executors. Files appear under their final names when they are whole.
     """
-    from pyspark import TaskContext
-
     records.sparkSession.createDataFrame([(0,)], "x int").write.mode("ignore").parquet(f"{folder}/.made")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+        n = size = 0
 
-        files, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
-        number, n, size = TaskContext.get().partitionId(), 0, 0
-        own = f"{root}/.{number}.{uuid.uuid4().hex}"
-        with files.open_output_stream(own, compression=None) as out:
+        def members():
+            nonlocal n, size
             for batch in batches:
                 for row in batch.to_pylist():
                     member = gzip.compress(record_bytes(row), 6, mtime=0)
-                    out.write(member)
                     n, size = n + 1, size + len(member)
-        name = f"{number:06d}.warc.gz"
-        files.move(own, f"{root}/{name}")
+                    yield member
+
+        name = f"{TaskContext.get().partitionId():06d}.warc.gz"
+        publish(folder, name, members())
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
 
     return records.mapInArrow(run, "file string, records long, bytes long")
