@@ -240,6 +240,11 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return found | {name: found[name].repartition(parts) for name in ("orders", "documents")}
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given documents, one file, dealt out to all tasks."""
+    return tables(spark, sf_dir)["documents"]
+
+
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the statements above on the given tables."""
     text = sql.replace('"City"', "City").replace('"Latitude"', "Latitude").replace('"Longitude"', "Longitude")

@@ -266,7 +266,7 @@ def skill_list_split(spark, sf):
 
 
 def word_tokens(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = D.documents(spark, sf)
     tokens = each(docs, ["lang"], text.words(F.col("text")), "word")
     return tokens.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
@@ -432,20 +432,20 @@ def title_group_status(spark, sf):
 
 
 def doc_frequency_documents(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "doc_id", "text")
+    docs = D.documents(spark, sf).select("lang", "doc_id", "text")
     counts = tfidf.term_counts(docs, ["lang"], "doc_id", "text", stop_words=DOCUMENT_STOP_WORDS)
     return _rounded(tfidf.document_frequency(counts, docs, ["lang"], min_df=2), "idf")
 
 
 def tfidf_documents(spark, sf):
     """Mean weight of every term of each language's documents."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "doc_id", "text")
+    docs = D.documents(spark, sf).select("lang", "doc_id", "text")
     vectors = tfidf.tfidf(docs, ["lang"], "doc_id", "text", stop_words=DOCUMENT_STOP_WORDS, min_df=2)
     return _rounded(tfidf.mean_weights(vectors, ["lang"]), "mean_weight")
 
 
 def english_stop_word_terms(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").select("lang", "doc_id", "text")
+    docs = D.documents(spark, sf).where("lang = 'en'").select("lang", "doc_id", "text")
     counts = tfidf.term_counts(docs, ["lang"], "doc_id", "text", stop_words=clusters.english_stop_words())
     return counts.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
 
