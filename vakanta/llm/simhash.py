@@ -127,27 +127,54 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return rows.join(of_class, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
+def row_id(key: str, text: str) -> Column:
+    """A digest of key and text; null differs from the empty text."""
+    whole = F.concat_ws(" ", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("t"), F.col(text).cast("string")), F.lit("n")))
+    return F.unhex(F.md5(whole.cast("binary")))
+
+
+def with_row_id(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row for each pair of key and text, with a digest of both as ``__row``; of repeats that with the smallest hash.
+
+    Spark cuts repeats to one row in every map task (window group limit), before any text moves.
+    """
+    tie = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
+    rows = docs.withColumn("__row", row_id(key, text))
+    return rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__row").orderBy(tie))).filter("__copy = 1").drop("__copy")
+
+
+def row_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, row, text) of every row, ``row`` as in ``with_row_id``."""
+    return docs.select(F.col(key).cast("long").alias("key"), row_id(key, text).alias("row"), F.col(text).cast("string").alias("text"))
+
+
+def head() -> Column:
+    """What the first row of a group is chosen by: rows with a key first, the smallest key, a digest of key and text."""
+    return F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "row")).alias("head")
+
+
+def first_rows(docs: DataFrame, classes: DataFrame, roots: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows that head a component: ``classes`` (node, head), ``roots`` (node, root) of the linked nodes."""
+    grouped = classes.select("node", "head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chosen = grouped.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias("__row"))
+    return with_row_id(docs, key, text).join(chosen, "__row", "left_semi").select(*docs.columns)
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """One row of each group of near duplicates: that of the smallest key, with all columns as they are.
+    """One row of each component of near duplicates, with all columns as they are.
 
-    Rows that repeat a kept key stay as one, the smallest text. Rows without a key belong to the groups as others do:
-    one of them is kept for each group that has no keyed row. An empty table gives no rows.
+    It is the row of the smallest key; rows without a key come last; among rows of that key in the component a digest of
+    key and text decides. Rows of one key with unrelated texts belong to different components, and each component keeps
+    a row. An empty table gives no rows.
     """
-    found = near_duplicates(docs, key, text, words)
-    keyed = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
-    kept = docs.join(keyed, F.col(key) == F.col("__kept"), "left_semi")
-    repeats = Window.partitionBy(key).orderBy(text)
-    kept = kept.withColumn("__copy", F.row_number().over(repeats)).filter("__copy = 1").drop("__copy")
-    if found.filter(F.col("component_id").isNull()).isEmpty():
-        return kept
-    same = F.xxhash64(text)
-    nameless = docs.filter(F.col(key).isNull()).withColumn("__same", same)
-    nameless = nameless.withColumn("__copy", F.row_number().over(Window.partitionBy("__same").orderBy(text)))
-    nameless = checkpointed(nameless.filter("__copy = 1").drop("__copy"))
-    groups = near_duplicates(nameless.select(F.col("__same").alias("same"), text), "same", text, words)
-    roots = groups.filter(F.col("same") == F.col("component_id")).join(
-        fingerprints(nameless, "__same", text, words).select(F.col("key").alias("same"), F.col("fp").alias("own")), "same"
-    )
-    free = found.filter(F.col("component_id").isNull()).select(F.col("fp").alias("own")).distinct()
-    chosen = roots.join(free, "own", "left_semi").select(F.col("same").alias("__same"))
-    return kept.unionByName(nameless.join(chosen, "__same", "left_semi").drop("__same"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [text_fingerprint(t.as_py(), words) for t in batch.column(2)]
+            signed = pa.array([f - (1 << 64) if f >> 63 else f for f in fps], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed], ["key", "row", "node"])
+
+    hashed = row_ids(docs, key, text).mapInArrow(run, "key long, row binary, node long")
+    classes = checkpointed(hashed.groupBy("node").agg(head()))
+    roots = connected(links(classes.select(F.col("node").alias("fp"))))
+    return first_rows(docs, classes, roots, key, text)
