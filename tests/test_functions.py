@@ -132,6 +132,18 @@ def test_required_literals(pattern, literals):
     assert text.required_literals(pattern) == literals
 
 
+@pytest.mark.parametrize(("pattern", "literals"), [(r"(?i)\bPower BI\b", None), (r"(?i:SQL)", None), (r"(?i:SQL) server", [" server"]), (r"(?s)abc.", ["abc"])])
+def test_required_literals_of_expressions_that_ignore_case(values, pattern, literals):
+    assert text.required_literals(pattern) == literals
+    assert values(["we use power bi and sql server abc.", "none"], lambda c: text.matches(c, pattern)) == [True, False]
+
+
+def test_own_dictionaries_that_ignore_case(values):
+    given = ["sql and power bi for a profi"]
+    assert values(given, lambda c: skills.skill_string(c, [(r"(?i)\bPower BI\b", "BI"), (r"(?i:SQL)", "SQL")])) == ["BI, SQL"]
+    assert values(given, lambda c: levels.level_by_first_match(c, [(r"(?i)\bPROFI\b", "Senior")])) == ["senior"]
+
+
 def test_own_keyword_lists(values):
     given = ["chef de cuisine", "apprenti", "boss"]
     found = values(given, lambda c: levels.level_from_title(c, ["apprenti"], ["chef", "boss"], ["boss"]))

@@ -87,7 +87,7 @@ def required_literals(pattern: str, least: int = 2) -> list[str] | None:
     """Literals one of which every match of the expression contains, read off the expression; null if none can be told.
 
     A run of plain characters is required; a group requires what it holds; alternatives require one of all theirs. Of
-    several such sets that with the longest shortest member is taken.
+    several such sets that with the longest shortest member is taken. Where case is ignored (in all or in a group), nothing is required.
     """
 
     def of(tree) -> list[str] | None:
@@ -101,7 +101,7 @@ def required_literals(pattern: str, least: int = 2) -> list[str] | None:
                 sets.append([run])
                 run = ""
             if name == "SUBPATTERN":
-                sets.append(of(value[-1]))
+                sets.append(None if value[1] & re.IGNORECASE else of(value[-1]))
             elif name == "BRANCH":
                 branches = [of(branch) for branch in value[1]]
                 sets.append(None if None in branches else [x for branch in branches for x in branch])
@@ -111,7 +111,8 @@ def required_literals(pattern: str, least: int = 2) -> list[str] | None:
         return max(usable, key=lambda found: min(map(len, found)), default=None)
 
     try:
-        return of(sre.parse(pattern))
+        tree = sre.parse(pattern)
+        return None if tree.state.flags & re.IGNORECASE else of(tree)
     except re.error:  # an expression only the other engine reads
         return None
 
