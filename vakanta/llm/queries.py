@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vakanta.llm import bpe, fingerprints, language, packing, secrets, sharding, simhash, token_files, topk, warc
+from vakanta.llm import bpe, centroids, collocations, fingerprints, language, packing, pii, secrets, sharding, simhash, token_files, topk, warc
 from vakanta.llm.common import checkpointed
 
 
@@ -72,11 +72,26 @@ def op10_language_id(spark, sf):
     return language.predict_held_out(_documents(spark, sf), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_phrase_collocations(spark, sf):
+    return collocations.collocations(_documents(spark, sf))
+
+
+def op12_centroid_clusters(spark, sf):
+    found = centroids.cluster_report(centroids.whole_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), width=64), k=40, rounds=5)
+    return found.drop("compared").withColumnRenamed("key", "vec_id")
+
+
+def op13_personal_data(spark, sf):
+    docs = _documents(spark, sf)
+    found = pii.find(docs, pii.train(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_top_k_search, op2_sharding, op3_secret_scan, op4_bpe, op5_token_files, op6_simhash, op7_packing, op8_warc,
-        op9_fingerprints, op10_language_id,
+        op9_fingerprints, op10_language_id, op11_phrase_collocations, op12_centroid_clusters, op13_personal_data,
     )
 }
 
@@ -162,5 +177,81 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 from texts left join spans using (row_no)
 """
 
+COLLOCATION_SQL = r"""
+with folded as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+), pieces as (
+  select lang, unnest(string_split_regex(t, '[.,;:!?\n\x0B\f\r]')) as piece from folded
+), split as (
+  select lang, regexp_extract_all(piece, '[^ \t]+') as ws from pieces
+), places as (
+  select lang, ws, unnest(range(1, len(ws) + 1)) as i from split
+), counts as (
+  select lang, size, array_to_string(ws[i : i + size - 1], ' ') as phrase, count(*) as f
+  from places cross join (select unnest([1, 2, 3]) as size) sizes where i + size - 1 <= len(ws) group by all
+), totals as (
+  select lang, cast(sum(f) as bigint) as n from counts where size = 1 group by lang
+), frequent as (
+  select lang, size, phrase, string_split(phrase, ' ') as ws, f as a from counts where size > 1 and f >= 10
+), longer as (
+  select lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) as phrase, a from frequent where size = 3
+), longest as (
+  select lang, phrase, max(a) as most from longer group by all
+), kept as (
+  select c.* from frequent c left join longest using (lang, phrase) where most is null or 100 * most < 50 * a
+), cuts as (
+  select lang, size, phrase, ws, a, unnest(range(1, size)) as k from kept
+), parts as (
+  select lang, phrase, a, k, array_to_string(ws[1:k], ' ') as head, array_to_string(ws[k + 1:size], ' ') as tail from cuts
+), scored as (
+  select p.lang, p.phrase, p.a, p.k, x.f as l, y.f as r, cast((1000000::hugeint * p.a * p.a) // (x.f::hugeint * y.f) as bigint) as score
+  from parts p join counts x on x.lang = p.lang and x.phrase = p.head join counts y on y.lang = p.lang and y.phrase = p.tail
+), lowest as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+)
+select lang, cast(row_number() over (partition by lang order by score desc, a desc, phrase) as integer) as rank, phrase, a, l, r, n, score
+from lowest join totals using (lang) qualify rank <= 2000
+"""
+
+
+def _sql_rounds(rounds: int) -> str:
+    """Each round: the nearest centroid of every vector, then floored means; at the end one more assignment."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""near{i} as materialized (
+  select id, min(struct_pack(d := d, c := c)) as best from (
+    select v.id, c.c, cast(v.square + c.square - 2 * list_inner_product(v.wide, c.wide) as bigint) as d from kept v cross join centres{i} c
+  ) group by id
+)""")
+        if i < rounds:
+            out.append(f"""centres{i + 1} as materialized (
+  select c, v, v::double[] as wide, list_inner_product(v::double[], v::double[]) as square from (
+    select o.c, coalesce(m.v, o.v) as v from centres{i} o left join (
+      select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by place) as v from (
+        select n.best.c as c, place, sum(x) as s, count(*) as n from near{i} n join parts p using (id) group by all
+      ) group by c
+    ) m on o.c = m.c
+  )
+)""")
+    return ",\n".join(out)
+
+
+CLUSTER_SQL = f"""
+with whole as (
+  select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v, row_number() over () as id
+  from embeddings where len(embedding) = 64 and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), kept as materialized (
+  select *, v::double[] as wide, list_inner_product(v::double[], v::double[]) as square from whole
+), parts as (
+  select id, unnest(v) as x, generate_subscripts(v, 1) as place from kept
+), centres0 as materialized (
+  select cast(row_number() over (order by sha256('2:' || coalesce(cast(vec_id as varchar), '')), v) - 1 as integer) as c, v, wide, square
+  from kept qualify c < 40
+), {_sql_rounds(5)}
+select vec_id, cast(best.c as integer) as cluster, best.d as distance, cast(sum(best.d) over (partition by best.c) as bigint) as cluster_inertia,
+  cast(sum(best.d) over () as bigint) as inertia, sha256(array_to_string(e.v, ',')) as centroid_sha256
+from near5 join kept using (id) join centres5 e on e.c = best.c
+"""
+
 # The others have no SQL here: they need XXH64, tokenizers, a fitted model or greedy packing.
-ORACLE = {"op1_top_k_search": TOP_K_SQL, "op3_secret_scan": SECRET_SQL, "op8_warc": WARC_SQL}
+ORACLE = {"op1_top_k_search": TOP_K_SQL, "op3_secret_scan": SECRET_SQL, "op8_warc": WARC_SQL, "op11_phrase_collocations": COLLOCATION_SQL, "op12_centroid_clusters": CLUSTER_SQL}
