@@ -207,6 +207,26 @@ PHRASED_SQL = f"""
 select doc_id, lang, {pick("doc_id", PHRASES)} || ' ' || text as text from {{documents}}
 """
 
+# Whole documents that name a buyer and an article behind their text; some are none of the given ones.
+NAMED = [
+    "small rings", "RED widget", "bluebolt", "hot gearbox", "xsmall ring", "green gizmo and hot gear", "Widgets", "a rewidgeted part", "old  bolt", None,
+]
+NAMED_SQL = f"""
+select doc_id, coalesce(text, '') || ' Customer#' || lpad(cast(doc_id * 37 % 20011 as varchar(10)), 9, '0') || '; ' || coalesce({pick("doc_id", NAMED)}, '')
+  as text
+from {{documents}}
+"""
+
+# A dictionary that grows with the tables: buyers by number, articles with variants, parts of words, a very common word, any year.
+DICTIONARY_SQL = r"""
+select '\\b' || lower(c_name) || '\\b' as pattern, 'buyer ' || cast(c_custkey % 5000 as varchar(10)) as label from {customer}
+union all
+select distinct '\\b' || replace(p_name, ' ', ' ?') || 's?\\b', 'article ' || p_name from {part}
+union all
+select * from (values ('\\bthe\\b', 'common'), ('widget', 'part of word'), ('gear(box)?\\b', 'part of word'), ('\\b[0-9]{{4}}\\b', 'year'), (null, 'none'))
+  as v(pattern, label)
+"""
+
 # Landed result pages: up to 100 items each, in either of the two lists.
 LANDED_SQL = """
 select o_orderkey as k, cast(o_orderkey % 13 as int) + 1 as term_rank,
@@ -234,7 +254,7 @@ case fault when 'item is not an object' then '"text"' else
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The given tables, their rows dealt out to all tasks: derived rows are many times as large as the given ones."""
-    names = ["orders", "customer", "supplier", "documents", "pages"]
+    names = ["orders", "customer", "supplier", "documents", "pages", "part"]
     found = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return found | {name: found[name].repartition(parts) for name in ("orders", "documents")}
@@ -303,4 +323,4 @@ def found_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def for_duckdb(sql: str) -> str:
     """The same statement over the checking database's views."""
-    return sql.format(orders="orders", customer="customer", supplier="supplier", documents="documents", pages="pages")
+    return sql.format(orders="orders", customer="customer", supplier="supplier", documents="documents", pages="pages", part="part")

@@ -443,6 +443,19 @@ ORACLE: dict[str, str] = {
       from {PHRASED} p""",
     "generic_tags": f"select doc_id, {tags('lower(text)', GENERIC_DICTIONARY, '|')} as tags from documents",
     "own_dictionary_tags": f"select doc_id, {tags('lower(text)', OWN_DICTIONARY)} as tags from documents",
+    # names of buyers and articles are cut out and looked up; the pieces in between are the texts' other words
+    "dictionary_table_tags": f"""with texts as (select doc_id, lower(text) as lc from ({D.for_duckdb(D.NAMED_SQL)}) t),
+      hits as (
+        select doc_id, 'buyer ' || cast(c_custkey % 5000 as varchar) as label
+        from (select doc_id, unnest(regexp_extract_all(lc, '(?:^|[^{WORD}])(customer#[0-9]+)', 1)) as name from texts) n join customer on lower(c_name) = name
+        union
+        select doc_id, 'article ' || p_name from texts join (select distinct p_name, split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', 2) as b from part) p
+          on (contains(lc, a || b) or contains(lc, a || ' ' || b)) and regexp_matches(lc, '(?:^|[^{WORD}])' || a || ' ?' || b || 's?(?:$|[^{WORD}])')
+        union select doc_id, 'common' from texts where regexp_matches(lc, '(?:^|[^{WORD}])the(?:$|[^{WORD}])')
+        union select doc_id, 'part of word' from texts where contains(lc, 'widget') or regexp_matches(lc, 'gear(box)?(?:$|[^{WORD}])')
+        union select doc_id, 'year' from texts where regexp_matches(lc, '(?:^|[^{WORD}])[0-9]{{4}}(?:$|[^{WORD}])')
+      ), listed as (select doc_id, string_agg(label, ', ' order by label) as tags from hits group by doc_id)
+      select doc_id, coalesce(tags, '') as tags from texts left join listed using (doc_id)""",
     "own_level_patterns": f"""select doc_id, lower({level_chain("lower(text)", OWN_LEVELS)}) as first_level,
         lower({level_chain("lower(text)", OWN_LEVELS[::-1])}) as last_level,
         {level_chain("lower(text)", [OWN_LEVELS[3], OWN_LEVELS[0], OWN_LEVELS[2], OWN_LEVELS[1]])} as highest_level from documents""",

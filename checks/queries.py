@@ -14,7 +14,7 @@ from checks import derived as D
 from vakanta import settings as S
 from vakanta.functions import levels, places, skills, text, titles
 from vakanta.functions.dates import month_start, posting_date
-from vakanta.operators import clusters, geography, pages, reports, selection, tfidf, words
+from vakanta.operators import clusters, dictionary, geography, pages, reports, selection, tfidf, words
 from vakanta.operators.rows import each
 from vakanta.plans import etl
 from vakanta.plans.analytics import compact_table, geo_reports, market_reports
@@ -244,6 +244,13 @@ def own_dictionary_tags(spark, sf):
     return docs.select("doc_id", skills.skill_string(F.col("lc"), OWN_DICTIONARY).alias("tags"))
 
 
+def dictionary_table_tags(spark, sf):
+    """A dictionary of thousands of rows, written as a table and read again."""
+    path = shared_path(spark, "dictionary")
+    D.derive(spark, sf, D.DICTIONARY_SQL).write.parquet(path)
+    return dictionary.dictionary_tags(D.derive(spark, sf, D.NAMED_SQL), "text", tables.read_dictionary(spark, path), ["doc_id"])
+
+
 def own_level_patterns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lower("text").alias("lc"))
     lc = F.col("lc")
@@ -534,7 +541,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         given_page_sections, page_text, page_sections,
         colon_sections, extract_location, parse_location, normalize_city, page_key, job_url, first_non_empty,
         posting_dates, month_keys, clean_title, title_level, level_names, text_levels, semantic_level, skill_tags,
-        generic_tags, own_dictionary_tags, own_level_patterns, own_title_keywords, skill_list_split, word_tokens, distinct_skills, recent_window, dedup_first_wins,
+        generic_tags, own_dictionary_tags, dictionary_table_tags, own_level_patterns, own_title_keywords, skill_list_split, word_tokens, distinct_skills, recent_window, dedup_first_wins,
         experience_distribution, search_term_distribution, search_term_by_level, monthly_dynamics, top_skills_hard,
         top_skills_soft, city_top25, state_top16, geo_by_level, repeated_words_hard, repeated_words_soft,
         geocache_source, city_coordinates, city_coordinates_merged, city_coordinates_by_scope,

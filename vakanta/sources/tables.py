@@ -47,3 +47,9 @@ def read_geocache(spark: SparkSession, path: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], S.GEO_SCHEMA + ", cache_row struct<file:string,block:bigint,row:bigint>")
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """A dictionary table: ``pattern, label``, from Parquet, or CSV with a header where the path ends so."""
+    schema = "pattern string, label string"
+    return spark.read.csv(path, schema, header=True) if path.endswith(".csv") else spark.read.schema(schema).parquet(path)
