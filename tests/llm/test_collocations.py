@@ -96,6 +96,7 @@ def test_double_array_holds_its_phrases_and_no_other():
     langs = [chance.choice(["a", "b"]) for _ in phrases]
     trie, states = C.Trie.build(langs, phrases)
     trie = C.Trie.from_bytes(trie.to_bytes())
+    states = states.tolist()
     assert len(set(states)) == len(states)
     known = dict(zip(zip(langs, phrases, strict=True), states, strict=True))
     for lang in ("a", "b", "c"):

@@ -13,7 +13,6 @@ import io
 from collections.abc import Iterator
 from itertools import repeat
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,23 +106,61 @@ def _hashes(lang: str, numbers, words: Words):
     return [one, two, three], there
 
 
+class Seen:
+    """Hashes met before, in sorted runs that are merged as they grow."""
+
+    def __init__(self):
+        self.runs: list = []
+
+    def add(self, hashes):
+        """Which of the distinct ascending ``hashes`` are new; they are held from then on. Forgets all beyond ``KEPT_PHRASES``."""
+        import numpy as np
+
+        new = np.ones(len(hashes), dtype=bool)
+        for run in self.runs:
+            at = np.minimum(np.searchsorted(run, hashes), len(run) - 1)
+            new &= run[at] != hashes
+        if new.any():
+            self.runs.append(hashes[new])
+        while len(self.runs) > 1 and len(self.runs[-2]) < 2 * len(self.runs[-1]):
+            self.runs[-2:] = [np.sort(np.concatenate(self.runs[-2:]), kind="stable")]
+        if sum(map(len, self.runs)) > KEPT_PHRASES:
+            self.runs = []
+        return new
+
+
 # --- cells ----------------------------------------------------------------------------------------------------------
 
 
+def _places(hashes, bits: int):
+    """The two cells of each hash, one in either half of a table."""
+    import numpy as np
+
+    mask = np.uint64((1 << bits) - 1)
+    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64) + (1 << bits)
+
+
 class Cells:
-    """Counts by hash, held at ``cap``."""
+    """Counts by hash, held at ``cap``; a phrase is counted in two cells, and as often as the lesser one says at most."""
 
     def __init__(self, bits: int, cap: int):
         import numpy as np
 
-        self.mask, self.cap = np.uint64((1 << bits) - 1), cap
-        self.counts = np.zeros(1 << bits, dtype=np.uint8)
+        self.bits, self.cap = bits, cap
+        self.counts = np.zeros(2 << bits, dtype=np.uint16)
 
-    def add(self, hashes) -> None:
+    def add(self, hashes, counts) -> None:
+        """Distinct hashes and how often each was met. Additions are small and held at once, so that none overflows."""
         import numpy as np
 
-        cells, n = np.unique((hashes & self.mask).astype(np.int64), return_counts=True)
-        self.counts[cells] = np.minimum(self.counts[cells] + n, self.cap)
+        counts = np.minimum(counts, self.cap).astype(np.uint16)
+        most = (1 << 16) // (self.cap + 1) - 1
+        for at in _places(hashes, self.bits):
+            crowd = np.bincount(at & 0xFFF).max(initial=0) > most  # an upper bound of the hashes in one cell
+            for i in range(0, len(at), most if crowd else max(len(at), 1)):
+                part = at[i : i + (most if crowd else len(at))]
+                np.add.at(self.counts, part, counts[i : i + len(part)])
+                self.counts[part] = np.minimum(self.counts[part], self.cap)
 
     def packed(self, level: int) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(level, chunk, positions, counts) of the cells that are not empty."""
@@ -134,7 +171,7 @@ class Cells:
         for chunk in range(len(cuts) - 1):
             part = at[cuts[chunk] : cuts[chunk + 1]]
             if len(part):
-                yield level, chunk, (part % CELL_CHUNK).astype("<u2").tobytes(), self.counts[part].tobytes()
+                yield level, chunk, (part % CELL_CHUNK).astype("<u2").tobytes(), self.counts[part].astype(np.uint8).tobytes()
 
 
 PACKED = "level int, chunk int, at binary, counts binary, lang string, phrase string, n long"
@@ -163,33 +200,33 @@ def _full_cells(packed: DataFrame, bits: int, least: int) -> dict[int, bytes]:
                 if now != (level, chunk):
                     if now is not None:
                         yield result()
-                    now, total = (level, chunk), np.zeros(min(CELL_CHUNK, 1 << bits), dtype=np.int64)
+                    now, total = (level, chunk), np.zeros(min(CELL_CHUNK, 2 << bits), dtype=np.int64)
                 total[np.frombuffer(at, dtype="<u2")] += np.frombuffer(counts, dtype=np.uint8)
         if now is not None:
             yield result()
 
     rows = packed.filter("level > 0").select("level", "chunk", "at", "counts").repartition("level", "chunk").sortWithinPartitions("level", "chunk")
-    size = min(CELL_CHUNK, 1 << bits) // 8
+    size = min(CELL_CHUNK, 2 << bits) // 8
     out: dict[int, bytearray] = {}
-    for r in rows.mapInArrow(fold, "level int, chunk int, bits binary").collect():  # a bit per cell: 4 MB a level at most
-        out.setdefault(r["level"], bytearray((1 << bits) // 8))[r["chunk"] * size : (r["chunk"] + 1) * size] = r["bits"]
+    for r in rows.mapInArrow(fold, "level int, chunk int, bits binary").collect():  # a bit per cell: 8 MB a level at most
+        out.setdefault(r["level"], bytearray((2 << bits) // 8))[r["chunk"] * size : (r["chunk"] + 1) * size] = r["bits"]
     return {level: bytes(b) for level, b in out.items()}
 
 
 class Full:
-    """Which hashes lie in a full cell."""
+    """Which hashes have both their cells full."""
 
     def __init__(self, bits: int, bitmap: bytes | None):
         import numpy as np
 
-        self.mask = np.uint64((1 << bits) - 1)
-        self.bitmap = np.frombuffer(bitmap or bytes((1 << bits) // 8), dtype=np.uint8)
+        self.bits = bits
+        self.bitmap = np.frombuffer(bitmap or bytes((2 << bits) // 8), dtype=np.uint8)
 
     def holds(self, hashes):
         import numpy as np
 
-        cell = hashes & self.mask
-        return (self.bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        one, other = ((self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1 for at in _places(hashes, self.bits))
+        return one & other
 
 
 # --- the passes -----------------------------------------------------------------------------------------------------
@@ -206,8 +243,9 @@ def _first_pass(rows: DataFrame, bits: int, least: int) -> DataFrame:
             words = words if len(words) < KEPT_WORDS else Words()
             numbers = np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
             hashes, there = _hashes(lang, numbers, words)
-            for level in (0, 1):
-                cells[level].add(hashes[level][there[level]])
+            each, first, n = np.unique(numbers, return_index=True, return_counts=True)
+            cells[0].add(hashes[0][first[each > 0]], n[each > 0])
+            cells[1].add(*np.unique(hashes[1][there[1]], return_counts=True))
             totals[lang] = totals.get(lang, 0) + int(there[0].sum())
         yield _packed_batch([(0, 0, b"", b"", lang, None, n) for lang, n in totals.items() if n])
         for level in (0, 1):
@@ -228,7 +266,7 @@ def _named(rows: DataFrame, bits: int, least: int, width: int, full: dict[int, b
 
         words, cells = Words(), Cells(bits, least) if width == 2 else None
         known = [Full(bits, sent.value.get(level)) for level in (1, 2, 3)]
-        seen = np.zeros(0, dtype=np.uint64)
+        seen = Seen()
         for lang, tokens in chunks(batches):
             words = words if len(words) < KEPT_WORDS else Words()
             numbers = np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
@@ -238,14 +276,12 @@ def _named(rows: DataFrame, bits: int, least: int, width: int, full: dict[int, b
             two &= known[1].holds(hashes[1])
             three = there[2] & two[:-1] & two[1:]
             if width == 2:
-                cells.add(hashes[2][three])
+                cells.add(*np.unique(hashes[2][three], return_counts=True))
                 good = two
             else:
                 good = three & known[2].holds(hashes[2])
             found, first = np.unique(hashes[width - 1][good], return_index=True)
-            new = ~np.isin(found, seen, assume_unique=True, kind="sort")
-            seen = np.union1d(seen, found[new]) if len(seen) < KEPT_PHRASES else found
-            at = np.flatnonzero(good)[first[new]].tolist()
+            at = np.flatnonzero(good)[first[seen.add(found)]].tolist()
             out = [b" ".join(tokens[i : i + width]).decode("utf-8", "surrogatepass") for i in at]
             for i in range(0, len(out), 10_000):
                 yield _packed_batch([(0, 0, b"", b"", lang, phrase, None) for phrase in out[i : i + 10_000]])
@@ -267,22 +303,26 @@ class Trie:
         self.words = {w: i for i, w in enumerate(words)}
 
     @classmethod
-    def build(cls, langs: list[str], phrases: list[str]) -> tuple[Trie, list[int]]:
+    def build(cls, langs: list[str], phrases: list[str]) -> tuple[Trie, object]:
         """The trie and the state that accepts each phrase; (language, phrase) must be distinct."""
         import numpy as np
 
-        split = [p.encode("utf-8", "surrogatepass").split(b" ") for p in phrases]
-        words = sorted({w for s in split for w in s})
+        flat = " ".join(phrases).encode("utf-8", "surrogatepass").split(b" ")
+        sizes = np.fromiter((p.count(" ") + 1 for p in phrases), dtype=np.int64, count=len(phrases))
+        firsts = np.cumsum(sizes) - sizes
+        words = sorted(set(flat))
         number = {w: i for i, w in enumerate(words)}
+        numbers = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        del flat, number
         roots = {lang: i for i, lang in enumerate(sorted(set(langs)))}
-        size = 2 * sum(map(len, split)) + len(words) + 1024
+        size = 2 * len(numbers) + len(words) + 1024
         base, check = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int64)
         check[: len(roots)] = -2
         chance = np.random.default_rng(1)
-        states = np.array([roots[lang] for lang in langs], dtype=np.int64)
-        for depth in range(max(map(len, split), default=0)):
-            rows = np.array([i for i, s in enumerate(split) if len(s) > depth], dtype=np.int64)
-            symbols = np.array([number[split[i][depth]] for i in rows.tolist()], dtype=np.int64)
+        states = np.fromiter(map(roots.__getitem__, langs), dtype=np.int64, count=len(langs))
+        for depth in range(int(sizes.max(initial=0))):
+            rows = np.flatnonzero(sizes > depth)
+            symbols = numbers[firsts[rows] + depth]
             pairs, back = np.unique(states[rows] * len(words) + symbols, return_inverse=True)
             parents, children = pairs // len(words), pairs % len(words)
             starts = np.flatnonzero(np.concatenate([[True], parents[1:] != parents[:-1]]))
@@ -308,7 +348,7 @@ class Trie:
             states[rows] = (base[parents] + children)[back]
         accepts = np.zeros(len(check), dtype=bool)
         accepts[states] = True
-        return cls(base.astype(np.int32), check.astype(np.int32), accepts, words, roots), states.tolist()
+        return cls(base.astype(np.int32), check.astype(np.int32), accepts, words, roots), states
 
     def to_bytes(self) -> bytes:
         import numpy as np
@@ -360,14 +400,14 @@ def _stored_tries(phrases: DataFrame, folder: str, shard_phrases: int) -> tuple[
     shards = max(1, -(-phrases.count() // shard_phrases))
     spark.createDataFrame([(0,)], "x int").write.parquet(f"{folder}/.made")  # makes the folder wherever it lies
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["lang", "phrase"]).reset_index(drop=True)
-        trie, states = Trie.build(part["lang"].tolist(), part["phrase"].tolist())
-        publish(folder, f"{part['shard'][0]}.trie", [trie.to_bytes()])
-        return part.assign(state=states)
+    def build(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("lang", "ascending"), ("phrase", "ascending")])
+        trie, states = Trie.build(part.column("lang").to_pylist(), part.column("phrase").to_pylist())
+        publish(folder, f"{part.column('shard')[0].as_py()}.trie", [trie.to_bytes()])
+        return pa.table({"shard": part.column("shard"), "state": pa.array(states), "lang": part.column("lang"), "phrase": part.column("phrase")})
 
-    dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
-    return checkpointed(dealt.groupBy("shard").applyInPandas(build, "shard int, state long, lang string, phrase string")), shards
+    dealt = phrases.select(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int").alias("shard"), "lang", "phrase")
+    return checkpointed(dealt.groupBy("shard").applyInArrow(build, "shard int, state long, lang string, phrase string")), shards
 
 
 def _counted(rows: DataFrame, folder: str, shard: int) -> DataFrame:
