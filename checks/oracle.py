@@ -449,8 +449,11 @@ ORACLE: dict[str, str] = {
         select doc_id, 'buyer ' || cast(c_custkey % 5000 as varchar) as label
         from (select doc_id, unnest(regexp_extract_all(lc, '(?:^|[^{WORD}])(customer#[0-9]+)', 1)) as name from texts) n join customer on lower(c_name) = name
         union
-        select doc_id, 'article ' || p_name from texts join (select distinct p_name, split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', 2) as b from part) p
-          on (contains(lc, a || b) or contains(lc, a || ' ' || b)) and regexp_matches(lc, '(?:^|[^{WORD}])' || a || ' ?' || b || 's?(?:$|[^{WORD}])')
+        select doc_id, 'article ' || p_name from (select doc_id, '|' || regexp_replace(lc, '[^{WORD} ]', '|', 'g') || '|' as marked from texts) t
+          join (select p_name, list(l || name || s || r) as forms from (
+              select distinct p_name, unnest([p_name, replace(p_name, ' ', '')]) as name from part) n
+            cross join (select unnest([' ', '|']) as l) cross join (select unnest([' ', '|']) as r) cross join (select unnest(['', 's']) as s) group by p_name) p
+          on len(list_filter(forms, lambda f: contains(marked, f))) > 0
         union select doc_id, 'common' from texts where regexp_matches(lc, '(?:^|[^{WORD}])the(?:$|[^{WORD}])')
         union select doc_id, 'part of word' from texts where contains(lc, 'widget') or regexp_matches(lc, 'gear(box)?(?:$|[^{WORD}])')
         union select doc_id, 'year' from texts where regexp_matches(lc, '(?:^|[^{WORD}])[0-9]{{4}}(?:$|[^{WORD}])')
