@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vakanta.llm.common import checkpointed, file_system, fresh_path, kept_in_worker, plain_text, publish
+from vakanta.llm.common import file_system, fresh_path, kept_in_worker, plain_text, publish, stored
 
 LEAST_COUNT = 10
 TOP = 2000
@@ -174,11 +174,11 @@ class Cells:
                 yield level, chunk, (part % CELL_CHUNK).astype("<u2").tobytes(), self.counts[part].astype(np.uint8).tobytes()
 
 
-PACKED = "level int, chunk int, at binary, counts binary, lang string, phrase string, n long"
+PACKED = "level int, chunk int, at binary, counts binary, lang string, phrase string"
 
 
 def _packed_batch(rows) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.int64()]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string()]
     columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in PACKED.split(", ")])
 
@@ -233,12 +233,12 @@ class Full:
 
 
 def _first_pass(rows: DataFrame, bits: int, least: int) -> DataFrame:
-    """Cells of words and pairs, and the number of words of each language (level 0)."""
+    """Cells of words and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        words, cells, totals = Words(), [Cells(bits, least), Cells(bits, least)], {}
+        words, cells = Words(), [Cells(bits, least), Cells(bits, least)]
         for lang, tokens in chunks(batches):
             words = words if len(words) < KEPT_WORDS else Words()
             numbers = np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
@@ -246,11 +246,9 @@ def _first_pass(rows: DataFrame, bits: int, least: int) -> DataFrame:
             each, first, n = np.unique(numbers, return_index=True, return_counts=True)
             cells[0].add(hashes[0][first[each > 0]], n[each > 0])
             cells[1].add(*np.unique(hashes[1][there[1]], return_counts=True))
-            totals[lang] = totals.get(lang, 0) + int(there[0].sum())
-        yield _packed_batch([(0, 0, b"", b"", lang, None, n) for lang, n in totals.items() if n])
         for level in (0, 1):
             for row in cells[level].packed(level + 1):
-                yield _packed_batch([(*row, None, None, None)])
+                yield _packed_batch([(*row, None, None)])
 
     return rows.mapInArrow(run, PACKED)
 
@@ -284,10 +282,10 @@ def _named(rows: DataFrame, bits: int, least: int, width: int, full: dict[int, b
             at = np.flatnonzero(good)[first[seen.add(found)]].tolist()
             out = [b" ".join(tokens[i : i + width]).decode("utf-8", "surrogatepass") for i in at]
             for i in range(0, len(out), 10_000):
-                yield _packed_batch([(0, 0, b"", b"", lang, phrase, None) for phrase in out[i : i + 10_000]])
+                yield _packed_batch([(0, 0, None, None, lang, phrase) for phrase in out[i : i + 10_000]])
         if cells:
             for row in cells.packed(3):
-                yield _packed_batch([(*row, None, None, None)])
+                yield _packed_batch([(*row, None, None)])
 
     return rows.mapInArrow(run, PACKED)
 
@@ -397,7 +395,7 @@ class Trie:
 def _stored_tries(phrases: DataFrame, folder: str, shard_phrases: int) -> tuple[DataFrame, int]:
     """(shard, state, lang, phrase) and the number of shards. A shard holds about ``shard_phrases`` and becomes one file."""
     spark = phrases.sparkSession
-    shards = max(1, -(-phrases.count() // shard_phrases))
+    shards = -(-phrases.count() // shard_phrases)
     spark.createDataFrame([(0,)], "x int").write.parquet(f"{folder}/.made")  # makes the folder wherever it lies
 
     def build(part: pa.Table) -> pa.Table:
@@ -406,12 +404,12 @@ def _stored_tries(phrases: DataFrame, folder: str, shard_phrases: int) -> tuple[
         publish(folder, f"{part.column('shard')[0].as_py()}.trie", [trie.to_bytes()])
         return pa.table({"shard": part.column("shard"), "state": pa.array(states), "lang": part.column("lang"), "phrase": part.column("phrase")})
 
-    dealt = phrases.select(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int").alias("shard"), "lang", "phrase")
-    return checkpointed(dealt.groupBy("shard").applyInArrow(build, "shard int, state long, lang string, phrase string")), shards
+    dealt = phrases.select(F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(shards, 1))).cast("int").alias("shard"), "lang", "phrase")
+    return stored(dealt.groupBy("shard").applyInArrow(build, "shard int, state long, lang string, phrase string"), "phrase-states"), shards
 
 
 def _counted(rows: DataFrame, folder: str, shard: int) -> DataFrame:
-    """(shard, state, n): one pass of all texts over one trie."""
+    """(shard, state, lang, n): one pass of all texts over one trie; with the first also the words of each language, as shard -1."""
 
     def load() -> Trie:
         files, root = file_system(folder)
@@ -421,9 +419,7 @@ def _counted(rows: DataFrame, folder: str, shard: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        if shard < 0:
-            return
-        trie = None
+        trie, totals = None, {}
         held, size, total = [], 0, None
 
         def add():
@@ -434,6 +430,7 @@ def _counted(rows: DataFrame, folder: str, shard: int) -> DataFrame:
 
         for lang, tokens in chunks(batches):
             trie = trie or kept_in_worker("collocations", f"{folder}/{shard}", load)
+            totals[lang] = totals.get(lang, 0) + len(tokens) - tokens.count(MARK)
             for accepted in trie.walk(lang, tokens):
                 held.append(accepted)
                 size += len(accepted)
@@ -446,16 +443,19 @@ def _counted(rows: DataFrame, folder: str, shard: int) -> DataFrame:
             some = np.flatnonzero(total)
             for i in range(0, len(some), 1 << 16):
                 part = some[i : i + (1 << 16)]
-                columns = [pa.array(np.full(len(part), shard), pa.int32()), pa.array(part), pa.array(total[part])]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "state", "n"])
+                columns = [pa.array(np.full(len(part), shard), pa.int32()), pa.array(part), pa.nulls(len(part), pa.string()), pa.array(total[part])]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "state", "lang", "n"])
+        if shard == 0 and totals:
+            columns = [pa.array([-1] * len(totals), pa.int32()), pa.array([0] * len(totals)), pa.array(totals), pa.array(totals.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "state", "lang", "n"])
 
-    return rows.mapInArrow(run, "shard int, state long, n long")
+    return rows.mapInArrow(run, "shard int, state long, lang string, n long")
 
 
 def phrase_counts(
     docs: DataFrame, least: int = LEAST_COUNT, text: str = "text", lang: str = "lang", shard_phrases: int = SHARD_PHRASES, bits: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Exact counts (lang, phrase, words, f) of all candidates and their words, and totals (lang, n) of words.
+    """Exact counts (lang, phrase, words, f) of all candidates and their words, and totals (lang, n) of words, if there are any candidates.
 
     Every phrase of two or three words that occurs ``least`` times (at most 255) is among them. ``bits`` is the logarithm of the number of
     cells; by default it follows the size of the texts. More cells mean fewer candidates, never other results.
@@ -464,23 +464,23 @@ def phrase_counts(
     if bits is None:
         size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
         bits = min(max((size // 16).bit_length(), CELL_BITS[0]), CELL_BITS[1])
-    begun = checkpointed(_first_pass(rows, bits, least))
-    totals = checkpointed(begun.filter("level = 0").groupBy("lang").agg(F.sum("n").alias("n")))
-    full = _full_cells(begun, bits, least)
-    pairs = checkpointed(_named(rows, bits, least, 2, full))
+    full = _full_cells(_first_pass(rows, bits, least), bits, least)
+    pairs = stored(_named(rows, bits, least, 2, full), "phrase-pairs")
     full |= _full_cells(pairs, bits, least)
     triples = _named(rows, bits, least, 3, full)
-    named = pairs.filter("level = 0").select("lang", "phrase").union(triples.select("lang", "phrase")).distinct()
-    named = checkpointed(named)
+    named = stored(pairs.filter("level = 0").select("lang", "phrase").union(triples.select("lang", "phrase")).distinct(), "phrases")
     single = named.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     folder = fresh_path(docs.sparkSession, "phrase-tries")
-    states, shards = _stored_tries(checkpointed(named.union(single)), folder, shard_phrases)
+    states, shards = _stored_tries(stored(named.union(single), "phrases-and-words"), folder, shard_phrases)
+    if not shards:
+        none = states.selectExpr("lang", "phrase", "0 as words", "0L as f")
+        return none, none.select("lang", F.col("f").alias("n"))
     counts = _counted(rows, folder, 0)
     for shard in range(1, shards):
         counts = counts.union(_counted(rows, folder, shard))
-    summed = counts.groupBy("shard", "state").agg(F.sum("n").alias("f"))
-    found = states.join(summed, ["shard", "state"]).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")
-    return checkpointed(found), totals
+    summed = stored(counts.groupBy("shard", "state", "lang").agg(F.sum("n").alias("f")), "phrase-counts")
+    found = states.join(summed.drop("lang"), ["shard", "state"]).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")
+    return stored(found, "counted-phrases"), summed.filter("shard = -1 and f > 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(

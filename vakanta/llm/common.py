@@ -38,6 +38,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder, smaller than a checkpoint, and go on from there."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def kept_in_worker(name: str, version: str, make: Callable):
     """An object that a Python worker makes once and keeps for its later tasks, until another version is asked for.
 
@@ -60,6 +67,14 @@ def sort_key(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(LEAST_LONG))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def split_points(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most ``parts - 1`` ascending values of an integer column that cut the rows into nearly equal parts."""
     if parts < 2:
