@@ -6,7 +6,8 @@ import pytest
 
 import corpus_pipeline
 from checks.compare import compare, database
-from tests.llm.test_operators import brute_near, check_packing, masked
+from tests.llm.test_operators import check_packing, masked
+from tests.llm.test_similar import brute_kept
 from vakanta.llm import language, packing, queries
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -34,8 +35,7 @@ def test_stages_one_after_the_other(spark, tmp_path):
     gone = {r[0] for r in kept[0][0]} - {r[0] for r in kept[0][1]}
     clean = {r[0] for r in kept[0][0] if r[1] and any(c.isalpha() for c in r[1])}
     assert len(gone & clean) <= 0.01 * len(clean)
-    near = brute_near([(r[0], r[1]) for r in kept[1][0]])
-    assert sorted(r[0] for r in kept[1][1]) == sorted(k for k, _, c in near if k == c)
+    assert sorted(r[0] for r in kept[1][1]) == brute_kept([(r[0], r[1]) for r in kept[1][0]])
     assert sorted((r["doc_id"], r["text"]) for r in kept[2][1]) == sorted((r[0], masked(r[1])) for r in kept[2][0])
     check_packing(kept[3][1], [(r[0], len(r[1].split()) + 1) for r in kept[3][0]], packing.CAPACITIES)
 

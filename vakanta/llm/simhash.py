@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vakanta.llm.common import checkpointed
+from vakanta.llm.common import checkpointed, free_name
 from vakanta.llm.components import connected
 
 SHINGLE_WORDS = 3
@@ -133,14 +133,15 @@ def row_id(key: str, text: str) -> Column:
     return F.unhex(F.md5(whole.cast("binary")))
 
 
-def with_row_id(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each pair of key and text, with a digest of both as ``__row``; of repeats that with the smallest hash.
+def with_row_id(docs: DataFrame, key: str, text: str, name: str = "__row") -> DataFrame:
+    """One row for each pair of key and text, with a digest of both as ``name``; of repeats that with the smallest hash.
 
     Spark cuts repeats to one row in every map task (window group limit), before any text moves.
     """
     tie = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
-    rows = docs.withColumn("__row", row_id(key, text))
-    return rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__row").orderBy(tie))).filter("__copy = 1").drop("__copy")
+    copy = free_name(docs, "__copy")
+    rows = docs.withColumn(name, row_id(key, text))
+    return rows.withColumn(copy, F.row_number().over(Window.partitionBy(name).orderBy(tie))).filter(F.col(copy) == 1).drop(copy)
 
 
 def row_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -156,8 +157,11 @@ def head() -> Column:
 def first_rows(docs: DataFrame, classes: DataFrame, roots: DataFrame, key: str, text: str) -> DataFrame:
     """The rows that head a component: ``classes`` (node, head), ``roots`` (node, root) of the linked nodes."""
     grouped = classes.select("node", "head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    chosen = grouped.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias("__row"))
-    return with_row_id(docs, key, text).join(chosen, "__row", "left_semi").select(*docs.columns)
+    name = free_name(docs, "__row")
+    chosen = grouped.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias(name))
+    # rows are chosen by their digests before copies are told apart, so that only chosen texts meet in the window
+    named = docs.withColumn(name, row_id(key, text)).join(chosen, name, "left_semi").drop(name)
+    return with_row_id(named, key, text, name).select(*docs.columns)
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
