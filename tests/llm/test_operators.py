@@ -7,6 +7,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -497,6 +498,69 @@ def test_warc_odd_pages(spark):
     assert rows(warc.derive(warc.responses(pages.limit(0)))) == []
 
 
+class Reader(HTMLParser):
+    """Another reader of pages: text between tags, lines at blocks, nothing of scripts and styles."""
+
+    BLOCKS = set("p div br li ul ol h1 h2 h3 h4 h5 h6 tr td th table article section nav header footer aside title head body html pre".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.code = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.code += tag in ("script", "style")
+        self.out.append("\n" if tag in self.BLOCKS else " " if self.code else "")
+
+    def handle_startendtag(self, tag, attrs):
+        self.out.append("\n" if tag in self.BLOCKS else "")
+
+    def handle_endtag(self, tag):
+        self.code -= tag in ("script", "style") and self.code > 0
+        self.out.append("\n" if tag in self.BLOCKS else "")
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    def handle_data(self, data):
+        self.out.append("" if self.code else data)
+
+
+def read_text(page):
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    lines = (re.sub("[ \t\r\f\xa0]+", " ", line).strip(" ") for line in "".join(reader.out).split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def test_warc_text_of_given_pages(spark):
+    """Every conversion is what the standard parser reads; no entity is left that the page did not write twice."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    found = {r["key"]: r["block"] for r in warc.derive(warc.responses(pages)).filter("type = 'conversion'").collect()}
+    assert {k for k in html if found[k] != read_text(html[k])} == set()
+    assert not any(re.search("&[a-zA-Z]+;|&#[0-9]+;", t) for k, t in found.items() if not re.search("&amp;[a-zA-Z#0-9]+;", html[k]))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("&copy; &middot; &eacute; &#8217;&#x41; &nbsp;x&notit; &amp;lt; &lt;b&gt; &#0;&bogus;", "© · é ’A x¬it; &lt; <b> \ufffd&bogus;"),
+        ("a<script>var x", "a"), ("a<!-- b", "a"), ("a<SCRIPT a=1>b</Script >c", "a c"), ("<scripty>a</scripty>", "a"), ("x<br/>y<hr>z", "x\ny\nz"),
+        ("1 < 2 <3", "1 < 2 <3"), ("", ""), ("<p>" * 20_000 + "x", "x"), ("&" * 20_000, "&" * 20_000),
+    ],
+)
+def test_warc_text_of_odd_pages(page, text):
+    assert warc.plain_text_of(page) == text
+
+
+def test_warc_header_values_stay_on_one_line(spark):
+    pages = spark.createDataFrame([(1, "http://a/\r\nWARC-Type: response\n\nx", "p")], "page_id long, url string, html string")
+    for r in warc.derive(warc.responses(pages)).collect():
+        head = warc.record_bytes(r.asDict()).partition(b"\r\n\r\n")[0].decode().split("\r\n")
+        assert sum(line.startswith("WARC-Type:") for line in head) == 1 and not any("\n" in line for line in head)
+
+
 def test_warc_files_hold_all_records(spark, tmp_path):
     import gzip
 

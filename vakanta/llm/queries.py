@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,11 +104,39 @@ def _sql_uuid(kind: str, *parts: str) -> str:
     return f"'<urn:uuid:' || concat_ws('-', {cuts}) || '>'"
 
 
+# what the given pages' entities stand for, in plain SQL: names by a map, numbers by chr
+SQL_PLAIN = (
+    ("<(script|style)([ \t\r\n\f/][^>]*)?>.*?(</(script|style)[ \t\r\n\f/]*>|$)", " ", "gis"),
+    ("<!--.*?(-->|$)", " ", "gs"),
+    (
+        "</?(p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|aside|title|head|body|html|pre|blockquote|form|main|hr|dd|dt)"
+        "([ \t\r\n\f/][^>]*)?>",
+        chr(10),
+        "gi",
+    ),
+    ("<[a-zA-Z/!?][^>]*>", "", "g"),
+)
+
+
+def _sql_entities(column: str) -> str:
+    """Pieces between ampersands: a name or number and its semicolon in front of each becomes its characters."""
+    names = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+    quoted = [", ".join("'" + x.replace("'", "''") + "'" for x in part) for part in (names.keys(), names.values())]
+    known = f"map([{quoted[0]}], [{quoted[1]}])"
+    piece = (
+        "case when regexp_matches(p, '^#[0-9]+;') then chr(cast(regexp_extract(p, '^#([0-9]+);', 1) as integer)) || regexp_replace(p, '^#[0-9]+;', '') "
+        f"when {known}[regexp_extract(p, '^([a-zA-Z0-9]+);', 1)] is not null "
+        f"then {known}[regexp_extract(p, '^([a-zA-Z0-9]+);', 1)] || regexp_replace(p, '^[a-zA-Z0-9]+;', '') else '&' || p end"
+    )
+    split = f"string_split({column}, '&')"
+    return f"{split}[1] || array_to_string(list_transform({split}[2:], lambda p: {piece}), '')"
+
+
 def _sql_text(column: str) -> str:
-    for pattern, new in warc.TO_TEXT:
-        quoted = [x.replace("'", "''") for x in (pattern, new)]
-        column = f"regexp_replace({column}, '{quoted[0]}', '{quoted[1]}', 'g')"
-    return column
+    for pattern, new, flags in SQL_PLAIN:
+        column = f"regexp_replace({column}, '{pattern}', '{new}', '{flags}')"
+    column = f"regexp_replace({_sql_entities(column)}, '[ \t\r\f\u00a0]+', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({column}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 
 
 WARC_SQL = f"""
@@ -117,8 +147,8 @@ with responses as (
     'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: '
       || strlen(payload) || chr(13) || chr(10) || chr(13) || chr(10) as source_header,
     {_sql_text("payload")} as txt,
-    regexp_replace({_sql_text(f"regexp_replace(regexp_extract(payload, '{warc.TITLE}', 1), '[\\r\\n]+', ' ', 'g')")}, '\\n', ' ', 'g') as title,
-    len(regexp_extract_all(payload, '{warc.LINK}')) as links
+    replace({_sql_text("regexp_extract(payload, '(?is)<title(?:[ \\t\\r\\n/][^>]*)?>(.*?)</title', 1)")}, chr(10), ' ') as title,
+    len(regexp_extract_all(payload, '(?i)<a[ \\t\\r\\n][^>]*href')) as links
   from responses
 ), both_records as (
   select page_id, 'conversion' as type, {_sql_uuid("conversion", "refers_to")} as record_id, refers_to, target_uri,

@@ -1,13 +1,15 @@
-"""WARC derivatives: responses become linked metadata and plain-text conversion records. Column functions only.
+"""WARC derivatives: responses become linked metadata and plain-text conversion records.
 
-Records are rows with the header fields as columns and the block as text; ``write_warc`` turns them into files.
+Records are rows with the header fields as columns and the block as text; ``write_warc`` turns them into files. Pages are read once, in
+an Arrow pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import gzip
+import re
 from collections.abc import Iterator
-from functools import reduce
+from html import unescape
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,29 +19,30 @@ from pyspark.sql import functions as F
 from vakanta.llm.common import publish
 
 FETCHED = "2024-01-01T00:00:00Z"
-BLOCK_TAGS = "p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|aside|title|head|body|html|pre|blockquote|form|main"
-# (expression, replacement), in order: what is not text, tags that break lines, other tags, entities, white space
-TO_TEXT = (
-    (r"(?is)<(?:script|style)(?:[ \t\r\n/][^>]*)?>.*?</(?:script|style)[ \t\r\n]*>", " "),
-    (r"(?s)<!--.*?-->", " "),
-    (rf"(?i)</?(?:{BLOCK_TAGS})(?:[ \t\r\n/][^>]*)?>", "\n"),
-    (r"<[a-zA-Z/!?][^>]*>", ""),
-    (r"&nbsp;|&#160;", " "),
-    (r"&lt;|&#60;", "<"),
-    (r"&gt;|&#62;", ">"),
-    (r"&quot;|&#34;", '"'),
-    (r"&apos;|&#39;", "'"),
-    (r"&amp;|&#38;", "&"),
-    (r"[ \t\r\f]+", " "),
-    (r" ?\n[ \n]*", "\n"),
-    (r"^[ \n]+|[ \n]+$", ""),
+BLOCK_TAGS = frozenset(
+    "p div br li ul ol h1 h2 h3 h4 h5 h6 tr td th table article section nav header footer aside title head body html pre blockquote form main hr dd dt".split()
 )
-TITLE = r"(?is)<title(?:[ \t\r\n/][^>]*)?>(.*?)</title"
-LINK = r"""(?i)<a[ \t\r\n][^>]*href"""
-
-
-def plain_text_of(html: Column) -> Column:
-    return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), TO_TEXT, html)
+# scripts, styles and comments reach to the end of the page if nothing ends them
+CODE = re.compile(r"<(script|style)(?:[ \t\r\n\f/][^>]*)?>.*?(?:</\1[ \t\r\n\f/]*>|\Z)", re.I | re.S)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+TAG = re.compile(r"<(?:/?([a-zA-Z][^\s/>]*)|[!?/])[^>]*>")
+BLANKS = re.compile(r"[ \t\r\f\xa0]+")
+TITLE = re.compile(r"<title(?:[ \t\r\n/][^>]*)?>(.*?)</title", re.I | re.S)
+LINE_END = re.compile(r"[\r\n]+")
+LINK = re.compile(r"<a[ \t\r\n][^>]*href", re.I)
+
+
+def plain_text_of(html: str) -> str:
+    """The page's text: no code, comments or tags; blocks on lines of their own; all entities decoded; single blanks."""
+    if "<" in html:
+        html = CODE.sub(" ", html)
+        if "<!--" in html:
+            html = COMMENT.sub(" ", html)
+        html = TAG.sub(lambda m: "\n" if m[1] and m[1].lower() in BLOCK_TAGS else "", html)
+    if "&" in html:
+        html = unescape(html)
+    lines = (line.strip(" ") for line in BLANKS.sub(" ", html).split("\n"))
+    return "\n".join([line for line in lines if line])
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -78,22 +81,31 @@ def derive(source: DataFrame) -> DataFrame:
 
     Rows: key, type, record_id, refers_to, target_uri, date, content_type, source_header, source_digest, block_digest,
     content_length, block. Both refer to the response's identifier and keep its HTTP header and payload digest;
-    the metadata block names the conversion. An empty payload gives an empty conversion block. No row is shuffled, and the
-    text is made once for both.
+    the metadata block names the conversion. An empty payload gives an empty conversion block. All named and numeric
+    entities are decoded, as browsers read them; a script, style or comment without an end reaches to the end of the page. No
+    row is shuffled, and the text is made once for both.
     """
-    text = source.withColumns({"text": plain_text_of(F.col("payload")), "title": F.regexp_extract("payload", TITLE, 1)})
-    text = text.withColumns(
-        {
-            "title": plain_text_of(F.regexp_replace("title", r"[\r\n]+", " ")),
-            "links": F.regexp_count("payload", F.lit(LINK)),
-            "conversion_id": record_id("conversion", F.col("record_id")),
-            "text_digest": digest(F.col("text")),
-        }
-    )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = [x or "" for x in batch.column(6).to_pylist()]
+            titles = [m[1] if (m := TITLE.search(page)) else "" for page in pages]
+            columns = [
+                pa.array([len(x.encode("utf-8", "surrogatepass")) for x in pages], pa.int64()),
+                pa.array([plain_text_of(page) for page in pages], pa.string()),
+                pa.array([" ".join(plain_text_of(title).split("\n")) for title in titles], pa.string()),
+                pa.array([len(LINK.findall(page)) for page in pages], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], *columns], [*batch.schema.names[:6], "payload_length", "text", "title", "links"])
+
+    names = "key", "record_id", "target_uri", "date", "http_header", "payload_digest", "payload"
+    schema = "key long, record_id string, target_uri string, date string, http_header string, payload_digest string, payload_length long, "
+    text = source.select(*names).mapInArrow(read, schema + "text string, title string, links long")
+    text = text.withColumns({"conversion_id": record_id("conversion", F.col("record_id")), "text_digest": digest(F.col("text"))})
     fields = F.concat(
-        F.lit("title: "), F.regexp_replace("title", r"\n", " "), F.lit("\r\noutlinks: "), F.col("links").cast("string"),
+        F.lit("title: "), F.col("title"), F.lit("\r\noutlinks: "), F.col("links").cast("string"),
         F.lit("\r\nconversion: "), F.col("conversion_id"), F.lit("\r\nconversion-digest: "), F.col("text_digest"),
-        F.lit("\r\npayload-length: "), length(F.col("payload")).cast("string"), F.lit("\r\n"),
+        F.lit("\r\npayload-length: "), F.col("payload_length").cast("string"), F.lit("\r\n"),
     )
     record = lambda kind, name, content, block: F.struct(
         F.lit(kind).alias("type"), name.alias("record_id"), F.lit(content).alias("content_type"), block.alias("block")
@@ -113,7 +125,7 @@ def derive(source: DataFrame) -> DataFrame:
 
 
 def record_bytes(row: dict) -> bytes:
-    """One WARC/1.1 record."""
+    """One WARC/1.1 record. Line breaks within a value, as addresses may hold them, become a blank and so no header of their own."""
     head = [
         ("WARC-Type", row["type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Refers-To", row["refers_to"]),
         ("WARC-Target-URI", row["target_uri"]), ("WARC-Date", row["date"]), ("WARC-Block-Digest", row["block_digest"]),
@@ -121,7 +133,7 @@ def record_bytes(row: dict) -> bytes:
         ("WARC-Source-Header", " | ".join(row["source_header"].split("\r\n")[:-2])),
         ("Content-Type", row["content_type"]), ("Content-Length", str(row["content_length"])),
     ]
-    lines = "".join(f"{k}: {v}\r\n" for k, v in head if v is not None)
+    lines = "".join(f"{k}: {LINE_END.sub(' ', v)}\r\n" for k, v in head if v is not None)
     return f"WARC/1.1\r\n{lines}\r\n".encode() + row["block"].encode() + b"\r\n\r\n"
 
 
