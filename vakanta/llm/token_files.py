@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,6 +33,8 @@ from vakanta.llm.common import checkpointed, file_system, fresh_path, kept_in_wo
 MAGIC = b"VKTOKID1"
 GAMMA = 2
 KEPT_PIECES = 800_000
+SHARD_BYTES = 128 << 20
+LEAST_BYTES = 8 << 20
 
 
 # --- the perfect hash ---------------------------------------------------------------------------------------------
@@ -129,6 +132,20 @@ def index_bytes(keys, repeats, sizes, id_bytes: int) -> bytes:
     return b"".join([MAGIC, head, *(x.tobytes() for x in (levels, table.words.astype("<u8"), prints, first, counts))])
 
 
+def ids_of(folder: str, number: int) -> int:
+    """Number of ids of a shard, from the head of its index."""
+    files, root = file_system(folder)
+    with files.open_input_file(f"{root}/{number}.idx") as f:
+        return struct.unpack_from("<6Q", f.read(56), 8)[2]
+
+
+def shard_count(docs: DataFrame, text: str) -> int:
+    """A shard for each ``SHARD_BYTES`` of text; more, of ``LEAST_BYTES`` at least, while there are idle cores."""
+    size = docs.agg(F.sum(F.octet_length(plain_text(text)).cast("long")).alias("b")).first()["b"] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // SHARD_BYTES), min(-(-size // LEAST_BYTES), 4 * cores))
+
+
 class Shard:
     """Keyed access to one shard's files."""
 
@@ -235,18 +252,31 @@ class PieceEncoder:
                 self.kept[p] = ids[start : cut + 1].tobytes()
                 start = cut + 1
 
+    def _joined(self, pieces: list[str]) -> bytes | None:
+        """Ids of all pieces but the first; None if one depends on its surroundings. KeyError for one not known."""
+        try:
+            return b"".join(map(self.kept.__getitem__, islice(pieces, 1, None)))
+        except TypeError:
+            return None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        kept = self.kept
-        new = {p for pieces in split for p in pieces[1:] if p not in kept}
-        if new:
-            self.learn(sorted(new))
         out: list[bytes | None] = []
-        for pieces in split:
+        late = []
+        for i, pieces in enumerate(split):  # most texts have known pieces alone: one look-up each
             try:
-                out.append(b"".join([kept[p] for p in pieces[1:]]))
-            except (TypeError, KeyError):  # a piece that depends on its surroundings, or one forgotten meanwhile
+                out.append(self._joined(pieces))
+            except KeyError:
                 out.append(None)
+                late.append(i)
+        if late:
+            kept = self.kept
+            self.learn(sorted({p for i in late for p in islice(split[i], 1, None) if p not in kept}))
+            for i in late:
+                try:
+                    out[i] = self._joined(split[i])
+                except KeyError:  # forgotten meanwhile
+                    out[i] = None
         firsts = self.whole([p[0] for p in split])
         rest = self.whole([t for t, o, p in zip(texts, out, split, strict=True) if not self._simple(o, p)])
         rest.reverse()
@@ -270,6 +300,7 @@ def write_token_files(
 ) -> DataFrame:
     """Encode, append ``end_id`` to every document and write all shards; returns (shard, key, absent, repeat), a row per document.
 
+    There are ``shards`` of them, by default after the bytes of text. ``folder`` must be new: one that exists raises an error.
     Shards are ranges of keys of about equal numbers of rows, so payloads read in order of shard numbers hold all
     documents in ascending order of keys. Null texts are empty, null keys come first (``absent``), rows that repeat a
     key are told apart by ``repeat`` (0, 1, ... in order of their texts' checksums) and may lie in several
@@ -278,7 +309,7 @@ def write_token_files(
     """
     spark = docs.sparkSession
     spark.createDataFrame([(0,)], "x int").write.parquet(f"{folder}/.made")  # makes the folder wherever it lies
-    count = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = shards or shard_count(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -286,16 +317,16 @@ def write_token_files(
         coder = kept_in_worker("pieces", vocabulary, lambda: PieceEncoder(vocabulary))
         number = TaskContext.get().partitionId()
         end = np.array([end_id], dtype=coder.kind).tobytes()
-        keys, absent, sizes = [], [], []
+        keys, absent, sizes = [], [], []  # arrays, one of each per slice
 
         def payload():
             for batch in batches:
                 for start in range(0, batch.num_rows, 256):
                     part = batch.slice(start, 256)
                     found = coder.encode(part.column(2).to_pylist())
-                    keys.extend(part.column(0).to_pylist())
-                    absent.extend(part.column(1).to_pylist())
-                    sizes.extend(len(f) // coder.kind.itemsize + 1 for f in found)
+                    keys.append(part.column(0).to_numpy(zero_copy_only=False))
+                    absent.append(part.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
+                    sizes.append(np.array([len(f) // coder.kind.itemsize + 1 for f in found], dtype=np.int64))
                     yield b"".join([x for f in found for x in (f, end)])
 
         first = next(chunks := payload(), None)
@@ -307,21 +338,17 @@ def write_token_files(
             yield from chunks
 
         publish(folder, f"{number}.bin", rest())
-        repeats, last, seen = [], None, 0
-        for k in zip(keys, absent, strict=True):
-            seen = seen + 1 if k == last else 0
-            last = k
-            repeats.append(seen)
+        key, null = np.concatenate(keys), np.concatenate(absent)
+        # rows that repeat a key lie side by side: each is numbered from the first of its run
+        opens = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (null[1:] != null[:-1])]))
+        runs = np.repeat(opens, np.diff(np.append(opens, len(key))))
         # a null key has the smallest number as its key; the number itself, if used, is told apart by its repeats
-        repeats = [2 * r + a for r, a in zip(repeats, absent, strict=True)]
-        publish(folder, f"{number}.idx", [index_bytes(keys, repeats, sizes, coder.kind.itemsize)])
-        for start in range(0, len(keys), 10_000):
+        repeats = 2 * (np.arange(len(key)) - runs) + null
+        publish(folder, f"{number}.idx", [index_bytes(key, repeats, np.concatenate(sizes), coder.kind.itemsize)])
+        for start in range(0, len(key), 10_000):
             cut = slice(start, start + 10_000)
-            n = len(keys[cut])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * n, pa.int32()), pa.array(keys[cut], pa.int64()), pa.array(absent[cut], pa.bool_()), pa.array(repeats[cut], pa.int64())],
-                ["shard", "key", "absent", "repeat"],
-            )
+            columns = [pa.array(np.full(len(key[cut]), number), pa.int32()), pa.array(key[cut]), pa.array(null[cut] == 1), pa.array(repeats[cut])]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "key", "absent", "repeat"])
 
     ranged = _keyed(docs, key, text).repartitionByRange(count, "key", F.desc("absent"), "crc")
     dealt = ranged.sortWithinPartitions("key", F.desc("absent"), "crc").select("key", "absent", "text")
@@ -338,7 +365,7 @@ def read_token_files(written: DataFrame, folder: str, key: str = "doc_id") -> Da
         for batch in batches:
             numbers = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([Shard(folder, n).n_ids for n in numbers], pa.int64())], ["shard", "n_ids"]
+                [batch.column(0), pa.array([ids_of(folder, n) for n in numbers], pa.int64())], ["shard", "n_ids"]
             )
 
     # a row per shard: as many as the files, read by one task to number them
