@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import struct
 import unicodedata
@@ -68,40 +69,58 @@ def by_key(items):
 
 
 def brute_top_k(vectors, k=5):
+    """(query, rank, candidate, score) of a list of (key, whole numbers); every row but the query's own is a candidate."""
     out = []
-    for q, a in vectors.items():
+    for i, (q, a) in enumerate(vectors):
         if q % 50 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), c) for c, b in vectors.items() if c != q)[:k]
+            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), c) for j, (c, b) in enumerate(vectors) if i != j)[:k]
             out += [(q, rank, c, min(-s, 2**63 - 1)) for rank, (s, c) in enumerate(scores, 1)]
     return sorted(out)
 
 
+def found_top_k(df, **more):
+    vectors = common.checkpointed(topk.integer_vectors(df))
+    return sorted(rows(topk.top_k(vectors.filter(F.col("key") % 50 == 0), vectors, **more).drop("query_row")))
+
+
 def test_top_k_whole_table(spark):
     read = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()
-    vectors = {r["vec_id"]: [math.floor(256 * float(x)) for x in r["embedding"]] for r in read}
+    vectors = [(r["vec_id"], [math.floor(256 * float(x)) for x in r["embedding"]]) for r in read]
     assert sorted(rows(queries.op1_top_k_search(spark, SF_DIR))) == brute_top_k(vectors)
 
 
 def test_top_k_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (50, [0.5, 0.5, 0.5]), (1, []), (2, [nan, 1.0]), (3, [inf]), (4, None), (None, [1.0]), (5, [None, 1.0])]
-    data += [(i, [1.0, 0.0]) for i in range(10, 20)] + [(100, [1e8, 1e8]), (101, [1e5, 3.0])]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("key", F.lit("x"))
-    vectors = topk.integer_vectors(df)
-    good = {k: [math.floor(256 * x) for x in v] for k, v in data if k is not None and v is not None and k not in (2, 3, 4, 5)}
-    found = topk.top_k(vectors.filter(F.col("key") % 50 == 0), vectors)
-    assert sorted(rows(found)) == brute_top_k(good)
-    none = topk.integer_vectors(df.limit(0))
-    assert rows(topk.top_k(none, none)) == []
+    data += [(i, [1.0, 0.0]) for i in range(10, 20)] + [(100, [1e8, 1e8]), (101, [1e5, 3.0]), (7, [1.0]), (7, [3.0]), (50, [1.0]), (50, [-2.0, 4.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("key", "row", "v", "d", "block")})
+    good = [(k, [math.floor(256 * x) for x in v]) for k, v in data if k is not None and v is not None and k not in (2, 3, 4, 5)]
+    assert found_top_k(df) == brute_top_k(good)
+    assert found_top_k(df.limit(0)) == []
+
+
+def test_top_k_keeps_rows_that_repeat_a_key(spark):
+    df = spark.createDataFrame([(50, [1.0]), (7, [1.0]), (7, [3.0])], "vec_id long, embedding array<double>")
+    assert found_top_k(df) == [(50, 1, 7, 3 * 65536), (50, 2, 7, 65536)]
 
 
 def test_top_k_in_many_blocks_is_the_same(spark, monkeypatch):
-    vectors = topk.integer_vectors(spark.read.parquet(f"{SF_DIR}/embeddings.parquet")).filter("key < 200")
-    asked = vectors.filter("key % 50 = 0")
-    whole = sorted(rows(topk.top_k(asked, vectors)))
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 30)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
-    assert sorted(rows(topk.top_k(asked, vectors))) == whole
+    df = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").filter("vec_id < 200")
+    whole = found_top_k(df)
+    for name, value in (("BLOCK_ROWS", 30), ("QUERY_ROWS", 2), ("SAMPLE_ROWS", 3), ("STEP", 1)):
+        monkeypatch.setattr(topk, name, value)
+    assert found_top_k(df) == whole
+
+
+def test_pivots_eliminate_candidates(spark):
+    """Vectors around forty places: most candidates are passed over unseen, and the result is exact."""
+    chance = random.Random(3)
+    places = [[chance.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    data = [(i, [x + chance.gauss(0, 0.05) for x in places[i % 40]]) for i in range(4000)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    vectors = common.checkpointed(topk.integer_vectors(df))
+    assert topk.evaluated_share(vectors.filter("key % 50 = 0"), vectors) < 0.25
+    assert found_top_k(df) == brute_top_k([(k, [math.floor(256 * x) for x in v]) for k, v in data])
 
 
 # --- 2 ---

@@ -24,7 +24,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def op1_top_k_search(spark, sf):
     vectors = checkpointed(topk.integer_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")))
-    return topk.top_k(vectors.filter(F.pmod("key", F.lit(50)) == 0), vectors, k=5)
+    return topk.top_k(vectors.filter(F.pmod("key", F.lit(50)) == 0), vectors, k=5).drop("query_row")
 
 
 def op2_sharding(spark, sf):
@@ -167,16 +167,14 @@ select page_id, type, record_id, refers_to, target_uri, '{warc.FETCHED}' as date
 
 TOP_K_SQL = """
 with vectors as (
-  select vec_id, min([cast(floor(256 * cast(x as double)) as bigint) for x in embedding]) as v from embeddings
+  select row_number() over () as row_no, vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
   where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
-  group by vec_id
-), parts as (
-  select vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from vectors
 ), scores as (
-  select q.vec_id as query_id, c.vec_id, cast(sum(q.x * c.x) as bigint) as score
-  from parts q join parts c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by all
+  select q.row_no, q.vec_id as query_id, c.vec_id,
+    coalesce(list_sum([p[1] * p[2] for p in list_zip(q.v, c.v) if p[1] is not null and p[2] is not null]), 0)::bigint as score
+  from vectors q join vectors c on q.row_no <> c.row_no where q.vec_id % 50 = 0
 )
-select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+select query_id, cast(row_number() over (partition by row_no order by score desc, vec_id) as integer) as rank, vec_id, score
 from scores qualify rank <= 5
 """
 
