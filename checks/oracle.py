@@ -380,6 +380,7 @@ ORACLE: dict[str, str] = {
     "vacancy_levels": f"""select experience_level, count(*) as vacancies,
         round(count(*) * 100 / sum(count(*)) over (), 6) as share_pct from {NORMALISED} n group by experience_level""",
     "normalised_vacancies": f"select * from {NORMALISED} n",
+    "normalised_from_laid_out_pages": f"select * from {NORMALISED} n",
     "landing_items": f"""select {D.for_duckdb(D.pick("term_rank - 1", D.TERMS))} as search_term, term_rank, page,
         row_number() over (partition by term_rank, page order by slot) - 1 as pos, k
       from ({D.for_duckdb(D.LANDED_SQL)}) l""",

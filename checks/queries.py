@@ -416,6 +416,14 @@ def normalised_vacancies(spark, sf):
     return etl.exported(_normalised(spark, sf)).withColumns(as_text)
 
 
+def normalised_from_laid_out_pages(spark, sf):
+    """The same with both page tables laid out in buckets first: no page moves in the job itself."""
+    kept = stored_pages.lay_out(D.pages(spark, sf), shared_path(spark, "pages"))
+    partner = stored_pages.lay_out(D.ext_pages(spark, sf), shared_path(spark, "partner-pages"), longer_than=0)
+    as_text = {c: F.col(c).cast("string") for c in ("posted_date", "normalized_at")}
+    return etl.exported(etl.normalise(D.items(spark, sf), kept, partner, AS_OF, NORMALIZED_AT)).withColumns(as_text)
+
+
 def vacancy_levels(spark, sf):
     """The flagship: landed items and stored pages to the level report."""
     found = etl.experience_levels(D.items(spark, sf), D.pages(spark, sf), D.ext_pages(spark, sf), AS_OF)
@@ -536,7 +544,7 @@ def skill_clusters_soft(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in [
-        vacancy_levels, normalised_vacancies, landing_items, landing_files, item_fields, rejected_items, rejects_sink,
+        vacancy_levels, normalised_vacancies, normalised_from_laid_out_pages, landing_items, landing_files, item_fields, rejected_items, rejects_sink,
         vacancy_sink, geocache_sink, report_sink, compact_monthly_dynamics, compact_repeated_words, stored_page_table,
         given_page_sections, page_text, page_sections,
         colon_sections, extract_location, parse_location, normalize_city, page_key, job_url, first_non_empty,

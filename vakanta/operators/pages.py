@@ -11,6 +11,7 @@ from vakanta.functions.text import contains_any, filled, is_blank, strip, strip_
 from vakanta.functions.titles import page_key
 from vakanta.operators.html_tree import read_page
 from vakanta.session import checkpointed
+from vakanta.sources.stored_pages import is_laid_out
 
 _BLOCK = "array<struct<title:string,text:string>>"
 PARSED_SCHEMA = f"page_key string, raw_text string, link string, header_blocks {_BLOCK}, strong_blocks {_BLOCK}, refused boolean"
@@ -115,8 +116,12 @@ def sections_json(sections: Column) -> Column:
 
 
 def one_per_key(pages: DataFrame, keys: DataFrame) -> DataFrame:
-    """The pages of the given keys (``page_key``, distinct), one per key: of several the smallest text counts."""
-    return pages.join(keys, "page_key", "left_semi").groupBy("page_key").agg(F.min("html").alias("html"))
+    """The pages of the given keys (``page_key``, distinct), one per key: of several the smallest text counts.
+
+    A laid-out table has one already; only the keys move to its buckets then.
+    """
+    wanted = pages.join(keys, "page_key", "left_semi")
+    return wanted if is_laid_out(pages) else wanted.groupBy("page_key").agg(F.min("html").alias("html"))
 
 
 def external_texts(ext_pages: DataFrame, links: DataFrame, min_length: int | None = None) -> DataFrame:
