@@ -163,10 +163,10 @@ def test_own_signals_and_places(spark):
 
 
 def test_nested_location_lists(spark):
-    given = ['[["Köln"]]', '[[{"ort":"Bonn"}], "x"]', "[[]]", '[[[[" A "]]]]', "[null]", "5"]
+    given = ['[["Köln"]]', '[[{"ort":"Bonn"}], "x"]', "[[]]", '[[[[" A "]]]]', "[null]", "5", "[" * 30 + '"deep"' + "]" * 30, '"[[x"']
     df = spark.createDataFrame(list(enumerate(given)), "i int, j string").selectExpr("i", "parse_json(j) as v")
     found = df.select("i", places.location_text(F.col("v")).alias("t")).orderBy("i").collect()
-    assert [r["t"] for r in found] == ["Köln", "Bonn", "", "A", "", "5"]
+    assert [r["t"] for r in found] == ["Köln", "Bonn", "", "A", "", "5", "deep", "[[x"]
 
 
 def test_month_names(values):

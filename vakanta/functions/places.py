@@ -9,7 +9,6 @@ from vakanta import settings as S
 from vakanta.functions import variants as V
 from vakanta.functions.text import SPACE, strip, title_case
 
-LIST_DEPTH = 8
 LOCATION_FIELDS = ["index", "city", "state", "country", "address"]
 
 
@@ -27,16 +26,14 @@ def _scalar_text(value: Column) -> Column:
 def location_text(value: Column) -> Column:
     """One location string from a string, an object, or the first element of a list of either, lists in lists included.
 
-    Lists are opened up to ``LIST_DEPTH`` deep; a deeper one gives its JSON text.
+    The brackets in front of a list's JSON text tell how deep its first element lies.
     """
+    is_list = V.is_array(value)
+    depth = F.length(F.regexp_extract(F.to_json(F.when(is_list, value)), r"^\[+", 0))
+    inner = F.try_variant_get(value, F.concat(F.lit("$"), F.repeat(F.lit("[0]"), depth)), "variant")
     chain = F.when(V.is_object(value), _object_text(value))
-    inner, path = value, "$"
-    for _ in range(LIST_DEPTH):
-        outer, path = inner, f"{path}[0]"
-        inner = F.try_variant_get(value, path, "variant")
-        chain = chain.when(V.is_array(outer) & V.is_object(inner), _object_text(inner))
-        chain = chain.when(V.is_array(outer) & ~V.is_array(inner), _scalar_text(inner))
-    return chain.when(V.is_array(value), _scalar_text(inner)).otherwise(_scalar_text(value))
+    chain = chain.when(is_list & V.is_object(inner), _object_text(inner)).when(is_list, _scalar_text(inner))
+    return chain.otherwise(_scalar_text(value))
 
 
 def _is_address(p: Column, suffixes: list[str]) -> Column:

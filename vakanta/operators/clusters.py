@@ -25,6 +25,7 @@ from vakanta.session import checkpointed, spread_by
 
 MAX_PASSES = 100
 MIN_GAIN = 1e-4
+SEED_DOCS = 512
 DIGITS = 9
 
 
@@ -78,24 +79,56 @@ class KMeans:
         nearest = _nearest(_each(self.k, "q{j} - 2 * dot{j}"))
         return rows.selectExpr("*", *dots, head).selectExpr("*", f"{nearest} as cluster")
 
-    def add_seed(self, j: int) -> None:
-        """Pick centroid ``j`` of every group, each document with a chance in proportion to its weight times its
-        squared distance to the nearest centroid so far; hashes of the document stand in for random numbers."""
-        if j:
-            least = ", ".join(_each(self.k, "q{j} - 2 * dot{j}"))
-            rows = self.assigned().selectExpr("*", f"round(1 + least({least}), {DIGITS}) as gap")
-        else:
-            rows = self.terms.selectExpr("*", f"term = {self._of_document('min(term)')} as head", "1d as gap")
-        chance = f"(pmod(xxhash64({self.seed}L, {j}, {self.doc}), 1L << 53) + 0.5d) / (1L << 53)"
-        chosen_doc = f"max_by({self.doc}, struct(ln({chance}) / (weight * gap), {self.doc})) as {self.doc}"
-        picks = rows.where("head and gap > 0").groupBy(*self.group).agg(F.expr(chosen_doc))
-        weights = self.terms.join(self._per_group(picks), [*self.group, self.doc]).selectExpr(*self.group, "term", "w as picked")
-        state = self.centroids.join(weights, [*self.group, "term"], "left")
-        state = state.join(self._per_group(picks.selectExpr(*self.group, "true as has_pick")), self.group, "left")
-        kept = [c for c in self.centroids.columns if c not in (f"c{j}", f"q{j}")]
-        self.centroids = checkpointed(
-            state.selectExpr(*kept, f"if(has_pick, coalesce(picked, 0d), null) as c{j}", f"if(has_pick, 1d, null) as q{j}")
-        )
+    def seed_all(self, sample_docs: int = SEED_DOCS) -> None:
+        """Pick all centroids of every group at once, in a number of jobs that does not depend on ``k``.
+
+        Each group gives a sample of documents by weight (hashes stand in for random numbers), at most ``sample_docs``. One task per
+        group picks from them as k-means++ does: each next one with a chance in proportion to its weight times its squared
+        distance to the nearest one picked so far.
+        """
+        group, doc, k, seed = self.group, self.doc, self.k, self.seed
+        chance = f"(pmod(xxhash64({seed}L, -1, {doc}), 1L << 53) + 0.5d) / (1L << 53)"
+        heads = self.terms.groupBy(*group, doc).agg(F.max("weight").alias("weight")).withColumn("draw", F.expr(f"ln({chance}) / weight"))
+        rank = F.row_number().over(W.partitionBy(*group).orderBy(F.desc("draw"), doc))
+        sample = heads.withColumn("draw", rank).where(F.col("draw") <= sample_docs).select(*group, doc)
+        vectors = self.terms.join(sample, [*group, doc]).select(*group, doc, "weight", "term", "w")
+
+        def pick(part):
+            import math
+            import random
+
+            import pandas as pd
+
+            docs: dict = {}
+            weights = {}
+            for name, weight, term, w in zip(part[doc], part["weight"], part["term"], part["w"], strict=True):
+                docs.setdefault(name, {})[term] = w
+                weights[name] = float(weight)
+            gap = dict.fromkeys(sorted(docs), 1.0)
+            chosen: list = []
+            for j in range(k):
+                open_ = [d for d, g in gap.items() if g > 1e-9]
+                if not open_:
+                    break
+                best = max(open_, key=lambda d: (math.log(1 - random.Random(f"{seed}:{j}:{d}").random() * 0.999999) / (weights[d] * gap[d]), d))
+                chosen.append(best)
+                for d in open_:
+                    mine = docs[best]
+                    gap[d] = min(gap[d] if j else 2.0, max(0.0, 2 - 2 * sum(w * mine.get(t, 0.0) for t, w in docs[d].items())))
+            out = pd.DataFrame({doc: chosen, "j": range(len(chosen))})
+            for name in group:
+                out[name] = part[name].iloc[0]
+            return out[[*group, doc, "j"]]
+
+        kinds = dict(self.terms.dtypes)
+        picks = vectors.groupBy(*group).applyInPandas(pick, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*group, doc)), "j int"]))
+        picks = checkpointed(picks)  # k rows of each group
+        weights = self.terms.join(self._per_group(picks), [*group, doc]).groupBy(*group, "term").agg(*[F.max(F.when(F.col("j") == j, F.col("w"))).alias(f"p{j}") for j in range(k)])
+        number = picks.groupBy(*group).agg(F.count("*").alias("picked"))
+        state = self.centroids.join(weights, [*group, "term"], "left").join(self._per_group(number), group, "left")
+        kept = [c for c in self.centroids.columns if c[0] not in "cq" or not c[1:].isdigit()]
+        chosen = [f"if(picked > {j}, coalesce(p{j}, 0d), null) as c{j}" for j in range(k)] + [f"if(picked > {j}, 1d, null) as q{j}" for j in range(k)]
+        self.centroids = checkpointed(state.selectExpr(*kept, *chosen))
 
     def step(self) -> int:
         """Move each centroid of the groups not done to the mean of its documents; returns how many groups still move.
@@ -184,8 +217,8 @@ def kmeans(
     small = lookup.measured_bytes(centroids) <= lookup.BROADCAST_BYTES
     few = lookup.measured_bytes(sizes) + sizes.count() * 64 * k <= lookup.BROADCAST_BYTES
     run = KMeans(terms, sizes, group, doc, k, seed, tolerance, small, few, centroids)
-    for j in range(k if some else 0):
-        run.add_seed(j)
+    if some:
+        run.seed_all()
     for _ in range(max_passes if some else 0):
         if not run.step():
             break
