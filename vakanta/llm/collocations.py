@@ -473,7 +473,7 @@ def phrase_counts(
     folder = fresh_path(docs.sparkSession, "phrase-tries")
     states, shards = _stored_tries(stored(named.union(single), "phrases-and-words"), folder, shard_phrases)
     if not shards:
-        none = states.selectExpr("lang", "phrase", "0 as words", "0L as f")
+        none = states.select("lang", "phrase", F.col("shard").alias("words"), F.col("state").alias("f"))  # no rows
         return none, none.select("lang", F.col("f").alias("n"))
     counts = _counted(rows, folder, 0)
     for shard in range(1, shards):
