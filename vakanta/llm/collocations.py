@@ -21,11 +21,11 @@ from vakanta.llm.common import file_system, fresh_path, kept_in_worker, plain_te
 
 LEAST_COUNT = 10
 TOP = 2000
-SHARD_PHRASES = 1 << 20
-CELL_BITS = (16, 25)
+SHARD_PHRASES = 1 << 19
+CELL_BITS = (16, 24)
 CELL_CHUNK = 1 << 16
 CHUNK_BYTES = 1 << 20
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 KEPT_PHRASES = 2_000_000
 MARK = b"."
 # A-Z in lower case; every character that ends a piece becomes the mark
@@ -208,7 +208,7 @@ def _full_cells(packed: DataFrame, bits: int, least: int) -> dict[int, bytes]:
     rows = packed.filter("level > 0").select("level", "chunk", "at", "counts").repartition("level", "chunk").sortWithinPartitions("level", "chunk")
     size = min(CELL_CHUNK, 2 << bits) // 8
     out: dict[int, bytearray] = {}
-    for r in rows.mapInArrow(fold, "level int, chunk int, bits binary").collect():  # a bit per cell: 8 MB a level at most
+    for r in rows.mapInArrow(fold, "level int, chunk int, bits binary").collect():  # a bit per cell: 4 MB a level at most
         out.setdefault(r["level"], bytearray((2 << bits) // 8))[r["chunk"] * size : (r["chunk"] + 1) * size] = r["bits"]
     return {level: bytes(b) for level, b in out.items()}
 
