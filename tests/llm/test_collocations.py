@@ -52,7 +52,7 @@ def made(seed=3, rows=120):
 
 def frame(spark, data):
     docs = spark.createDataFrame([(*x, i) for i, x in enumerate(data)], "lang string, text string, doc_id long")
-    return docs.withColumns({c: F.lit("other") for c in ("phrase", "n", "a", "score", "shard", "state", "level")}).repartition(4)
+    return docs.withColumns({c: F.lit("other") for c in ("phrase", "n", "a", "score", "shard", "number", "level")}).repartition(4)
 
 
 def rows(df):
@@ -94,19 +94,18 @@ def test_double_array_holds_its_phrases_and_no_other():
     words = [f"w{i}" for i in range(40)]
     phrases = sorted({" ".join(chance.choice(words) for _ in range(chance.randint(1, 3))) for _ in range(900)})
     langs = [chance.choice(["a", "b"]) for _ in phrases]
-    trie, states = C.Trie.build(langs, phrases)
-    trie = C.Trie.from_bytes(trie.to_bytes())
-    states = states.tolist()
-    assert len(set(states)) == len(states)
-    known = dict(zip(zip(langs, phrases, strict=True), states, strict=True))
+    rows = list(zip(langs, phrases, strict=True))
+    parts = [rows[:500], rows[500:]]  # two tries of different words
+    tries = C.Tries(C.Trie.from_bytes(C.Trie.build(*zip(*part, strict=True)).to_bytes()) for part in parts)
+    known = {row: (i, n) for i, part in enumerate(parts) for n, row in enumerate(part)}
     for lang in ("a", "b", "c"):
         tokens = [chance.choice([*words, "strange", "."]).encode() for _ in range(3000)]
         want = Counter()
         for i in range(len(tokens)):
             for n in (1, 2, 3):
-                state = known.get((lang, b" ".join(tokens[i : i + n]).decode())) if i + n <= len(tokens) else None
-                want.update([state] if state is not None else [])
-        got = Counter(s for reached in trie.walk(lang, tokens) for s in reached.tolist())
+                number = known.get((lang, b" ".join(tokens[i : i + n]).decode())) if i + n <= len(tokens) else None
+                want.update([number] if number is not None else [])
+        got = Counter((i, n) for i, accepted in tries.walk(lang, tokens) for n in accepted.tolist())
         assert got == want
 
 

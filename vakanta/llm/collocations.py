@@ -3,14 +3,16 @@
 Candidates are Apriori-safe. A first pass counts words and word pairs into hash cells, a second names the pairs whose cell and
 words may be frequent and counts the triples of such pairs into cells, a third names the triples. No frequent phrase is lost:
 a cell's count is never below that of a phrase in it. Candidates and their words are dealt to shards of bounded size, each
-a double-array trie that every worker reads from the shared folder. In the last pass numpy moves the states of all text
-positions through the trie at once, a level at a time, and counts accepting states; counts are summed over tasks and shards.
+a double-array trie that every worker reads from the shared folder. A last pass takes several tries at once: words become
+numbers once for all of them, numpy moves the states of all text positions through each trie, a level at a time, and
+counts accepting states; counts are summed over tasks and shards. There are as many such passes as the tries need.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import pyarrow as pa
@@ -21,7 +23,9 @@ from vakanta.llm.common import file_system, fresh_path, kept_in_worker, plain_te
 
 LEAST_COUNT = 10
 TOP = 2000
-SHARD_PHRASES = 1 << 19
+SHARD_PHRASES = 1 << 17
+PASS_TRIES = 12
+HELD_NUMBERS = 1 << 22
 CELL_BITS = (16, 24)
 CELL_CHUNK = 1 << 16
 CHUNK_BYTES = 1 << 20
@@ -297,12 +301,11 @@ class Trie:
     """A double array: from state ``s`` word ``w`` leads to ``base[s] + w``, if ``check`` there says ``s``."""
 
     def __init__(self, base, check, accepts, words: list[bytes], roots: dict[str, int]):
-        self.base, self.check, self.accepts, self.roots = base, check, accepts, roots
-        self.words = {w: i for i, w in enumerate(words)}
+        self.base, self.check, self.accepts, self.words, self.roots = base, check, accepts, words, roots
 
     @classmethod
-    def build(cls, langs: list[str], phrases: list[str]) -> tuple[Trie, object]:
-        """The trie and the state that accepts each phrase; (language, phrase) must be distinct."""
+    def build(cls, langs: list[str], phrases: list[str]) -> Trie:
+        """The trie, which accepts each phrase with its place in the list; (language, phrase) must be distinct."""
         import numpy as np
 
         flat = " ".join(phrases).encode("utf-8", "surrogatepass").split(b" ")
@@ -344,9 +347,9 @@ class Trie:
             base[parents[starts[alone]]] = free - children[starts[alone]]
             check[free] = parents[starts[alone]]
             states[rows] = (base[parents] + children)[back]
-        accepts = np.zeros(len(check), dtype=bool)
-        accepts[states] = True
-        return cls(base.astype(np.int32), check.astype(np.int32), accepts, words, roots), states
+        accepts = np.full(len(check), -1, dtype=np.int32)
+        accepts[states] = np.arange(len(states))
+        return cls(base.astype(np.int32), check.astype(np.int32), accepts, words, roots)
 
     def to_bytes(self) -> bytes:
         import numpy as np
@@ -366,90 +369,119 @@ class Trie:
         langs = held["langs"].tobytes().decode("utf-8", "surrogatepass").split("\0")
         return cls(held["base"], held["check"], held["accepts"], held["words"].tobytes().split(b" "), {x: i for i, x in enumerate(langs)})
 
-    def step(self, states, symbols):
-        """The states after one more word each; -1 where there is none."""
+    def walk(self, root: int, symbols) -> Iterator:
+        """Numbers of the phrases accepted at all positions, a level at a time; positions without a state drop out."""
         import numpy as np
 
-        to = self.base[states] + symbols
-        good = (states >= 0) & (symbols >= 0) & (to >= 0) & (to < len(self.check))
-        to = np.where(good, to, 0)
-        return np.where(good & (self.check[to] == states), to, -1)
+        at = np.flatnonzero(symbols >= 0)
+        states = np.full(len(at), root, dtype=np.int32)
+        while len(at):
+            to = self.base[states] + symbols[at]
+            to[(to < 0) | (to >= len(self.check))] = root  # no word leads to a root
+            good = self.check[to] == states
+            at, states = at[good] + 1, to[good]
+            accepted = self.accepts[states]
+            yield accepted[accepted >= 0]
+            inside = at < len(symbols)
+            at, states = at[inside], states[inside]
+            there = symbols[at] >= 0
+            at, states = at[there], states[there]
+
+
+class Tries:
+    """Tries that texts walk together. Their words are numbered in common; ``numbers`` leads to those of each trie."""
+
+    def __init__(self, tries: Iterator[Trie]):
+        import numpy as np
+
+        self.words: dict[bytes, int] = {}
+        self.tries, self.numbers = [], []
+        places = []
+        for trie in tries:
+            places.append(np.fromiter((self.words.setdefault(w, len(self.words)) for w in trie.words), dtype=np.int64, count=len(trie.words)))
+            trie.words = []  # held in common from here on
+            self.tries.append(trie)
+        for at in places:
+            own = np.full(len(self.words) + 1, -1, dtype=np.int32)  # the last one: no word of these
+            own[at] = np.arange(len(at))
+            self.numbers.append(own)
 
     def walk(self, lang: str, tokens: list[bytes]) -> Iterator:
-        """Accepting states of all positions, a level at a time."""
+        """(number of the trie, numbers of its phrases accepted) of all positions."""
         import numpy as np
 
-        if lang not in self.roots:
-            return
-        symbols = np.fromiter(map(self.words.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
-        states = np.full(len(symbols), self.roots[lang], dtype=np.int64)
-        while len(symbols):
-            states = self.step(states, symbols)
-            reached = states[states >= 0]
-            if not len(reached):
-                return
-            yield reached[self.accepts[reached]]
-            states, symbols = states[:-1], symbols[1:]
-
-
-def _stored_tries(phrases: DataFrame, folder: str, shard_phrases: int) -> tuple[DataFrame, int]:
-    """(shard, state, lang, phrase) and the number of shards. A shard holds about ``shard_phrases`` and becomes one file."""
+        found = np.fromiter(map(self.words.get, tokens, repeat(len(self.words))), dtype=np.int64, count=len(tokens))
+        for i, (trie, own) in enumerate(zip(self.tries, self.numbers, strict=True)):
+            if lang in trie.roots:
+                for accepted in trie.walk(trie.roots[lang], own[found]):
+                    yield i, accepted
+
+
+def _stored_tries(phrases: DataFrame, folder: str, shard_phrases: int) -> tuple[DataFrame, list[int]]:
+    """(shard, number, lang, phrase) and the shards that hold any. A shard holds about ``shard_phrases`` and becomes one file."""
     spark = phrases.sparkSession
     shards = -(-phrases.count() // shard_phrases)
     spark.createDataFrame([(0,)], "x int").write.parquet(f"{folder}/.made")  # makes the folder wherever it lies
 
     def build(part: pa.Table) -> pa.Table:
         part = part.sort_by([("lang", "ascending"), ("phrase", "ascending")])
-        trie, states = Trie.build(part.column("lang").to_pylist(), part.column("phrase").to_pylist())
+        trie = Trie.build(part.column("lang").to_pylist(), part.column("phrase").to_pylist())
         publish(folder, f"{part.column('shard')[0].as_py()}.trie", [trie.to_bytes()])
-        return pa.table({"shard": part.column("shard"), "state": pa.array(states), "lang": part.column("lang"), "phrase": part.column("phrase")})
+        numbers = pa.array(range(part.num_rows), pa.int64())
+        return pa.table({"shard": part.column("shard"), "number": numbers, "lang": part.column("lang"), "phrase": part.column("phrase")})
 
     dealt = phrases.select(F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(shards, 1))).cast("int").alias("shard"), "lang", "phrase")
-    return stored(dealt.groupBy("shard").applyInArrow(build, "shard int, state long, lang string, phrase string"), "phrase-states"), shards
+    numbered = stored(dealt.groupBy("shard").applyInArrow(build, "shard int, number long, lang string, phrase string"), "numbered-phrases")
+    return numbered, sorted(r["shard"] for r in numbered.select("shard").distinct().collect())  # a row per ``shard_phrases``
 
 
-def _counted(rows: DataFrame, folder: str, shard: int) -> DataFrame:
-    """(shard, state, lang, n): one pass of all texts over one trie; with the first also the words of each language, as shard -1."""
+def _counted(rows: DataFrame, folder: str, shards: list[int], with_words: bool) -> DataFrame:
+    """(shard, number, lang, n): one pass of all texts over some tries; ``with_words`` adds the words of each language, as shard -1."""
 
-    def load() -> Trie:
+    def load() -> Tries:
         files, root = file_system(folder)
-        with files.open_input_file(f"{root}/{shard}.trie") as f:
-            return Trie.from_bytes(f.read())
+
+        def one(shard: int) -> Trie:
+            with files.open_input_file(f"{root}/{shard}.trie") as f:
+                return Trie.from_bytes(f.read())
+
+        return Tries(map(one, shards))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        trie, totals = None, {}
-        held, size, total = [], 0, None
+        tries, totals = None, {}
+        held, size, counts = [[] for _ in shards], 0, [np.zeros(1, dtype=np.int64) for _ in shards]
 
         def add():
-            nonlocal total
-            n = np.bincount(np.concatenate(held), minlength=len(trie.check))
-            total = n if total is None else total + n
-            held.clear()
+            for i, parts in enumerate(held):
+                if parts:
+                    n = np.bincount(np.concatenate(parts), minlength=len(counts[i]))
+                    n[: len(counts[i])] += counts[i]
+                    counts[i] = n
+                    parts.clear()
 
         for lang, tokens in chunks(batches):
-            trie = trie or kept_in_worker("collocations", f"{folder}/{shard}", load)
+            tries = tries or kept_in_worker("collocations", f"{folder}/{shards}", load)
             totals[lang] = totals.get(lang, 0) + len(tokens) - tokens.count(MARK)
-            for accepted in trie.walk(lang, tokens):
-                held.append(accepted)
+            for i, accepted in tries.walk(lang, tokens):
+                held[i].append(accepted)
                 size += len(accepted)
-            if size > max(len(trie.check), 1 << 20):
+            if size > HELD_NUMBERS:
                 add()
                 size = 0
-        if held:
-            add()
-        if total is not None:
+        add()
+        for shard, total in zip(shards, counts, strict=True):
             some = np.flatnonzero(total)
             for i in range(0, len(some), 1 << 16):
                 part = some[i : i + (1 << 16)]
                 columns = [pa.array(np.full(len(part), shard), pa.int32()), pa.array(part), pa.nulls(len(part), pa.string()), pa.array(total[part])]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "state", "lang", "n"])
-        if shard == 0 and totals:
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "number", "lang", "n"])
+        if with_words and totals:
             columns = [pa.array([-1] * len(totals), pa.int32()), pa.array([0] * len(totals)), pa.array(totals), pa.array(totals.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "state", "lang", "n"])
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "number", "lang", "n"])
 
-    return rows.mapInArrow(run, "shard int, state long, lang string, n long")
+    return rows.mapInArrow(run, "shard int, number long, lang string, n long")
 
 
 def phrase_counts(
@@ -471,15 +503,14 @@ def phrase_counts(
     named = stored(pairs.filter("level = 0").select("lang", "phrase").union(triples.select("lang", "phrase")).distinct(), "phrases")
     single = named.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     folder = fresh_path(docs.sparkSession, "phrase-tries")
-    states, shards = _stored_tries(stored(named.union(single), "phrases-and-words"), folder, shard_phrases)
+    numbered, shards = _stored_tries(stored(named.union(single), "phrases-and-words"), folder, shard_phrases)
     if not shards:
-        none = states.select("lang", "phrase", F.col("shard").alias("words"), F.col("state").alias("f"))  # no rows
+        none = numbered.select("lang", "phrase", F.col("shard").alias("words"), F.col("number").alias("f"))  # no rows
         return none, none.select("lang", F.col("f").alias("n"))
-    counts = _counted(rows, folder, 0)
-    for shard in range(1, shards):
-        counts = counts.union(_counted(rows, folder, shard))
-    summed = stored(counts.groupBy("shard", "state", "lang").agg(F.sum("n").alias("f")), "phrase-counts")
-    found = states.join(summed.drop("lang"), ["shard", "state"]).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")
+    passes = [_counted(rows, folder, shards[i : i + PASS_TRIES], i == 0) for i in range(0, len(shards), PASS_TRIES)]
+    counts = reduce(DataFrame.union, passes)
+    summed = stored(counts.groupBy("shard", "number", "lang").agg(F.sum("n").alias("f")), "phrase-counts")
+    found = numbered.join(summed.drop("lang"), ["shard", "number"]).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")
     return stored(found, "counted-phrases"), summed.filter("shard = -1 and f > 0").select("lang", F.col("f").alias("n"))
 
 
