@@ -23,8 +23,8 @@ from vakanta.llm.common import file_system, fresh_path, kept_in_worker, plain_te
 
 LEAST_COUNT = 10
 TOP = 2000
-SHARD_PHRASES = 1 << 17
-PASS_TRIES = 12
+SHARD_PHRASES = 1 << 18
+PASS_TRIES = 6
 HELD_NUMBERS = 1 << 22
 CELL_BITS = (16, 24)
 CELL_CHUNK = 1 << 16
@@ -297,6 +297,22 @@ def _named(rows: DataFrame, bits: int, least: int, width: int, full: dict[int, b
 # --- tries ----------------------------------------------------------------------------------------------------------
 
 
+def _free_offset(check, own, chance):
+    """An offset under which all of the ascending ``own`` lie on free places, or None after many guesses.
+
+    Guesses are sieved by a few places first, so that many cost little.
+    """
+    for number in [32, 512] + [8192] * 8:
+        guess = chance.integers(-own[0], len(check) - own[-1], number)
+        done, width = 0, 8
+        while len(guess) and done < len(own):
+            guess = guess[(check[guess[:, None] + own[None, done : done + width]] == -1).all(axis=1)]
+            done, width = done + width, 4 * width
+        if len(guess):
+            return int(guess[0])
+    return None
+
+
 class Trie:
     """A double array: from state ``s`` word ``w`` leads to ``base[s] + w``, if ``check`` there says ``s``."""
 
@@ -332,16 +348,12 @@ class Trie:
                 own = children[starts[g] : ends[g]]
                 if len(own) == 1:
                     break
-                at, tries = -1, 0
-                while at < 0:
-                    guess = chance.integers(-own[0], len(check) - own[-1], 32)
-                    fits = np.flatnonzero((check[guess[:, None] + own[None, :]] == -1).all(axis=1))
-                    at, tries = (int(fits[0]), tries) if len(fits) else (-1, tries + 1)
-                    if at < 0 and tries > 50:
-                        base = np.append(base, np.zeros(len(base), dtype=np.int64))
-                        check, tries = np.append(check, np.full(len(check), -1, dtype=np.int64)), 0
-                base[parents[starts[g]]] = guess[at]
-                check[guess[at] + own] = parents[starts[g]]
+                while (at := _free_offset(check, own, chance)) is None:
+                    more = int(own[-1] - own[0]) + 1  # where they fit for certain
+                    base = np.append(base, np.zeros(more, dtype=np.int64))
+                    check = np.append(check, np.full(more, -1, dtype=np.int64))
+                base[parents[starts[g]]] = at
+                check[at + own] = parents[starts[g]]
             alone = np.flatnonzero(ends - starts == 1)
             free = np.flatnonzero(check == -1)[: len(alone)]
             base[parents[starts[alone]]] = free - children[starts[alone]]
