@@ -24,8 +24,8 @@ from vakanta.llm.common import file_system, fresh_path, kept_in_worker, plain_te
 LEAST_COUNT = 10
 TOP = 2000
 SHARD_PHRASES = 1 << 18
-PASS_TRIES = 6
-HELD_NUMBERS = 1 << 22
+PASS_TRIES = 4
+HELD_NUMBERS = 1 << 21
 CELL_BITS = (16, 24)
 CELL_CHUNK = 1 << 16
 CHUNK_BYTES = 1 << 20
