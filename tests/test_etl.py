@@ -167,3 +167,31 @@ def test_semantic_level_of_text_without_title_level(spark):
     got = {r["description_full"]: r["experience_level"] for r in etl.describe(rows, NOW).collect()}
     assert got == {"": "entry", "Führung und Leitung": "advanced"}
     assert etl.describe(rows, NOW).select(F.count_distinct("normalized_at")).first()[0] == 1
+
+
+def test_compacted_landing_reads_like_one_file_per_page(spark, tmp_path):
+    texts = {
+        (S.SEARCH_TERMS[0], 1): json.dumps({"stellenangebote": [item(1), item(2)], "jobs": [item(3)]}, indent=1),
+        (S.SEARCH_TERMS[0], 2): json.dumps({"stellenangebote": [], "jobs": ["tab\there", 7]}),
+        (S.SEARCH_TERMS[0], 7): json.dumps({"jobs": [item(4)]})[:-2],
+        (S.SEARCH_TERMS[8], 3): json.dumps({"jobs": 5}),
+        (S.SEARCH_TERMS[8], 4): "{}",
+        (S.SEARCH_TERMS[8], 5): " ",
+        (S.SEARCH_TERMS[8], 6): "not JSON\tat all",
+        ("Unbekannt", 1): json.dumps({"jobs": [item(9)]}),
+    }
+    texts |= {(S.SEARCH_TERMS[8], page): json.dumps({"jobs": [item(page)]}) for page in range(100, 300)}
+    for (term, page), text in texts.items():
+        folder = tmp_path / "files" / f"search_term={term.replace('/', '%2F')}" / f"page={page}"
+        folder.mkdir(parents=True)
+        (folder / "result.json").write_text(text.replace("\n", " "), encoding="utf-8")
+    rows = spark.createDataFrame([(*k, v) for k, v in texts.items()], "search_term string, page int, value string")
+    path = landing.write_compacted(rows.coalesce(2), str(tmp_path / "compacted"))
+
+    def read(found):
+        columns = ["search_term", "term_rank", "page", "pos", F.to_json("item").alias("item"), F.col("file_error").alias("error")]
+        return sorted(map(str, found.select(*columns).collect()))
+
+    want = read(landing.read_landing(spark, str(tmp_path / "files"), one_envelope_per_line=True))
+    assert read(landing.read_landing(spark, path, compacted=True)) == want
+    assert len(list((tmp_path / "compacted").rglob("part-*"))) <= 2 * 3  # files of tasks and terms, not of pages

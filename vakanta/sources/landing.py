@@ -31,13 +31,38 @@ def items(envelopes: DataFrame, terms: list[str] = S.SEARCH_TERMS) -> DataFrame:
     )
 
 
+def write_compacted(envelopes: DataFrame, path: str) -> str:
+    """Result pages (``search_term, page, value``) as a compacted landing: folders by term, a line for each page.
+
+    A line is the page's number, a tab, and the text of the envelope, whose line breaks (white space in JSON) become spaces. The
+    number of files follows the tasks, not the pages.
+    """
+    number = F.coalesce(F.col("page").cast("string"), F.lit(""))
+    line = F.concat(number, F.lit("\t"), F.regexp_replace(F.coalesce("value", F.lit("")), "[\r\n]", " ")).alias("value")
+    envelopes.select("search_term", line).write.partitionBy("search_term").text(path)
+    return path
+
+
+def _read_compacted(spark: SparkSession, path: str) -> DataFrame:
+    """Envelopes of a compacted landing, as the JSON reader gives them."""
+    lines = spark.read.schema("value string, search_term string").text(path)
+    cut = F.instr("value", "\t")
+    text = F.substr("value", cut + 1)
+    envelope = F.from_json(text, f"{S.ENVELOPE_SCHEMA}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+    page = F.substr("value", F.lit(1), cut - 1).try_cast("int").alias("page")
+    # the generator keeps the envelope a column of its own; in projections it could be parsed once per use
+    return lines.where(F.trim(text) != "").select("search_term", page, F.explode(F.array(envelope)).alias("envelope")).select("search_term", "page", "envelope.*")
+
+
 def read_landing(
-    spark: SparkSession, path: str, terms: list[str] = S.SEARCH_TERMS, one_envelope_per_line: bool = False
+    spark: SparkSession, path: str, terms: list[str] = S.SEARCH_TERMS, one_envelope_per_line: bool = False, compacted: bool = False
 ) -> DataFrame:
     """Items under ``path/search_term=.../page=.../*.json``; only directories of the given terms are read.
 
-    A file holds one envelope, or one per line (splittable, for compacted landings). A file or line that is no JSON gives
-    one row: its text as the item, and ``file_error``.
+    A file holds one envelope, or one per line (splittable). A ``compacted`` landing, as ``write_compacted`` makes it, has no folders of
+    pages: many pages share a file. A file or line that is no JSON gives one row: its text as the item, and ``file_error``.
     """
+    if compacted:
+        return items(_read_compacted(spark, path), terms)
     reader = spark.read.schema(f"{LANDING_SCHEMA}, {CORRUPT} string").option("multiLine", not one_envelope_per_line)
     return items(reader.option("columnNameOfCorruptRecord", CORRUPT).json(path), terms)
