@@ -49,3 +49,10 @@ def test_short_pages_are_left_out_first_and_tables_are_read_again(spark, tmp_pat
     found = {r["page_key"]: r["html"] for r in again.collect()}
     assert len(found) == 40 and found["k1"] == "<p>x1</p>" or found["k1"] == min(h for k, h in ROWS if k == "k1" and h)
     assert stored_pages.lay_out(again.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_pages_move_once_to_their_buckets(spark):
+    rows = [(f"k{i % 7}", f"text {i}") for i in range(50)]
+    found = stored_pages._in_buckets(spark.createDataFrame(rows, "page_key string, html string"), 8)
+    assert {r["page_key"]: r["html"] for r in found.collect()} == {f"k{k}": min(t for q, t in rows if q == f"k{k}") for k in range(7)}
+    assert found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].count("Exchange hashpartitioning") == 1

@@ -39,6 +39,11 @@ def is_laid_out(pages: DataFrame) -> bool:
     return bool(pages.schema["page_key"].metadata.get("one_row_per_key"))
 
 
+def _in_buckets(pages: DataFrame, buckets: int) -> DataFrame:
+    """One row per key, where the key's bucket is written: pages move once, and repeats are told apart where they arrive."""
+    return pages.select("page_key", "html").repartition(buckets, "page_key").groupBy("page_key").agg(F.min("html").alias("html"))
+
+
 def lay_out(pages: DataFrame, path: str, buckets: int | None = None, longer_than: int | None = None) -> DataFrame:
     """Write ``page_key, html`` to the new folder ``path``, one row per key, in sorted buckets by key; returns the table.
 
@@ -52,7 +57,7 @@ def lay_out(pages: DataFrame, path: str, buckets: int | None = None, longer_than
     if buckets is None:
         size = usable.agg(F.sum(F.octet_length("html").cast("long")).alias("b")).first()["b"] or 0
         buckets = max(-(-size // BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    once = usable.groupBy("page_key").agg(F.min("html").alias("html")).repartition(buckets, "page_key")
+    once = _in_buckets(usable, buckets)
     spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}.layout")
     once.write.bucketBy(buckets, "page_key").sortBy("page_key").option("path", path).format("parquet").saveAsTable(_table_name(path))
     return read_laid_out(spark, path)
