@@ -121,3 +121,22 @@ def test_clashing_columns_null_keys_and_repeats(spark):
     kept = found.collect()
     assert sorted((r["doc_id"], (r["text"] or "")[:3]) for r in kept) == [(1, "a b"), (2, ""), (3, "x x"), (3, "y z")]
     assert all(r["__row"] == r["__copy"] == r["node"] == "mine" for r in kept)
+
+
+def test_stars_need_no_further_step(spark, monkeypatch):
+    """Links that are stars already are seen to be so; others take steps until they are."""
+    from vakanta.llm import components
+
+    steps = []
+    step = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: steps.append(1) or step(edges))
+
+    def found(edges):
+        steps.clear()
+        rows = components.connected(spark.createDataFrame(edges, "a long, b long")).collect()
+        return sorted((r["node"], r["root"]) for r in rows)
+
+    assert found([(1, 2), (1, 3), (1, 3), (5, 9)]) == [(2, 1), (3, 1), (9, 5)] and not steps
+    assert found([]) == [] and not steps
+    assert found([(1, 3), (2, 3), (3, 4), (6, 8), (7, 8)]) == [(2, 1), (3, 1), (4, 1), (7, 6), (8, 6)] and steps
+    assert found([(i, i + 1) for i in range(20)]) == [(i, 0) for i in range(1, 21)]
