@@ -130,3 +130,22 @@ def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     data = [(r["lang"], r["text"]) for r in docs.collect()]
     assert rows(C.collocations(docs)) == brute(data)
+
+
+def test_cells_follow_the_hashes_met():
+    """Sums are those of a table of all cells, whatever the merges, and what is held follows the hashes."""
+    import numpy as np
+
+    chance = np.random.default_rng(3)
+    cells, want = C.Cells(20, 10), np.zeros(2 << 20, dtype=np.int64)
+    for _ in range(30):
+        hashes, n = np.unique(chance.integers(0, 1 << 64, 3000, dtype=np.uint64) & np.uint64(0xFFF0000000FF), return_counts=True)
+        cells.add(hashes, n)
+        for at in C._places(hashes, 20):
+            np.add.at(want, at, np.minimum(n, 10))
+    assert cells.held <= 30 * 3000 and not hasattr(cells, "counts")
+    got = np.zeros(2 << 20, dtype=np.int64)
+    for _, chunk, at, counts in cells.packed(1):
+        got[chunk * C.CELL_CHUNK + np.frombuffer(at, dtype="<u2").astype(np.int64)] += np.frombuffer(counts, dtype=np.uint8)
+    assert (got <= 10).all() and (got == np.minimum(want, 10)).all()
+    assert not list(cells.packed(1))

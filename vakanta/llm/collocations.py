@@ -26,8 +26,10 @@ TOP = 2000
 SHARD_PHRASES = 1 << 18
 PASS_TRIES = 4
 HELD_NUMBERS = 1 << 21
-CELL_BITS = (16, 24)
+CELL_BITS = (16, 26)
 CELL_CHUNK = 1 << 16
+MERGE_HASHES = 1 << 20
+MOST_HASHES = 1 << 22  # held by a task at once
 CHUNK_BYTES = 1 << 20
 KEPT_WORDS = 400_000
 KEPT_PHRASES = 2_000_000
@@ -144,38 +146,68 @@ def _places(hashes, bits: int):
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64) + (1 << bits)
 
 
+def _summed(keys, counts, cap: int):
+    """Distinct ascending keys and the sums of their counts, held at ``cap``."""
+    import numpy as np
+
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.minimum(np.add.reduceat(counts[order].astype(np.int64), starts), cap).astype(np.uint8)
+
+
 class Cells:
-    """Counts by hash, held at ``cap``; a phrase is counted in two cells, and as often as the lesser one says at most."""
+    """Counts by hash, held at ``cap``; a phrase is counted in two cells, and as often as the lesser one says at most.
 
-    def __init__(self, bits: int, cap: int):
-        import numpy as np
+    Only hashes met are held, so that memory follows the texts and not the number of cells.
+    """
 
+    def __init__(self, bits: int, cap: int):
         self.bits, self.cap = bits, cap
-        self.counts = np.zeros(2 << bits, dtype=np.uint16)
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts: list = []
+        self.held = self.merged = 0
 
     def add(self, hashes, counts) -> None:
-        """Distinct hashes and how often each was met. Additions are small and held at once, so that none overflows."""
+        """Distinct hashes and how often each was met."""
+        import numpy as np
+
+        self.parts.append((hashes, np.minimum(counts, self.cap).astype(np.uint8)))
+        self.held += len(hashes)
+        if self.held > 2 * self.merged + MERGE_HASHES:
+            self._merge()
+
+    def _merge(self) -> None:
         import numpy as np
 
-        counts = np.minimum(counts, self.cap).astype(np.uint16)
-        most = (1 << 16) // (self.cap + 1) - 1
-        for at in _places(hashes, self.bits):
-            crowd = np.bincount(at & 0xFFF).max(initial=0) > most  # an upper bound of the hashes in one cell
-            for i in range(0, len(at), most if crowd else max(len(at), 1)):
-                part = at[i : i + (most if crowd else len(at))]
-                np.add.at(self.counts, part, counts[i : i + len(part)])
-                self.counts[part] = np.minimum(self.counts[part], self.cap)
+        if self.parts:
+            self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)), self.cap)]
+            self.held = self.merged = len(self.parts[0][0])
 
     def packed(self, level: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-        """(level, chunk, positions, counts) of the cells that are not empty."""
+        """(level, chunk, positions, counts) of the cells that are not empty; forgets them."""
         import numpy as np
 
-        at = np.flatnonzero(self.counts)
-        cuts = np.searchsorted(at, np.arange(0, len(self.counts) + CELL_CHUNK, CELL_CHUNK))
-        for chunk in range(len(cuts) - 1):
-            part = at[cuts[chunk] : cuts[chunk + 1]]
-            if len(part):
-                yield level, chunk, (part % CELL_CHUNK).astype("<u2").tobytes(), self.counts[part].astype(np.uint8).tobytes()
+        self._merge()
+        if self.held:
+            hashes, counts = self.parts[0]
+            at, counts = _summed(np.concatenate(_places(hashes, self.bits)), np.concatenate([counts, counts]), self.cap)
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] // CELL_CHUNK != at[:-1] // CELL_CHUNK]))
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+                part = at[start:end]
+                yield level, int(part[0]) // CELL_CHUNK, (part % CELL_CHUNK).astype("<u2").tobytes(), counts[start:end].tobytes()
+        self.clear()
+
+    def batches(self, level: int, least: int = 0) -> Iterator[pa.RecordBatch]:
+        """The packed cells as batches, if more than ``least`` hashes are held."""
+        if self.merged > least or not least:
+            rows = [(*row, None, None) for row in self.packed(level)]
+            for i in range(0, len(rows), 64):
+                yield _packed_batch(rows[i : i + 64])
 
 
 PACKED = "level int, chunk int, at binary, counts binary, lang string, phrase string"
@@ -212,7 +244,7 @@ def _full_cells(packed: DataFrame, bits: int, least: int) -> dict[int, bytes]:
     rows = packed.filter("level > 0").select("level", "chunk", "at", "counts").repartition("level", "chunk").sortWithinPartitions("level", "chunk")
     size = min(CELL_CHUNK, 2 << bits) // 8
     out: dict[int, bytearray] = {}
-    for r in rows.mapInArrow(fold, "level int, chunk int, bits binary").collect():  # a bit per cell: 4 MB a level at most
+    for r in rows.mapInArrow(fold, "level int, chunk int, bits binary").collect():  # a bit per cell: 16 MB a level at most
         out.setdefault(r["level"], bytearray((2 << bits) // 8))[r["chunk"] * size : (r["chunk"] + 1) * size] = r["bits"]
     return {level: bytes(b) for level, b in out.items()}
 
@@ -250,9 +282,10 @@ def _first_pass(rows: DataFrame, bits: int, least: int) -> DataFrame:
             each, first, n = np.unique(numbers, return_index=True, return_counts=True)
             cells[0].add(hashes[0][first[each > 0]], n[each > 0])
             cells[1].add(*np.unique(hashes[1][there[1]], return_counts=True))
+            for level in (0, 1):
+                yield from cells[level].batches(level + 1, MOST_HASHES)
         for level in (0, 1):
-            for row in cells[level].packed(level + 1):
-                yield _packed_batch([(*row, None, None)])
+            yield from cells[level].batches(level + 1)
 
     return rows.mapInArrow(run, PACKED)
 
@@ -279,6 +312,7 @@ def _named(rows: DataFrame, bits: int, least: int, width: int, full: dict[int, b
             three = there[2] & two[:-1] & two[1:]
             if width == 2:
                 cells.add(*np.unique(hashes[2][three], return_counts=True))
+                yield from cells.batches(3, MOST_HASHES)
                 good = two
             else:
                 good = three & known[2].holds(hashes[2])
@@ -288,8 +322,7 @@ def _named(rows: DataFrame, bits: int, least: int, width: int, full: dict[int, b
             for i in range(0, len(out), 10_000):
                 yield _packed_batch([(0, 0, None, None, lang, phrase) for phrase in out[i : i + 10_000]])
         if cells:
-            for row in cells.packed(3):
-                yield _packed_batch([(*row, None, None)])
+            yield from cells.batches(3)
 
     return rows.mapInArrow(run, PACKED)
 
