@@ -142,3 +142,30 @@ def test_boosting_learns_and_thresholds_are_calibrated():
     assert sum(chosen) / len(chosen) >= 0.95 and len(chosen) > 200
     steps, chances = boosting.isotonic([1, 2, 3, 4], [0, 1, 0, 1])
     assert chances == sorted(chances) and boosting.threshold([1.0], [1], 0.9) == float("inf")
+
+
+def test_models_and_thresholds_are_fitted_on_all_examples(spark, monkeypatch):
+    """More examples than any fixed bound of a task, many of them repeated: as the trees and threshold of all in memory."""
+    from xxhash import xxh3_64_intdigest
+
+    chance = random.Random(3)
+    texts = []
+    for i in range(2600):
+        name, host = "".join(chance.choice("abcdefgh") for _ in range(chance.randint(3, 9))), f"host{chance.randint(1, 99)}.example.org"
+        texts.append(f"write to {name}{i}@{host}, call +1 ({chance.randint(100, 999)}) 555-{i:04d} or see {i}-{chance.randint(1, 9999)}/{chance.randint(10**6, 10**7)} now {i}")
+    texts += texts[:500] + [None, ""]
+    for name, value in (("HELD_EXAMPLES", 100), ("KEPT_EXAMPLES", 700)):
+        monkeypatch.setattr(pii, name, value)
+    for name, value in (("TASK_ROWS", 2000), ("MOST_PARTS", 2), ("KEPT_ROUNDS", 15)):
+        monkeypatch.setattr(boosting, name, value)
+    finder = pii.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    taught = {(kind, label, xxh3_64_intdigest(name.encode()) >> 1): x for t in texts for kind, label, name, x in pii.examples(t or "")}
+    assert set(finder.models) == {0, 3}
+    for kind, (model, bound) in finder.models.items():
+        own = [(label, h % 4 == 0, x) for (k, label, h), x in taught.items() if k == kind]
+        assert sum(label for label, _, _ in own) > 3 * 2000
+        want = boosting.fit([x for _, apart, x in own if not apart], [label for label, apart, _ in own if not apart])
+        assert model.start == want.start and [list(c) for c in model.cuts] == [list(c) for c in want.cuts]
+        assert all((a == b).all() for one, other in zip(model.trees, want.trees, strict=True) for a, b in zip(one, other, strict=True))
+        margins = want.margins([x for _, apart, x in own if apart])
+        assert bound == boosting.threshold(margins, [label for label, apart, _ in own if apart], pii.CHANCE, least_rows=5)

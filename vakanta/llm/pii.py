@@ -3,8 +3,8 @@
 Generators propose overlapping spans with loose expressions. Trees judge a span by its format (digits, groups, separators, check
 sum) and its context (characters and trigger words around it). They learn from the corpus itself: spans of the rules are
 positive, and so are spoilt copies of them in the same context (signs replaced by words, prefixes lost), which no rule
-accepts; candidates apart from all rules are negative. Trees are fitted on one part of a bounded sample; thresholds come from
-chances calibrated on the other. Of overlapping spans the likeliest stays, and none may touch a span of a rule.
+accepts; candidates apart from all rules are negative. Trees are fitted on three quarters of all examples; thresholds come from
+chances calibrated on the rest. Of overlapping spans the likeliest stays, and none may touch a span of a rule.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ from collections.abc import Iterator
 from random import Random
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vakanta.llm import boosting
-from vakanta.llm.common import checkpointed, plain_text
+from vakanta.llm.common import plain_text, stored
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS = 2000  # of each kind and label
+HELD_EXAMPLES = 1 << 13
+KEPT_EXAMPLES = 1 << 17
 CHANCE = 0.95
 CONTEXT = 32
 
@@ -242,44 +243,52 @@ class Finder:
         return rules, sorted(out)
 
 
-def train(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, chance: float = CHANCE) -> Finder:
-    """Fit trees and thresholds on at most ``sample_rows`` examples of each kind and label, those of the smallest hashes.
+def all_examples(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, label, h, x): what all texts teach; equal spans in equal contexts, of hash ``h``, are one row."""
 
-    All texts are searched for examples; equal spans in equal contexts count once. A kind with too few positive examples gets
-    no model and adds nothing. An empty table gives rules alone.
-    """
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        found: dict[tuple[int, int], dict[int, list[float]]] = {}
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
+        met: set[tuple[int, int, int]] = set()  # what a task has met lately is not handed on again
+        out: list[tuple] = []
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "label", "h", "x"])
+
         for batch in batches:
             for t in batch.column(0):
                 for kind, label, name, x in examples(t.as_py()):
-                    held = found.setdefault((kind, label), {})
-                    held[xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")) >> 1] = x
-                    if len(held) > 2 * sample_rows:  # a task hands on the smallest hashes only
-                        found[kind, label] = {h: held[h] for h in sorted(held)[:sample_rows]}
-        keys = [(kind, label, h) for (kind, label), held in found.items() for h in sorted(held)[:sample_rows]]
-        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))]
-        values = pa.array([found[k[:2]][k[2]] for k in keys], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([*columns, values], ["kind", "label", "h", "x"])
-
-    seen = docs.select(plain_text(text).alias("text")).mapInArrow(gather, "kind int, label int, h long, x array<double>")
-    once = seen.groupBy("kind", "label", "h").agg(F.first("x").alias("x"))
-    place = F.row_number().over(Window.partitionBy("kind", "label").orderBy("h"))
-    once = once.withColumn("place", place).filter(F.col("place") <= sample_rows)
-    rows = sorted((r["kind"], r["h"], r["label"], r["x"]) for r in checkpointed(once).collect())
-    models = {}
-    for kind in range(len(KINDS)):
-        own = [r for r in rows if r[0] == kind]
-        fitted, apart = [r for r in own if r[1] % 4], [r for r in own if r[1] % 4 == 0]
-        if sum(r[2] for r in fitted) < 20 or sum(r[2] for r in apart) < 5:
-            continue
-        model = boosting.fit([r[3] for r in fitted], [r[2] for r in fitted])
-        bound = boosting.threshold(model.margins([r[3] for r in apart]), [r[2] for r in apart], chance, least_rows=5)
-        models[kind] = (model, bound)
-    return Finder(models)
+                    row = kind, label, xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")) >> 1
+                    if row not in met:
+                        met.add(row)
+                        out.append((*row, [int(v) for v in x]))
+                    if len(out) == HELD_EXAMPLES:
+                        yield made()
+                        out.clear()
+                    if len(met) == KEPT_EXAMPLES:
+                        met.clear()
+        if out:
+            yield made()
+
+    seen = docs.select(plain_text(text).alias("text")).mapInArrow(run, "kind int, label int, h long, x array<int>")
+    return seen.groupBy("kind", "label", "h").agg(F.first("x").alias("x"))
+
+
+def train(docs: DataFrame, text: str = "text", chance: float = CHANCE) -> Finder:
+    """Fit trees on the examples of all texts but every fourth, and thresholds on those.
+
+    Equal spans in equal contexts count once. A kind with too few positive examples gets no model and adds nothing. An empty table
+    gives rules alone.
+    """
+    rows = stored(all_examples(docs, text), "personal-data-examples")
+    apart = F.pmod("h", F.lit(4)) == 0
+    taught = rows.groupBy("kind").agg(F.sum(F.when(~apart, F.col("label"))).alias("fitted"), F.sum(F.when(apart, F.col("label"))).alias("apart"))
+    kinds = [r["kind"] for r in taught.filter("fitted >= 20 and apart >= 5").collect()]
+    usable = rows.filter(F.col("kind").isin(kinds))
+    models = boosting.fit_all(usable.filter(~apart))
+    bounds = boosting.thresholds(usable.filter(apart), models, chance, least_rows=5)
+    return Finder({kind: (model, bounds[kind]) for kind, model in models.items()})
 
 
 def find(docs: DataFrame, finder: Finder, key: str = "doc_id", text: str = "text") -> DataFrame:
