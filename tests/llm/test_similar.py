@@ -140,3 +140,23 @@ def test_stars_need_no_further_step(spark, monkeypatch):
     assert found([]) == [] and not steps
     assert found([(1, 3), (2, 3), (3, 4), (6, 8), (7, 8)]) == [(2, 1), (3, 1), (4, 1), (7, 6), (8, 6)] and steps
     assert found([(i, i + 1) for i in range(20)]) == [(i, 0) for i in range(1, 21)]
+
+
+@pytest.mark.parametrize("bits", [1, 1 << 26])
+def test_only_texts_of_repeats_and_copies_move(spark, monkeypatch, bits):
+    """Rows alone in their component, or at its head, are told by their digests; a full bitmap gives the same rows."""
+    from vakanta.llm import simhash
+
+    monkeypatch.setattr(simhash, "MARK_BITS", bits)
+    told = []
+    apart = simhash.with_row_id
+    monkeypatch.setattr(simhash, "with_row_id", lambda docs, *names: told.append(docs.count()) or apart(docs, *names))
+    data = [(i, f"text {i} of words that stand in no other one {i}") for i in range(200)]
+    data += [(7, data[7][1]), (300, data[9][1]), (2, data[9][1]), (None, data[9][1]), (2, None), (5, ""), (301, " ")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("__word", "__bit", "__held", "__n")})
+    found = similar.keep_first(docs)
+    assert found.columns == docs.columns
+    kept = sorted((r["doc_id"], r["text"] or "") for r in found.collect())
+    want = [(i, t) for i, t in data[:200] if i != 9] + [(2, data[9][1]), (2, "")]
+    assert kept == sorted(want)
+    assert told[0] <= 4 if bits > 1 else told[0] >= 200

@@ -26,6 +26,7 @@ MAX_BITS = 2
 BLOCK_BITS = 16
 BLOCKS = 4
 CROWD = 16
+MARK_BITS = 1 << 26
 
 
 def text_fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
@@ -154,14 +155,40 @@ def head() -> Column:
     return F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "row")).alias("head")
 
 
+def _place(row: Column) -> tuple[Column, Column]:
+    """Word of a bitmap of ``MARK_BITS`` bits, and the bit in it, for a digest."""
+    at = F.pmod(F.xxhash64(row), F.lit(MARK_BITS))
+    return F.floor(at / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+
+
+def marked(docs: DataFrame, rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose digest ``name`` may be among those of ``rows``, and those for which it is not. None of them move.
+
+    The digests of ``rows`` are marked in a bitmap that every executor holds, at most 2^20 words whatever the table's size.
+    """
+    word, bit, held = (free_name(docs, x) for x in ("__word", "__bit", "__held"))
+    of, one = _place(F.col(rows.columns[0]))
+    words = checkpointed(rows.select(of.alias(word), one.alias(bit)).groupBy(word).agg(F.bit_or(bit).alias(held)))
+    of, one = _place(F.col(name))
+    tested = docs.withColumn(word, of).join(F.broadcast(words), word, "left").withColumn(held, F.coalesce(F.col(held).bitwiseAND(one) != 0, F.lit(False)))
+    return tested.filter(F.col(held)).select(*docs.columns), tested.filter(~F.col(held)).select(*docs.columns)
+
+
 def first_rows(docs: DataFrame, classes: DataFrame, roots: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows that head a component: ``classes`` (node, head), ``roots`` (node, root) of the linked nodes."""
+    """The rows that head a component: ``classes`` (node, head), ``roots`` (node, root) of the linked nodes.
+
+    Digests tell which rows go or have repeats; only those, and the few that share a place of the bitmap with them, move with their texts.
+    """
     grouped = classes.select("node", "head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    name = free_name(docs, "__row")
-    chosen = grouped.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias(name))
+    name, held = free_name(docs, "__row"), free_name(docs, "__n")
+    chosen = checkpointed(grouped.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias(name)))
+    named = docs.withColumn(name, row_id(key, text))
+    counted = named.groupBy(name).agg(F.count("*").alias(held))
+    single = counted.filter(F.col(held) == 1).join(chosen, name, "left_semi")
+    unsettled, settled = marked(named, counted.select(name).join(single, name, "left_anti"), name)
     # rows are chosen by their digests before copies are told apart, so that only chosen texts meet in the window
-    named = docs.withColumn(name, row_id(key, text)).join(chosen, name, "left_semi").drop(name)
-    return with_row_id(named, key, text, name).select(*docs.columns)
+    met = unsettled.join(chosen, name, "left_semi").drop(name)
+    return settled.select(*docs.columns).union(with_row_id(met, key, text, name).select(*docs.columns))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
