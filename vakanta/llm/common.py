@@ -5,12 +5,14 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_LONG = -(2**63)
+SLICE_ROWS = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,6 +59,18 @@ def kept_in_worker(name: str, version: str, make: Callable):
     return held[name][1]
 
 
+def forget_kept() -> None:
+    """For tasks that keep nothing: let go of what an earlier stage has left in their worker."""
+    sys.__dict__.pop("_vakanta_llm", None)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in short runs, so that what is made of one stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def plain_text(name: str = "text") -> Column:
     """The text, the empty one for null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
