@@ -160,3 +160,35 @@ def test_only_texts_of_repeats_and_copies_move(spark, monkeypatch, bits):
     want = [(i, t) for i, t in data[:200] if i != 9] + [(2, data[9][1]), (2, "")]
     assert kept == sorted(want)
     assert told[0] <= 4 if bits > 1 else told[0] >= 200
+
+
+def test_sketches_never_differ_more_than_sets():
+    import numpy as np
+
+    chance = np.random.default_rng(4)
+    for size in (1, 40, 300, 5000):
+        whole = np.unique(chance.integers(0, 1 << 64, size, dtype=np.uint64))
+        one, other = (np.unique(np.concatenate([chance.permutation(whole)[: size - size // 8], chance.integers(0, 1 << 64, n, dtype=np.uint64)])) for n in (3, 9))
+        apart = np.bitwise_xor(similar.sketch(one), similar.sketch(other))
+        assert len(apart) == similar.SKETCH_WORDS
+        assert sum(int(x).bit_count() for x in apart.view("<u8")) <= len(np.setxor1d(one, other))
+        assert not similar.sketch(one[:0]).any()
+
+
+def test_leaders_meet_few_members_that_are_not_alike(spark, monkeypatch):
+    """A crowd whose members mostly link to nobody: sketches settle their pairs, and few rounds are needed."""
+    told = []
+    verified = similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, sets: told.append(pairs.count()) or verified(pairs, sets))
+    chance = random.Random(17)
+    word = lambda: "".join(chance.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    data = []
+    for i in range(250):
+        own = list(base)
+        for at in chance.sample(range(200), 3 if i < 20 else 8):
+            own[at] = word()
+        data.append((i, " ".join(own)))
+    docs = spark.createDataFrame([(k, t, "en") for k, t in data], SCHEMA)
+    assert kept_keys(similar.keep_first(docs)) == brute_kept(data)
+    assert len(told) <= 6 and sum(told[1:]) <= 2000, told
