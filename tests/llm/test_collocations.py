@@ -149,3 +149,18 @@ def test_cells_follow_the_hashes_met():
         got[chunk * C.CELL_CHUNK + np.frombuffer(at, dtype="<u2").astype(np.int64)] += np.frombuffer(counts, dtype=np.uint8)
     assert (got <= 10).all() and (got == np.minimum(want, 10)).all()
     assert not list(cells.packed(1))
+
+
+def test_phrases_found_everywhere_are_not_named_by_every_task(spark, monkeypatch):
+    """Later parts of the rows leave out what earlier ones have named; with room for no hash, or few, results stay."""
+    data = [("en", " ".join(f"w{(i * 7 + k) % 20:02}" for k in range(30)) + f" own{i}") for i in range(1000)] + made(4)
+    docs = frame(spark, data).repartition(16)
+    want, told = brute(data), []
+    keep = C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: told.append((name, keep(df, name))) or told[-1][1])
+    for room in (1 << 21, 20, 0):
+        monkeypatch.setattr(C, "KNOWN_HASHES", room, raising=False)
+        assert rows(C.collocations(docs)) == want
+        pairs = [r for name, df in told if name == "phrase-pairs" for r in df.filter("level = 0").collect()]
+        assert room < 1 << 21 or len(pairs) <= 3 * len({(r["lang"], r["phrase"]) for r in pairs}), len(pairs)
+        told.clear()

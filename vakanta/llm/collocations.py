@@ -2,7 +2,8 @@
 
 Candidates are Apriori-safe. A first pass counts words and word pairs into hash cells, a second names the pairs whose cell and
 words may be frequent and counts the triples of such pairs into cells, a third names the triples. No frequent phrase is lost:
-a cell's count is never below that of a phrase in it. Candidates and their words are dealt to shards of bounded size, each
+a cell's count is never below that of a phrase in it. Rows are named in parts of growing size, and later parts leave out
+what earlier ones have named, so that a phrase found everywhere is not named anew by every task. Candidates and their words are dealt to shards of bounded size, each
 a double-array trie that every worker reads from the shared folder. A last pass takes several tries at once: words become
 numbers once for all of them, numpy moves the states of all text positions through each trie, a level at a time, and
 counts accepting states; counts are summed over tasks and shards. There are as many such passes as the tries need.
@@ -13,13 +14,13 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
+from itertools import islice, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vakanta.llm.common import file_system, fresh_path, kept_in_worker, plain_text, publish, stored
+from vakanta.llm.common import file_system, forget_kept, fresh_path, kept_in_worker, plain_text, publish, stored
 
 LEAST_COUNT = 10
 TOP = 2000
@@ -29,7 +30,10 @@ HELD_NUMBERS = 1 << 21
 CELL_BITS = (16, 26)
 CELL_CHUNK = 1 << 16
 MERGE_HASHES = 1 << 20
-MOST_HASHES = 1 << 22  # held by a task at once
+MOST_HASHES = 1 << 21  # held by a task at once
+PARTS = (1, 4, 16)  # where the parts of the rows end, in sixteenths
+TASK_BYTES = 16 << 20
+KNOWN_HASHES = 1 << 21  # of phrases named in earlier parts: 16 MB
 CHUNK_BYTES = 1 << 20
 KEPT_WORDS = 400_000
 KEPT_PHRASES = 2_000_000
@@ -194,20 +198,20 @@ class Cells:
 
         self._merge()
         if self.held:
-            hashes, counts = self.parts[0]
-            at, counts = _summed(np.concatenate(_places(hashes, self.bits)), np.concatenate([counts, counts]), self.cap)
-            starts = np.flatnonzero(np.concatenate([[True], at[1:] // CELL_CHUNK != at[:-1] // CELL_CHUNK]))
-            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
-                part = at[start:end]
-                yield level, int(part[0]) // CELL_CHUNK, (part % CELL_CHUNK).astype("<u2").tobytes(), counts[start:end].tobytes()
+            for places in _places(self.parts[0][0], self.bits):  # one half of the table after the other
+                at, counts = _summed(places, self.parts[0][1], self.cap)
+                starts = np.flatnonzero(np.concatenate([[True], at[1:] // CELL_CHUNK != at[:-1] // CELL_CHUNK]))
+                for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+                    part = at[start:end]
+                    yield level, int(part[0]) // CELL_CHUNK, (part % CELL_CHUNK).astype("<u2").tobytes(), counts[start:end].tobytes()
         self.clear()
 
     def batches(self, level: int, least: int = 0) -> Iterator[pa.RecordBatch]:
         """The packed cells as batches, if more than ``least`` hashes are held."""
         if self.merged > least or not least:
-            rows = [(*row, None, None) for row in self.packed(level)]
-            for i in range(0, len(rows), 64):
-                yield _packed_batch(rows[i : i + 64])
+            rows = ((*row, None, None) for row in self.packed(level))
+            while some := list(islice(rows, 64)):
+                yield _packed_batch(some)
 
 
 PACKED = "level int, chunk int, at binary, counts binary, lang string, phrase string"
@@ -274,6 +278,7 @@ def _first_pass(rows: DataFrame, bits: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        forget_kept()
         words, cells = Words(), [Cells(bits, least), Cells(bits, least)]
         for lang, tokens in chunks(batches):
             words = words if len(words) < KEPT_WORDS else Words()
@@ -290,37 +295,72 @@ def _first_pass(rows: DataFrame, bits: int, least: int) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
-def _named(rows: DataFrame, bits: int, least: int, width: int, full: dict[int, bytes]) -> DataFrame:
-    """The distinct phrases of ``width`` words all of whose parts, and themselves, lie in full cells (level 0); with pairs
-    also the cells of the triples made of them (level 3)."""
+def _hashes_named(named: list[DataFrame]) -> bytes:
+    """Ascending hashes of the phrases of these tables, about ``KNOWN_HASHES`` of them at most."""
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(batch.column(0).to_pylist())])], ["hashes"])
+
+    each = stored(reduce(DataFrame.union, named).filter("level = 0").select("at").distinct(), "named-hashes")
+    held = each.filter(F.pmod(F.xxhash64("at"), F.lit(max(each.count(), 1))) < KNOWN_HASHES)
+    found = b"".join(r["hashes"] for r in held.mapInArrow(run, "hashes binary").collect())
+    return np.sort(np.frombuffer(found, dtype="<u8")).tobytes()
+
+
+def _in_parts(rows: DataFrame, size: int, bits: int, least: int, width: int, full: dict[int, bytes]) -> DataFrame:
+    """``_named`` of all rows, a part of them after the other; a part leaves out phrases that earlier ones have named.
+
+    A row's part is told by its hash. Parts but the last have a task for each ``TASK_BYTES``. What is left out never changes the result.
+    """
+    part = F.pmod(F.xxhash64("lang", "text"), F.lit(PARTS[-1]))
+    found, begin = [], 0
+    for end in PARTS:
+        some = rows.filter((part >= begin) & (part < end))
+        if end < PARTS[-1]:
+            some = some.coalesce(size * (end - begin) // PARTS[-1] // TASK_BYTES + 1)
+        known = _hashes_named(found) if found else b""
+        found.append(stored(_named(some, bits, least, width, full, known), "phrase-pairs" if width == 2 else "phrase-triples"))
+        begin = end
+    return reduce(DataFrame.union, found)
+
+
+def _named(rows: DataFrame, bits: int, least: int, width: int, full: dict[int, bytes], known: bytes = b"") -> DataFrame:
+    """The distinct phrases of ``width`` words all of whose parts, and themselves, lie in full cells (level 0, the hash as ``at``), but
+    those of the ``known`` hashes; with pairs also the cells of the triples made of them (level 3)."""
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(full)
+    sent = spark.sparkContext.broadcast((full, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        forget_kept()
         words, cells = Words(), Cells(bits, least) if width == 2 else None
-        known = [Full(bits, sent.value.get(level)) for level in (1, 2, 3)]
+        cells_full, before = [Full(bits, sent.value[0].get(level)) for level in (1, 2, 3)], np.frombuffer(sent.value[1], dtype="<u8")
         seen = Seen()
         for lang, tokens in chunks(batches):
             words = words if len(words) < KEPT_WORDS else Words()
             numbers = np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
             hashes, there = _hashes(lang, numbers, words)
-            one = there[0] & known[0].holds(hashes[0])
+            one = there[0] & cells_full[0].holds(hashes[0])
             two = there[1] & one[:-1] & one[1:]
-            two &= known[1].holds(hashes[1])
+            two &= cells_full[1].holds(hashes[1])
             three = there[2] & two[:-1] & two[1:]
             if width == 2:
                 cells.add(*np.unique(hashes[2][three], return_counts=True))
                 yield from cells.batches(3, MOST_HASHES)
                 good = two
             else:
-                good = three & known[2].holds(hashes[2])
+                good = three & cells_full[2].holds(hashes[2])
             found, first = np.unique(hashes[width - 1][good], return_index=True)
-            at = np.flatnonzero(good)[first[seen.add(found)]].tolist()
+            new = seen.add(found)
+            if len(before):
+                new &= before[np.minimum(np.searchsorted(before, found), len(before) - 1)] != found
+            at, own = np.flatnonzero(good)[first[new]].tolist(), found[new].astype("<u8")
             out = [b" ".join(tokens[i : i + width]).decode("utf-8", "surrogatepass") for i in at]
             for i in range(0, len(out), 10_000):
-                yield _packed_batch([(0, 0, None, None, lang, phrase) for phrase in out[i : i + 10_000]])
+                yield _packed_batch([(0, 0, h.tobytes(), None, lang, phrase) for h, phrase in zip(own[i : i + 10_000], out[i : i + 10_000], strict=True)])
         if cells:
             yield from cells.batches(3)
 
@@ -538,14 +578,14 @@ def phrase_counts(
     cells; by default it follows the size of the texts. More cells mean fewer candidates, never other results.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), plain_text(text).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
     if bits is None:
-        size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
         bits = min(max((size // 16).bit_length(), CELL_BITS[0]), CELL_BITS[1])
     full = _full_cells(_first_pass(rows, bits, least), bits, least)
-    pairs = stored(_named(rows, bits, least, 2, full), "phrase-pairs")
+    pairs = _in_parts(rows, size, bits, least, 2, full)
     full |= _full_cells(pairs, bits, least)
-    triples = _named(rows, bits, least, 3, full)
-    named = stored(pairs.filter("level = 0").select("lang", "phrase").union(triples.select("lang", "phrase")).distinct(), "phrases")
+    triples = _in_parts(rows, size, bits, least, 3, full)
+    named = stored(pairs.union(triples).filter("level = 0").select("lang", "phrase").distinct(), "phrases")
     single = named.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     folder = fresh_path(docs.sparkSession, "phrase-tries")
     numbered, shards = _stored_tries(stored(named.union(single), "phrases-and-words"), folder, shard_phrases)
