@@ -164,3 +164,25 @@ def test_phrases_found_everywhere_are_not_named_by_every_task(spark, monkeypatch
         pairs = [r for name, df in told if name == "phrase-pairs" for r in df.filter("level = 0").collect()]
         assert room < 1 << 21 or len(pairs) <= 3 * len({(r["lang"], r["phrase"]) for r in pairs}), len(pairs)
         told.clear()
+
+
+def test_places_are_packed_by_their_gaps():
+    import numpy as np
+
+    chance = np.random.default_rng(6)
+    for size in (1, 2, 40, 3000, 65536):
+        at = np.sort(chance.choice(1 << 16, size, replace=False))
+        raw = C._gaps(at)
+        assert C._from_gaps(raw).tolist() == at.tolist()
+        assert len(raw) <= 2 * size + 1 and (size < 3000 or len(raw) < 1.1 * size)
+    edge = np.array([0, 1, 255, 256, 510, 766, 65535])
+    assert C._from_gaps(C._gaps(edge)).tolist() == edge.tolist() and C._from_gaps(C._gaps(edge[:4])).tolist() == [0, 1, 255, 256]
+
+
+def test_counts_are_added_up_over_tasks_and_widths(spark):
+    data = [("en", "a b " * n) for n in (40, 300, 70_000)] + [("de", "a b. " * 300), ("de", "c")]
+    docs = spark.createDataFrame(data, "lang string, text string").repartition(5)
+    counts, totals = C.phrase_counts(docs)
+    found = {(r["lang"], r["phrase"]): r["f"] for r in counts.collect()}
+    assert found["en", "a"] == 70_340 and found["en", "a b"] == 70_340 and found["en", "b a"] == 70_337 and found["de", "a b"] == 300
+    assert sorted(map(tuple, totals.collect())) == [("de", 601), ("en", 140_680)]

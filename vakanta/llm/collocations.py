@@ -150,6 +150,30 @@ def _places(hashes, bits: int):
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64) + (1 << bits)
 
 
+def _gaps(at) -> bytes:
+    """Ascending places below 2^16: a byte for the gap to the one before, after a byte of 255 for each 255 of it; the places themselves, if
+    that is shorter. The first byte tells which."""
+    import numpy as np
+
+    gaps = np.diff(at.astype(np.int64), prepend=0)
+    more = gaps // 255 + 1
+    if more.sum() > 2 * len(at):
+        return b"\0" + at.astype("<u2").tobytes()
+    out = np.full(more.sum(), 255, dtype=np.uint8)
+    out[np.cumsum(more) - 1] = gaps % 255
+    return b"\1" + out.tobytes()
+
+
+def _from_gaps(raw: bytes):
+    """The places that ``_gaps`` has packed."""
+    import numpy as np
+
+    if raw[0] == 0:
+        return np.frombuffer(raw, dtype="<u2", offset=1).astype(np.int64)
+    steps = np.frombuffer(raw, dtype=np.uint8, offset=1)
+    return np.cumsum(steps, dtype=np.int64)[steps < 255]
+
+
 def _summed(keys, counts, cap: int):
     """Distinct ascending keys and the sums of their counts, held at ``cap``."""
     import numpy as np
@@ -209,7 +233,10 @@ class Cells:
     def batches(self, level: int, least: int = 0) -> Iterator[pa.RecordBatch]:
         """The packed cells as batches, if more than ``least`` hashes are held."""
         if self.merged > least or not least:
-            rows = ((*row, None, None) for row in self.packed(level))
+            import numpy as np
+
+            packed = self.packed(level)
+            rows = ((level, chunk, _gaps(np.frombuffer(at, dtype="<u2")), counts, None, None) for level, chunk, at, counts in packed)
             while some := list(islice(rows, 64)):
                 yield _packed_batch(some)
 
@@ -241,7 +268,7 @@ def _full_cells(packed: DataFrame, bits: int, least: int) -> dict[int, bytes]:
                     if now is not None:
                         yield result()
                     now, total = (level, chunk), np.zeros(min(CELL_CHUNK, 2 << bits), dtype=np.int64)
-                total[np.frombuffer(at, dtype="<u2")] += np.frombuffer(counts, dtype=np.uint8)
+                total[_from_gaps(at)] += np.frombuffer(counts, dtype=np.uint8)
         if now is not None:
             yield result()
 
@@ -521,7 +548,7 @@ def _stored_tries(phrases: DataFrame, folder: str, shard_phrases: int) -> tuple[
 
 
 def _counted(rows: DataFrame, folder: str, shards: list[int], with_words: bool) -> DataFrame:
-    """(shard, number, lang, n): one pass of all texts over some tries; ``with_words`` adds the words of each language, as shard -1."""
+    """``COUNTED`` rows, for ``_added_up``: one pass of all texts over some tries; ``with_words`` adds the words of each language, as shard -1."""
 
     def load() -> Tries:
         files, root = file_system(folder)
@@ -556,17 +583,63 @@ def _counted(rows: DataFrame, folder: str, shards: list[int], with_words: bool)
                 add()
                 size = 0
         add()
+        found = []
         for shard, total in zip(shards, counts, strict=True):
+            for chunk, start in enumerate(range(0, len(total), CELL_CHUNK)):
+                part = total[start : start + CELL_CHUNK]
+                if len(some := np.flatnonzero(part)):
+                    width = "<u1" if part.max() < 1 << 8 else "<u2" if part.max() < 1 << 16 else "<i8"
+                    found.append((shard, chunk, _gaps(some), part[some].astype(width).tobytes(), None, None))
+        if with_words:
+            found += [(-1, 0, None, None, lang, n) for lang, n in totals.items()]
+        for i in range(0, len(found), 64):
+            yield _counted_batch(found[i : i + 64])
+
+    return rows.mapInArrow(run, COUNTED)
+
+
+COUNTED = "shard int, chunk int, at binary, counts binary, lang string, n long"
+
+
+def _counted_batch(rows) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in COUNTED.split(", ")])
+
+
+def _added_up(counted: DataFrame) -> DataFrame:
+    """(shard, number, lang, f): sums over tasks. A task adds up its chunks one after the other."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        now, total, words = None, None, {}
+
+        def result(shard, numbers, langs, sums):
+            columns = [pa.array(np.full(len(sums), shard), pa.int32()), pa.array(numbers, pa.int64()), pa.array(langs, pa.string()), pa.array(sums, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["shard", "number", "lang", "f"])
+
+        def chunk_result():
             some = np.flatnonzero(total)
-            for i in range(0, len(some), 1 << 16):
-                part = some[i : i + (1 << 16)]
-                columns = [pa.array(np.full(len(part), shard), pa.int32()), pa.array(part), pa.nulls(len(part), pa.string()), pa.array(total[part])]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "number", "lang", "n"])
-        if with_words and totals:
-            columns = [pa.array([-1] * len(totals), pa.int32()), pa.array([0] * len(totals)), pa.array(totals), pa.array(totals.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "number", "lang", "n"])
+            return result(now[0], some + now[1] * CELL_CHUNK, [None] * len(some), total[some])
+
+        for batch in batches:
+            for shard, chunk, at, counts, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard < 0:
+                    words[lang] = words.get(lang, 0) + n
+                    continue
+                if now != (shard, chunk):
+                    if now is not None:
+                        yield chunk_result()
+                    now, total = (shard, chunk), np.zeros(CELL_CHUNK, dtype=np.int64)
+                places = _from_gaps(at)
+                total[places] += np.frombuffer(counts, dtype=f"<{'i' if len(counts) == 8 * len(places) else 'u'}{len(counts) // len(places)}")
+        if now is not None:
+            yield chunk_result()
+        if words:
+            yield result(-1, [0] * len(words), list(words), list(words.values()))
 
-    return rows.mapInArrow(run, "shard int, number long, lang string, n long")
+    rows = counted.repartition("shard", "chunk").sortWithinPartitions("shard", "chunk")
+    return rows.mapInArrow(fold, "shard int, number long, lang string, f long")
 
 
 def phrase_counts(
@@ -594,7 +667,7 @@ def phrase_counts(
         return none, none.select("lang", F.col("f").alias("n"))
     passes = [_counted(rows, folder, shards[i : i + PASS_TRIES], i == 0) for i in range(0, len(shards), PASS_TRIES)]
     counts = reduce(DataFrame.union, passes)
-    summed = stored(counts.groupBy("shard", "number", "lang").agg(F.sum("n").alias("f")), "phrase-counts")
+    summed = stored(_added_up(counts), "phrase-counts")
     found = numbered.join(summed.drop("lang"), ["shard", "number"]).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")
     return stored(found, "counted-phrases"), summed.filter("shard = -1 and f > 0").select("lang", F.col("f").alias("n"))
 
