@@ -186,3 +186,8 @@ def test_counts_are_added_up_over_tasks_and_widths(spark):
     found = {(r["lang"], r["phrase"]): r["f"] for r in counts.collect()}
     assert found["en", "a"] == 70_340 and found["en", "a b"] == 70_340 and found["en", "b a"] == 70_337 and found["de", "a b"] == 300
     assert sorted(map(tuple, totals.collect())) == [("de", 601), ("en", 140_680)]
+
+
+def test_words_spelt_like_another_language(spark):
+    data = [("und", "de de de. de und"), ("de", "und und und. und de"), ("de", "de de. und und de")] * 12
+    assert rows(C.collocations(frame(spark, data).coalesce(1))) == brute(data)

@@ -102,11 +102,14 @@ def _mixed(x):
 
 
 def _hashes(lang: str, numbers, words: Words):
-    """Hashes of the words, pairs and triples that begin at each position, and whether there is one within a piece."""
+    """Hashes of the words, pairs and triples that begin at each position, and whether there is one within a piece.
+
+    The language has a seed of its own, so that the word ``und`` of ``de`` and the word ``de`` of ``und`` differ.
+    """
     import numpy as np
     from xxhash import xxh3_64_intdigest
 
-    one = _mixed(words.hashed()[numbers] ^ np.uint64(xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))))
+    one = _mixed(words.hashed()[numbers] ^ np.uint64(xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), seed=1)))
     there = [numbers > 0]
     with np.errstate(over="ignore"):
         two = _mixed(one[:-1] * np.uint64(3) + one[1:])
