@@ -17,10 +17,11 @@ from functools import reduce
 from itertools import islice, repeat
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vakanta.llm.common import file_system, forget_kept, fresh_path, kept_in_worker, plain_text, publish, stored
+from vakanta.llm.common import file_system, forget_kept, fresh_path, kept_in_worker, plain_text, publish, slices, stored
 
 LEAST_COUNT = 10
 TOP = 2000
@@ -35,6 +36,7 @@ PARTS = (1, 4, 16)  # where the parts of the rows end, in sixteenths
 TASK_BYTES = 16 << 20
 KNOWN_HASHES = 1 << 21  # of phrases named in earlier parts: 16 MB
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 2048
 KEPT_WORDS = 400_000
 KEPT_PHRASES = 2_000_000
 MARK = b"."
@@ -72,7 +74,7 @@ class Words(dict):
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
     """(language, tokens with marks between pieces) of the (lang, text) rows, cut between pieces at about ``CHUNK_BYTES``."""
-    for batch in batches:
+    for batch in slices(batches, CHUNK_ROWS):
         by_lang: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             by_lang.setdefault(lang, []).append(text)
@@ -343,31 +345,34 @@ def _in_parts(rows: DataFrame, size: int, bits: int, least: int, width: int, ful
     """``_named`` of all rows, a part of them after the other; a part leaves out phrases that earlier ones have named.
 
     A row's part is told by its hash. Parts but the last have a task for each ``TASK_BYTES``. What is left out never changes the result.
+    Full cells are sent once for all parts; what is sent is let go of as soon as it has been used.
     """
+    context = rows.sparkSession.sparkContext
+    cells = context.broadcast(full)
     part = F.pmod(F.xxhash64("lang", "text"), F.lit(PARTS[-1]))
     found, begin = [], 0
     for end in PARTS:
         some = rows.filter((part >= begin) & (part < end))
         if end < PARTS[-1]:
             some = some.coalesce(size * (end - begin) // PARTS[-1] // TASK_BYTES + 1)
-        known = _hashes_named(found) if found else b""
-        found.append(stored(_named(some, bits, least, width, full, known), "phrase-pairs" if width == 2 else "phrase-triples"))
+        known = context.broadcast(_hashes_named(found) if found else b"")
+        found.append(stored(_named(some, bits, least, width, cells, known), "phrase-pairs" if width == 2 else "phrase-triples"))
+        known.destroy()
         begin = end
+    cells.destroy()
     return reduce(DataFrame.union, found)
 
 
-def _named(rows: DataFrame, bits: int, least: int, width: int, full: dict[int, bytes], known: bytes = b"") -> DataFrame:
+def _named(rows: DataFrame, bits: int, least: int, width: int, full: Broadcast, known: Broadcast) -> DataFrame:
     """The distinct phrases of ``width`` words all of whose parts, and themselves, lie in full cells (level 0, the hash as ``at``), but
     those of the ``known`` hashes; with pairs also the cells of the triples made of them (level 3)."""
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast((full, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         forget_kept()
         words, cells = Words(), Cells(bits, least) if width == 2 else None
-        cells_full, before = [Full(bits, sent.value[0].get(level)) for level in (1, 2, 3)], np.frombuffer(sent.value[1], dtype="<u8")
+        cells_full, before = [Full(bits, full.value.get(level)) for level in range(1, width + 1)], np.frombuffer(known.value, dtype="<u8")
         seen = Seen()
         for lang, tokens in chunks(batches):
             words = words if len(words) < KEPT_WORDS else Words()
