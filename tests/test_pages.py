@@ -1,8 +1,12 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from vakanta import settings as S
-from vakanta.operators import pages
+from vakanta.operators import html_tree, pages
 from vakanta.operators.html_tree import read_page
 
 LINK = f'<a id="{S.EXTERNAL_LINK_ID}" href=" https://p.example/1 ">x</a>'
@@ -91,3 +95,36 @@ def test_link_is_of_the_first_anchor_with_the_id():
 
 def test_heading_text_is_joined_without_spaces():
     assert read("<h3>Ihr <b>Profil</b></h3><div>x</div>")["header_blocks"] == [{"title": "IhrProfil", "text": "x"}]
+
+
+MARKUP = [
+    "<p>", "</p>", "<div class=\"a b\" data-z='1'>", "</div>", "<h2>", "</h2>", "<H3 title=\"x>y\">", "</h3>", "<strong>", "</strong>", "<br>", "<br/>",
+    "<ul><li>", "</li></ul>", "Profil", "Ihre Aufgaben:", "a & b", "&amp;", "&lt", "&#65", " ", "\n", " < ", "<!-- <p>Profil</p> -->", "<!-->", "<!-- a -- b -->",
+    "<!DOCTYPE html>", "<![CDATA[ b <i> ]]>", "<![x y]>", "<script>var t='</p>';</script>", "<script src=\"x\">a<b</script>", "<style>", "<title>t</title>",
+    "<textarea> x </textarea>", "<pre>  ", "</pre>", "<template>", "</template>", "<plaintext>", LINK, LINK.upper(), "<a href=x>", "<p class = \"x\">", "<p a=\"b\"c>",
+    "<p class='", "\"", "<p", "</ p>", "<é>",
+]
+
+
+def test_plain_markup_is_read_as_the_standard_parser_reads_it(monkeypatch):
+    """Random pages, well-formed or not: those read by the standard parser alone are the same. Common markup never reaches it."""
+    chance = random.Random(3)
+    made = ["".join(chance.choices(MARKUP, k=chance.randint(1, 14))) for _ in range(20_000)]
+    found = [read(html) for html in made]
+    with monkeypatch.context() as patch:
+        patch.setattr(html_tree, "PLAIN", re.compile("(?!)"))
+        assert [read(html) for html in made] == found
+    seen = []
+    monkeypatch.setattr(html_tree.PageReader, "feed", lambda self, text: seen.append(text))
+    common = "<html lang=\"de\"><body class='x y'><h2 id=\"t\">Profil</h2><p>A &amp; B<br/>C</p></body></html>"
+    assert read(common)["header_blocks"] == [{"title": "Profil", "text": "A & B\nC"}] and not seen
+
+
+def test_many_titles_are_told_apart_by_sorting(spark):
+    """A page of 20000 headings, each title twice: time grows with the sort, not with the square."""
+    blocks = [(f"Profil {i % 10_000}", str(i)) for i in range(20_000)]
+    df = spark.createDataFrame([(blocks,)], "b array<struct<title:string,text:string>>").repartition(1)
+    began = time.monotonic()
+    found = df.select(pages.last_text_per_title(F.col("b")).alias("x")).first()["x"]
+    assert [tuple(x) for x in found] == [(f"Profil {i}", str(i + 10_000)) for i in range(10_000)]
+    assert time.monotonic() - began < 60

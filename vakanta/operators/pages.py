@@ -50,25 +50,20 @@ def parse_pages(
     return pages.select("page_key", "html").mapInArrow(parse, PARSED_SCHEMA)
 
 
-def is_section_title(c: Column, titles: list[str] = S.SECTION_TITLES) -> Column:
-    """Does the text, without case, outer space and trailing colons, contain one of the titles?"""
-    return contains_any(strip_colons(F.lower(strip(c))), titles)
-
-
 def with_colon_sections(
     df: DataFrame, text: Column, out: str = "colon_blocks", titles: list[str] = S.SECTION_TITLES
 ) -> DataFrame:
-    """Add the blocks opened by title lines that end in a colon; null where ``text`` is null.
+    """Add the blocks opened by title lines; null where ``text`` is null.
 
+    A title line ends in a colon and contains one of the titles, without case, outer space and trailing colons.
     Works inside each row: the positions of the title lines cut the array of lines into slices. Text
     before the first title and titles without text give no block.
     """
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != "")
+    # bare lines are made once each, not for each of the titles
+    bare = F.transform("__lines", lambda line: F.when(line.endswith(":"), strip_colons(F.lower(line))))
     staged = df.withColumn("__lines", lines).withColumn(
-        "__at",
-        F.array_compact(
-            F.transform("__lines", lambda line, i: F.when(line.endswith(":") & is_section_title(line, titles), i + 1))
-        ),
+        "__at", F.array_compact(F.transform(bare, lambda line, i: F.when(contains_any(line, titles), i + 1)))
     )
 
     def block(at: Column, i: Column) -> Column:
@@ -84,19 +79,26 @@ def with_colon_sections(
 
 def last_text_per_title(blocks: Column) -> Column:
     """Each title once, at its first place, with its last text."""
-    texts = F.map_from_entries(F.transform(_last_places(blocks), lambda p: F.struct(blocks[p]["title"], blocks[p]["text"])))
     titles = F.array_distinct(F.transform(blocks, lambda b: b["title"]))
-    return F.transform(titles, lambda title: F.struct(title.alias("title"), F.try_element_at(texts, title).alias("text")))
+    return F.when(F.size(titles) == F.size(blocks), blocks).otherwise(_told_apart(blocks))
 
 
-def _last_places(blocks: Column) -> Column:
-    """Positions (from 0) of each title's last block: after a sort by title and place, those whose successor differs."""
-    placed = F.array_sort(F.transform(blocks, lambda b, i: F.struct(b["title"].alias("title"), i.alias("i"))))
-    last = F.transform(
-        F.array(placed),
-        lambda ps: F.filter(ps, lambda p, i: ~F.coalesce(F.get(ps, i + 1)["title"] == p["title"], F.lit(False))),
+def _told_apart(blocks: Column) -> Column:
+    """The same for blocks that repeat titles: sorted by title and place, a title's first block has its place and its last the text."""
+
+    def same(a: Column, b: Column) -> Column:
+        return F.coalesce(a["title"] == b["title"], F.lit(False))
+
+    placed = F.transform(blocks, lambda b, i: F.struct(b["title"].alias("title"), i.alias("i"), b["text"].alias("text")))
+    merged = F.transform(
+        F.array(F.sort_array(placed)),
+        lambda ps: F.zip_with(
+            F.filter(ps, lambda p, i: ~same(F.get(ps, i - 1), p)),
+            F.filter(ps, lambda p, i: ~same(F.get(ps, i + 1), p)),
+            lambda first, last: F.struct(first["i"].alias("i"), first["title"].alias("title"), last["text"].alias("text")),
+        ),
     )
-    return F.transform(F.element_at(last, 1), lambda p: p["i"])
+    return F.transform(F.sort_array(F.element_at(merged, 1)), lambda b: F.struct(b["title"].alias("title"), b["text"].alias("text")))
 
 
 def render_sections(blocks: Column) -> Column:
@@ -106,11 +108,11 @@ def render_sections(blocks: Column) -> Column:
 def sections_json(sections: Column) -> Column:
     """JSON object in section order, with a space after ':' and ','; '' if there are no sections."""
 
-    def quoted(c: Column) -> Column:
-        listed = F.to_json(F.array(c))
+    def quoted(listed: Column) -> Column:
         return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
-    members = F.transform(sections, lambda s: F.concat(quoted(s["title"]), F.lit(": "), quoted(s["text"])))
+    lists = F.transform(sections, lambda s: F.struct(F.to_json(F.array(s["title"])).alias("title"), F.to_json(F.array(s["text"])).alias("text")))
+    members = F.transform(lists, lambda s: F.concat(quoted(s["title"]), F.lit(": "), quoted(s["text"])))
     body = F.concat(F.lit("{"), F.array_join(members, ", "), F.lit("}"))
     return F.when(F.coalesce(F.size(sections), F.lit(0)) > 0, body).otherwise("")
 
@@ -169,12 +171,12 @@ def page_sections(
         .otherwise("empty"),
     )
     structured = F.col("html_quality") == "structured"
-    rendered = F.when(structured, render_sections(F.col("__blocks")))
+    staged = staged.withColumn("__rendered", F.when(structured, render_sections(F.col("__blocks"))))
     return staged.select(
         "page_key",
-        rendered.alias("html_full"),
+        F.col("__rendered").alias("html_full"),
         F.when(structured, last_text_per_title(F.col("__blocks"))).alias("sections"),
-        rendered.alias("sections_text"),
+        F.col("__rendered").alias("sections_text"),
         F.when(external, F.col("ext_text"))
         .when(structured, F.col("raw_text"))
         .when(F.col("html_quality") == "unstructured", strip(F.col("raw_text")))
