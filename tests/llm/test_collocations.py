@@ -191,3 +191,53 @@ def test_counts_are_added_up_over_tasks_and_widths(spark):
 def test_words_spelt_like_another_language(spark):
     data = [("und", "de de de. de und"), ("de", "und und und. und de"), ("de", "de de. und und de")] * 12
     assert rows(C.collocations(frame(spark, data).coalesce(1))) == brute(data)
+
+
+def test_texts_are_turned_into_words_once_however_many_tries(spark, monkeypatch):
+    """The counting pass reads texts once, and a position is walked in the trie of its first two words only."""
+    data = made(6, 200)
+    passes = []
+    counted = C._counted
+    monkeypatch.setattr(C, "_counted", lambda *args: passes.append(1) or counted(*args))
+    assert rows(C.collocations(frame(spark, data), shard_phrases=60)) == brute(data)
+    assert len(passes) == 1
+
+    block, walked = C.Block(5), []
+    block.add("en", [b"a", b"b", b"c", C.MARK, b"a"])
+    block.add("de", [b"a", b"b"])
+
+    class Empty(C.Trie):
+        def walk(self, states, at, own, numbers):
+            walked.extend(at.tolist())
+            return iter(())
+
+    empty = lambda shard: Empty.from_bytes(C.Trie.build(["en", "de"], ["a", "a"]).to_bytes())
+    found = list(block.counted(empty))
+    assert sorted(walked) == [0, 1, 6]  # a b, b c, a b
+    assert sum(int(n.sum()) for _, _, n in found) == 3  # a three times, in the trie of the word of its language
+
+
+def test_blocks_of_few_tokens_and_shared_bits_of_cells_give_the_same(spark, monkeypatch):
+    data = made(9)
+    for name, value in (("HELD_TOKENS", 50), ("FULL_BITS", 17)):
+        monkeypatch.setattr(C, name, value, raising=False)
+    assert rows(C.collocations(frame(spark, data), bits=20, shard_phrases=20)) == brute(data)
+
+
+def test_cells_beyond_the_bits_that_are_sent(spark, monkeypatch):
+    """Many more cells than bits: what is full stays full, and the bitmap is no larger."""
+    import numpy as np
+
+    monkeypatch.setattr(C, "FULL_BITS", 17, raising=False)
+    chance = np.random.default_rng(2)
+    hashes = np.unique(chance.integers(0, 1 << 64, 4000, dtype=np.uint64))
+    counts = np.where(np.arange(len(hashes)) % 4 == 0, 10, 1)
+    for bits in (16, 17, 20, 32):
+        cells = C.Cells(bits, 10)
+        cells.add(hashes, counts)
+        packed = [b for b in cells.batches(2)]
+        df = spark.createDataFrame([r for b in packed for r in map(tuple, zip(*(c.to_pylist() for c in b.columns), strict=True))], C.PACKED)
+        bitmap = C._full_cells(df, bits, 10)[2]
+        assert len(bitmap) == (2 << min(bits, 17)) // 8
+        held = C.Full(bits, bitmap).holds(hashes)
+        assert held[counts == 10].all() and held[counts == 1].mean() < 0.01

@@ -4,31 +4,33 @@ Candidates are Apriori-safe. A first pass counts words and word pairs into hash
 words may be frequent and counts the triples of such pairs into cells, a third names the triples. No frequent phrase is lost:
 a cell's count is never below that of a phrase in it. Rows are named in parts of growing size, and later parts leave out
 what earlier ones have named, so that a phrase found everywhere is not named anew by every task. Candidates and their words are dealt to shards of bounded size, each
-a double-array trie that every worker reads from the shared folder. A last pass takes several tries at once: words become
-numbers once for all of them, numpy moves the states of all text positions through each trie, a level at a time, and
-counts accepting states; counts are summed over tasks and shards. There are as many such passes as the tries need.
+a double-array trie that every worker reads from the shared folder. Phrases are dealt by their first two words, so that a text position
+can begin phrases of one trie only. One last pass turns texts into numbers of words, a block at a time; the tries are read one after
+the other, numpy moves the states of the positions that belong to each through it, a level at a time, and counts accepting
+states; counts are summed over tasks and blocks. So texts are read once and positions walk once, however many tries there are.
 """
 
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
-from itertools import islice, repeat
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vakanta.llm.common import file_system, forget_kept, fresh_path, kept_in_worker, plain_text, publish, slices, stored
+from vakanta.llm.common import file_system, forget_kept, fresh_path, plain_text, publish, slices, stored
 
 LEAST_COUNT = 10
 TOP = 2000
 SHARD_PHRASES = 1 << 18
-PASS_TRIES = 4
-HELD_NUMBERS = 1 << 21
-CELL_BITS = (16, 26)
+HELD_TOKENS = 1 << 22
+CELL_BITS = (16, 32)
+FULL_BITS = 27
 CELL_CHUNK = 1 << 16
 MERGE_HASHES = 1 << 20
 MOST_HASHES = 1 << 21  # held by a task at once
@@ -103,18 +105,31 @@ def _mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
+def _seed(lang: str):
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
+
+    return np.uint64(xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), seed=1))
+
+
+def _paired(one, other):
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return _mixed(one * np.uint64(3) + other)
+
+
 def _hashes(lang: str, numbers, words: Words):
     """Hashes of the words, pairs and triples that begin at each position, and whether there is one within a piece.
 
     The language has a seed of its own, so that the word ``und`` of ``de`` and the word ``de`` of ``und`` differ.
     """
     import numpy as np
-    from xxhash import xxh3_64_intdigest
 
-    one = _mixed(words.hashed()[numbers] ^ np.uint64(xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), seed=1)))
+    one = _mixed(words.hashed()[numbers] ^ _seed(lang))
     there = [numbers > 0]
+    two = _paired(one[:-1], one[1:])
     with np.errstate(over="ignore"):
-        two = _mixed(one[:-1] * np.uint64(3) + one[1:])
         three = _mixed(two[:-1] * np.uint64(5) + one[2:])
     there.append(there[0][:-1] & there[0][1:])
     there.append(there[1][:-1] & there[0][2:])
@@ -256,43 +271,57 @@ def _packed_batch(rows) -> pa.RecordBatch:
 
 
 def _full_cells(packed: DataFrame, bits: int, least: int) -> dict[int, bytes]:
-    """Per level a bit for each cell that reaches ``least`` in all. A task adds up its chunks one after the other."""
+    """Per level a bit for each cell that reaches ``least`` in all. A task adds up its chunks one after the other.
+
+    Of more than ``2^FULL_BITS`` cells in a half of the table those alike in the last ``FULL_BITS`` bits share a bit, which says that one of them is full.
+    """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        now, total = None, None
+        now, total, full = None, None, None
+
+        def add():
+            return full | (total >= least)
 
         def result():
-            bitmap = np.packbits(total >= least, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([bitmap])], ["level", "chunk", "bits"])
+            bitmap = np.packbits(add(), bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([bitmap])], ["level", "place", "bits"])
 
         for batch in batches:
-            for level, chunk, at, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != (level, chunk):
-                    if now is not None:
-                        yield result()
-                    now, total = (level, chunk), np.zeros(min(CELL_CHUNK, 2 << bits), dtype=np.int64)
+            for level, place, chunk, at, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (level, place, chunk):
+                    if now is not None and now[:2] == (level, place):
+                        full = add()
+                    else:
+                        if now is not None:
+                            yield result()
+                        full = np.zeros(min(CELL_CHUNK, 2 << bits), dtype=bool)
+                    now, total = (level, place, chunk), np.zeros(len(full), dtype=np.int64)
                 total[_from_gaps(at)] += np.frombuffer(counts, dtype=np.uint8)
         if now is not None:
             yield result()
 
-    rows = packed.filter("level > 0").select("level", "chunk", "at", "counts").repartition("level", "chunk").sortWithinPartitions("level", "chunk")
+    held = min(bits, FULL_BITS)
+    chunks_of = {b: max((1 << b) // CELL_CHUNK, 1) for b in (bits, held)}  # in a half of the table
+    half, chunk = F.floor(F.col("chunk") / chunks_of[bits]), F.col("chunk") % chunks_of[held]
+    place = (half * chunks_of[held] + chunk).cast("int").alias("place")
+    rows = packed.filter("level > 0").select("level", place, "chunk", "at", "counts").repartition("level", "place").sortWithinPartitions("level", "place", "chunk")
     size = min(CELL_CHUNK, 2 << bits) // 8
     out: dict[int, bytearray] = {}
-    for r in rows.mapInArrow(fold, "level int, chunk int, bits binary").collect():  # a bit per cell: 16 MB a level at most
-        out.setdefault(r["level"], bytearray((2 << bits) // 8))[r["chunk"] * size : (r["chunk"] + 1) * size] = r["bits"]
+    for r in rows.mapInArrow(fold, "level int, place int, bits binary").collect():  # a bit per cell: 32 MB a level at most
+        out.setdefault(r["level"], bytearray((2 << held) // 8))[r["place"] * size : (r["place"] + 1) * size] = r["bits"]
     return {level: bytes(b) for level, b in out.items()}
 
 
 class Full:
-    """Which hashes have both their cells full."""
+    """Which hashes have both their cells full, or cells that share their bits."""
 
     def __init__(self, bits: int, bitmap: bytes | None):
         import numpy as np
 
-        self.bits = bits
-        self.bitmap = np.frombuffer(bitmap or bytes((2 << bits) // 8), dtype=np.uint8)
+        self.bits = min(bits, FULL_BITS)
+        self.bitmap = np.frombuffer(bitmap or bytes((2 << self.bits) // 8), dtype=np.uint8)
 
     def holds(self, hashes):
         import numpy as np
@@ -424,7 +453,7 @@ def _free_offset(check, own, chance):
 class Trie:
     """A double array: from state ``s`` word ``w`` leads to ``base[s] + w``, if ``check`` there says ``s``."""
 
-    def __init__(self, base, check, accepts, words: list[bytes], roots: dict[str, int]):
+    def __init__(self, base, check, accepts, words: list[bytes] | pa.Array, roots: dict[str, int]):
         self.base, self.check, self.accepts, self.words, self.roots = base, check, accepts, words, roots
 
     @classmethod
@@ -475,10 +504,10 @@ class Trie:
         import numpy as np
 
         out = io.BytesIO()
-        words = b" ".join(self.words)
         names = list(self.roots)
-        parts = [np.frombuffer("\0".join(names).encode("utf-8", "surrogatepass"), dtype=np.uint8), np.frombuffer(words, dtype=np.uint8)]
-        np.savez(out, base=self.base, check=self.check, accepts=self.accepts, langs=parts[0], words=parts[1])
+        parts = [np.frombuffer("\0".join(names).encode("utf-8", "surrogatepass"), dtype=np.uint8), np.frombuffer(b"".join(self.words), dtype=np.uint8)]
+        lengths = np.fromiter(map(len, self.words), dtype=np.int32, count=len(self.words))
+        np.savez(out, base=self.base, check=self.check, accepts=self.accepts, langs=parts[0], words=parts[1], lengths=lengths)
         return out.getvalue()
 
     @classmethod
@@ -487,60 +516,138 @@ class Trie:
 
         held = np.load(io.BytesIO(raw))
         langs = held["langs"].tobytes().decode("utf-8", "surrogatepass").split("\0")
-        return cls(held["base"], held["check"], held["accepts"], held["words"].tobytes().split(b" "), {x: i for i, x in enumerate(langs)})
+        ends = np.cumsum(held["lengths"], dtype=np.int64)
+        starts = np.concatenate([[0], ends]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(starts), pa.py_buffer(held["words"])])
+        return cls(held["base"], held["check"], held["accepts"], words, {x: i for i, x in enumerate(langs)})
 
-    def walk(self, root: int, symbols) -> Iterator:
-        """Numbers of the phrases accepted at all positions, a level at a time; positions without a state drop out."""
+    def numbered(self, words: pa.Array):
+        """The number that each of the words has in this trie, or -1."""
         import numpy as np
 
-        at = np.flatnonzero(symbols >= 0)
-        states = np.full(len(at), root, dtype=np.int32)
+        return np.asarray(pc.index_in(words, value_set=self.words).fill_null(-1), dtype=np.int32)
+
+    def step(self, states, symbols):
+        """The states that the symbols lead to, and whether they do."""
+        to = self.base[states] + symbols
+        to[(symbols < 0) | (to < 0) | (to >= len(self.check))] = 0  # a root: no word leads there
+        return to, self.check[to] == states
+
+    def walk(self, states, at, own, numbers) -> Iterator:
+        """Numbers of the phrases accepted from the positions ``at`` on, a level at a time; positions without a state drop out.
+
+        ``own`` has the symbols of the ``numbers``.
+        """
         while len(at):
-            to = self.base[states] + symbols[at]
-            to[(to < 0) | (to >= len(self.check))] = root  # no word leads to a root
-            good = self.check[to] == states
+            to, good = self.step(states, own[numbers[at]])
             at, states = at[good] + 1, to[good]
             accepted = self.accepts[states]
             yield accepted[accepted >= 0]
-            inside = at < len(symbols)
+            inside = at < len(numbers)
             at, states = at[inside], states[inside]
-            there = symbols[at] >= 0
-            at, states = at[there], states[there]
 
 
 class Tries:
-    """Tries that texts walk together. Their words are numbered in common; ``numbers`` leads to those of each trie."""
-
-    def __init__(self, tries: Iterator[Trie]):
-        import numpy as np
+    """Tries that all positions of a text walk, one after the other."""
 
-        self.words: dict[bytes, int] = {}
-        self.tries, self.numbers = [], []
-        places = []
-        for trie in tries:
-            places.append(np.fromiter((self.words.setdefault(w, len(self.words)) for w in trie.words), dtype=np.int64, count=len(trie.words)))
-            trie.words = []  # held in common from here on
-            self.tries.append(trie)
-        for at in places:
-            own = np.full(len(self.words) + 1, -1, dtype=np.int32)  # the last one: no word of these
-            own[at] = np.arange(len(at))
-            self.numbers.append(own)
+    def __init__(self, tries: Iterable[Trie]):
+        self.tries = list(tries)
 
     def walk(self, lang: str, tokens: list[bytes]) -> Iterator:
         """(number of the trie, numbers of its phrases accepted) of all positions."""
         import numpy as np
 
-        found = np.fromiter(map(self.words.get, tokens, repeat(len(self.words))), dtype=np.int64, count=len(tokens))
-        for i, (trie, own) in enumerate(zip(self.tries, self.numbers, strict=True)):
+        words = Words()
+        numbers = np.fromiter(map(words.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+        for i, trie in enumerate(self.tries):
             if lang in trie.roots:
-                for accepted in trie.walk(trie.roots[lang], own[found]):
+                own = trie.numbered(pa.array(words.listed, pa.binary()))
+                for accepted in trie.walk(np.full(len(numbers), trie.roots[lang]), np.arange(len(numbers)), own, numbers):
                     yield i, accepted
 
 
-def _stored_tries(phrases: DataFrame, folder: str, shard_phrases: int) -> tuple[DataFrame, list[int]]:
-    """(shard, number, lang, phrase) and the shards that hold any. A shard holds about ``shard_phrases`` and becomes one file."""
+class Block:
+    """Texts as numbers, held together; each position waits for the one trie that has the phrases of its first two words."""
+
+    def __init__(self, shards: int):
+        self.shards = shards
+        self.words, self.size = Words(), 0
+        self.langs: dict[str, int] = {}
+        self.numbers, self.of_lang, self.dealt = [], [], []
+
+    def add(self, lang: str, tokens: list[bytes]) -> None:
+        """Text that ends with its last token: no phrase runs on into what is added next."""
+        import numpy as np
+
+        tokens.append(MARK)
+        numbers = np.fromiter(map(self.words.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+        (_, two, _), (_, there, _) = _hashes(lang, numbers, self.words)
+        dealt = np.full(len(numbers), self.shards, dtype=np.uint16 if self.shards < 1 << 16 else np.int32)  # the last: no pair begins here
+        dealt[:-1][there] = two[there] % np.uint64(self.shards)
+        self.numbers.append(numbers)
+        self.of_lang.append(np.full(len(numbers), self.langs.setdefault(lang, len(self.langs)), dtype=np.int32))
+        self.dealt.append(dealt)
+        self.size += len(numbers)
+
+    def counted(self, load: Callable[[int], Trie | None]) -> Iterator:
+        """(shard, numbers of its phrases, how often each was met), a shard after the other."""
+        import numpy as np
+
+        numbers, of_lang, dealt = (np.concatenate(x) for x in (self.numbers, self.of_lang, self.dealt))
+        self.numbers, self.of_lang, self.dealt = [], [], []
+        order = np.argsort(dealt, kind="stable").astype(np.int32)
+        ends = np.cumsum(np.bincount(dealt, minlength=self.shards + 1))
+        # words by themselves are counted here, and wait for their trie with their counts
+        single, n = np.unique(of_lang.astype(np.int64) * len(self.words) + numbers, return_counts=True)
+        single, n = single[single % len(self.words) > 0], n[single % len(self.words) > 0]
+        lang_of, word = single // len(self.words), single % len(self.words)
+        seeds = np.array([_seed(lang) for lang in self.langs], dtype=np.uint64)
+        alone = (_mixed(self.words.hashed()[word] ^ seeds[lang_of]) % np.uint64(self.shards)).astype(np.int64)
+        by_shard = np.argsort(alone, kind="stable")
+        alone_ends = np.cumsum(np.bincount(alone, minlength=self.shards))
+        listed = pa.array(self.words.listed, pa.binary())
+        for shard in range(self.shards):
+            at = order[ends[shard - 1] if shard else 0 : ends[shard]]
+            mine = by_shard[alone_ends[shard - 1] if shard else 0 : alone_ends[shard]]
+            if not len(at) + len(mine) or (trie := load(shard)) is None:
+                continue
+            own, roots = trie.numbered(listed), np.array([trie.roots.get(lang, -1) for lang in self.langs])
+            at = at[roots[of_lang[at]] >= 0]
+            levels = list(trie.walk(roots[of_lang[at]], at, own, numbers))[1:]  # of pairs and triples
+            counts = np.bincount(np.concatenate([*levels, np.zeros(0, dtype=np.int32)]), minlength=int(trie.accepts.max()) + 1)
+            mine = mine[roots[lang_of[mine]] >= 0]
+            to, good = trie.step(roots[lang_of[mine]], own[word[mine]])
+            accepted = trie.accepts[to[good]]
+            counts[accepted[accepted >= 0]] += n[mine[good]][accepted >= 0]
+            some = np.flatnonzero(counts)
+            yield shard, some, counts[some]
+
+
+def _dealt(phrases: DataFrame, shards: int) -> DataFrame:
+    """(shard, lang, phrase): a phrase goes where its first two words lead, a word by itself where it leads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from xxhash import xxh3_64_intdigest
+
+        for batch in slices(batches, 10_000):
+            langs, phrases = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            seed = {lang: _seed(lang) for lang in set(langs)}
+            seeds = np.array([seed[lang] for lang in langs], dtype=np.uint64)
+            firsts = [p.split(b" ", 2) for p in phrases]
+            hashed = lambda ws: _mixed(np.fromiter(map(xxh3_64_intdigest, ws), dtype=np.uint64, count=len(firsts)) ^ seeds)
+            one = hashed([ws[0] for ws in firsts])
+            two = _paired(one, hashed([ws[1] if len(ws) > 1 else b"" for ws in firsts]))
+            places = np.where([len(ws) > 1 for ws in firsts], two, one) % np.uint64(shards)
+            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), batch.column(0), batch.column(1)], ["shard", "lang", "phrase"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "shard int, lang string, phrase string")
+
+
+def _stored_tries(phrases: DataFrame, folder: str, shard_phrases: int) -> tuple[DataFrame, int, list[int]]:
+    """(shard, number, lang, phrase), the number of shards, and those that hold any. A shard holds about ``shard_phrases`` and becomes one file."""
     spark = phrases.sparkSession
-    shards = -(-phrases.count() // shard_phrases)
+    shards = max(-(-phrases.count() // shard_phrases), 1)
     spark.createDataFrame([(0,)], "x int").write.parquet(f"{folder}/.made")  # makes the folder wherever it lies
 
     def build(part: pa.Table) -> pa.Table:
@@ -550,68 +657,57 @@ def _stored_tries(phrases: DataFrame, folder: str, shard_phrases: int) -> tuple[
         numbers = pa.array(range(part.num_rows), pa.int64())
         return pa.table({"shard": part.column("shard"), "number": numbers, "lang": part.column("lang"), "phrase": part.column("phrase")})
 
-    dealt = phrases.select(F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(shards, 1))).cast("int").alias("shard"), "lang", "phrase")
-    numbered = stored(dealt.groupBy("shard").applyInArrow(build, "shard int, number long, lang string, phrase string"), "numbered-phrases")
-    return numbered, sorted(r["shard"] for r in numbered.select("shard").distinct().collect())  # a row per ``shard_phrases``
+    numbered = stored(_dealt(phrases, shards).groupBy("shard").applyInArrow(build, "shard int, number long, lang string, phrase string"), "numbered-phrases")
+    return numbered, shards, [r["shard"] for r in numbered.select("shard").distinct().collect()]  # a row per ``shard_phrases``
+
 
+def _counted(rows: DataFrame, folder: str, shards: int, held: list[int]) -> DataFrame:
+    """``COUNTED`` rows, for ``_added_up``: one pass of all texts over the tries ``held``, and the words of each language as shard -1."""
 
-def _counted(rows: DataFrame, folder: str, shards: list[int], with_words: bool) -> DataFrame:
-    """``COUNTED`` rows, for ``_added_up``: one pass of all texts over some tries; ``with_words`` adds the words of each language, as shard -1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    def load() -> Tries:
+        forget_kept()
         files, root = file_system(folder)
+        there, totals, block = set(held), {}, Block(shards)
 
-        def one(shard: int) -> Trie:
+        def load(shard: int) -> Trie | None:
+            if shard not in there:
+                return None
             with files.open_input_file(f"{root}/{shard}.trie") as f:
                 return Trie.from_bytes(f.read())
 
-        return Tries(map(one, shards))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        tries, totals = None, {}
-        held, size, counts = [[] for _ in shards], 0, [np.zeros(1, dtype=np.int64) for _ in shards]
-
-        def add():
-            for i, parts in enumerate(held):
-                if parts:
-                    n = np.bincount(np.concatenate(parts), minlength=len(counts[i]))
-                    n[: len(counts[i])] += counts[i]
-                    counts[i] = n
-                    parts.clear()
+        def result() -> Iterator[pa.RecordBatch]:
+            for shard, numbers, counts in block.counted(load):
+                ends = np.flatnonzero(np.diff(numbers // CELL_CHUNK)) + 1
+                parts = zip(np.split(numbers, ends), np.split(counts, ends), strict=True)
+                yield _counted_batch([(shard, int(at[0]) // CELL_CHUNK, _gaps(at % CELL_CHUNK), _narrow(n), None, None) for at, n in parts if len(at)])
 
         for lang, tokens in chunks(batches):
-            tries = tries or kept_in_worker("collocations", f"{folder}/{shards}", load)
             totals[lang] = totals.get(lang, 0) + len(tokens) - tokens.count(MARK)
-            for i, accepted in tries.walk(lang, tokens):
-                held[i].append(accepted)
-                size += len(accepted)
-            if size > HELD_NUMBERS:
-                add()
-                size = 0
-        add()
-        found = []
-        for shard, total in zip(shards, counts, strict=True):
-            for chunk, start in enumerate(range(0, len(total), CELL_CHUNK)):
-                part = total[start : start + CELL_CHUNK]
-                if len(some := np.flatnonzero(part)):
-                    width = "<u1" if part.max() < 1 << 8 else "<u2" if part.max() < 1 << 16 else "<i8"
-                    found.append((shard, chunk, _gaps(some), part[some].astype(width).tobytes(), None, None))
-        if with_words:
-            found += [(-1, 0, None, None, lang, n) for lang, n in totals.items()]
-        for i in range(0, len(found), 64):
-            yield _counted_batch(found[i : i + 64])
+            block.add(lang, tokens)
+            if block.size > HELD_TOKENS:
+                yield from result()
+                block = Block(shards)
+        if block.size:
+            yield from result()
+        yield _counted_batch([(-1, 0, None, None, lang, n) for lang, n in totals.items()])
 
     return rows.mapInArrow(run, COUNTED)
 
 
+def _narrow(counts) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs: 1, 2 or 8."""
+    return counts.astype("<u1" if counts.max() < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<i8").tobytes()
+
+
 COUNTED = "shard int, chunk int, at binary, counts binary, lang string, n long"
 
 
 def _counted_batch(rows) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in COUNTED.split(", ")])
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in COUNTED.split(", ")])
 
 
 def _added_up(counted: DataFrame) -> DataFrame:
@@ -669,13 +765,11 @@ def phrase_counts(
     named = stored(pairs.union(triples).filter("level = 0").select("lang", "phrase").distinct(), "phrases")
     single = named.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     folder = fresh_path(docs.sparkSession, "phrase-tries")
-    numbered, shards = _stored_tries(stored(named.union(single), "phrases-and-words"), folder, shard_phrases)
-    if not shards:
+    numbered, shards, held = _stored_tries(stored(named.union(single), "phrases-and-words"), folder, shard_phrases)
+    if not held:
         none = numbered.select("lang", "phrase", F.col("shard").alias("words"), F.col("number").alias("f"))  # no rows
         return none, none.select("lang", F.col("f").alias("n"))
-    passes = [_counted(rows, folder, shards[i : i + PASS_TRIES], i == 0) for i in range(0, len(shards), PASS_TRIES)]
-    counts = reduce(DataFrame.union, passes)
-    summed = stored(_added_up(counts), "phrase-counts")
+    summed = stored(_added_up(_counted(rows, folder, shards, held)), "phrase-counts")
     found = numbered.join(summed.drop("lang"), ["shard", "number"]).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")
     return stored(found, "counted-phrases"), summed.filter("shard = -1 and f > 0").select("lang", F.col("f").alias("n"))
 
